@@ -84,3 +84,31 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = now
     raise RuntimeError("components did not settle")
+
+
+def groups(batches, keys: list[str]):
+    """Groups of consecutive rows with equal (non-null, numeric) ``keys``, as Arrow tables; a group may span batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        cols = [t.column(k).to_numpy() for k in keys]
+        change = np.zeros(len(t) - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
+        now = tuple(c[0] for c in cols)
+        if held and tuple(held[-1].column(k)[-1].as_py() for k in keys) != now:
+            yield pa.concat_tables(held)
+            held = []
+        for i, j in zip(cuts[:-2], cuts[1:-1]):
+            held.append(t.slice(i, j - i))
+            yield pa.concat_tables(held)
+            held = []
+        held.append(t.slice(cuts[-2]))
+    if held:
+        yield pa.concat_tables(held)
