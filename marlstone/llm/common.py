@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = materialize(small.union(m.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         last = now
     raise RuntimeError("components did not settle")
 

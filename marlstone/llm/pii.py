@@ -104,17 +104,6 @@ def slots(text: str, spans: list[tuple[int, int]], i: int) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(s.encode(), digest_size=4).digest(), "big") % SLOTS for s in say]
 
 
-def labels(spans: list[tuple[int, int]], base: dict[str, list[tuple[int, int]]]) -> np.ndarray:
-    """The kind of the base match that holds at least half of each token; else none."""
-    out = np.zeros(len(spans), np.int64)
-    for k, kind in enumerate(KINDS, 1):
-        for a, b in base[kind]:
-            for i, (x, y) in enumerate(spans):
-                if 2 * (min(b, y) - max(a, x)) >= y - x:
-                    out[i] = k
-    return out
-
-
 def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges between neighbouring tokens; skip edges from each token to the last one with the same digits or letters."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 2]
@@ -172,10 +161,10 @@ class Field:
     def spans(self, text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
         """Base matches, and all spans: those and tokens outside them that the field labels."""
         base = base_spans(text)
-        found = tokens(text) if any(base.values()) else []
+        found = tokens(text)
         extra: list[tuple[str, int, int]] = []
         if found:
-            fixed = labels_fast(found, base)
+            fixed = labels(found, base)
             if not fixed.all():
                 belief = self.marginals(text, found, fixed)
                 for i in np.flatnonzero(fixed == 0):
@@ -185,8 +174,11 @@ class Field:
         return base, [(kind, a, b) for kind in KINDS for a, b in sorted([*base[kind], *((a, b) for x, a, b in extra if x == kind)])]
 
 
-def labels_fast(spans: list[tuple[int, int]], base: dict[str, list[tuple[int, int]]]) -> np.ndarray:
-    """Like ``labels``, by binary search: spans and matches of a kind are in order and do not overlap."""
+def labels(spans: list[tuple[int, int]], base: dict[str, list[tuple[int, int]]]) -> np.ndarray:
+    """The kind of the base match that holds at least half of each token, else none.
+
+    By binary search: tokens, and matches of a kind, are in order and do not overlap.
+    """
     out = np.zeros(len(spans), np.int64)
     starts, ends = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
     for k, kind in enumerate(KINDS, 1):
@@ -200,6 +192,17 @@ def labels_fast(spans: list[tuple[int, int]], base: dict[str, list[tuple[int, in
     return out
 
 
+def taught(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Labels to learn from: those of base matches, and the kind of a token that is a match when it stands alone."""
+    out = labels(spans, base_spans(text))
+    for i in np.flatnonzero(out == 0).tolist():
+        token = text[slice(*spans[i])]
+        for k, kind in enumerate(KINDS, 1):
+            if len(token) < 400 and base_spans(token)[kind] == [(0, len(token))]:
+                out[i] = k
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """A field trained with base matches as labels, on a sample of about ``sample`` rows with a digit or an @.
 
@@ -219,7 +222,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 spans = tokens(text)
                 if not spans:
                     continue
-                y = labels_fast(spans, base_spans(text))
+                y = taught(text, spans)
                 for i in range(len(spans)):
                     node[slots(text, spans, i), y[i]] += 1
                 for edges, table in zip(links(text, spans), (chain, skip)):

@@ -19,6 +19,8 @@ STATISTICS = ("symbols", "exclamations", "bars", "capitals", "digits", "stops",
 DAMP = 40
 #: Weight of the pooled covariance in each class's, and then of the mean variance on the diagonal.
 POOL, RIDGE = 0.10, 0.002
+#: Labelled ids up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Where a text is held against label 1.
 THRESHOLD = 0.3
 
@@ -144,7 +146,9 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     teaching = docs.where(id_hash(id_col) % 5 != 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    x = features(teaching.join(known.select("doc_id"), "doc_id", "left_semi")) if _small(known) else features(teaching)
+    if known.count() <= BROADCAST_ROWS:  # 8 bytes each; texts without a label are then not even measured
+        teaching = teaching.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    x = features(teaching)
     model = fit(materialize(x, "statistics").join(known, "doc_id"))
     at = docs.columns.index(text_col)
 
@@ -157,6 +161,3 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def _small(known: DataFrame, rows: int = 1_000_000) -> bool:
-    return known.count() <= rows
