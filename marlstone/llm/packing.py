@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,7 +18,9 @@ from .common import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task keeps; at that many it starts anew, so memory stays bounded.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 800_000
+#: Signs that the tokenizer never joins with letters before them.
+SIGNS = ".,;:!?#$%&*)]}\"|"
 #: Salts by which rows of one length are ranked apart from each other.
 SALTS = 256
 
@@ -28,7 +31,8 @@ class WordIds:
     """Ids of texts by a tokenizer whose tokens never cross ASCII white space, which it drops.
 
     Each white-space-delimited piece is then encoded by itself, with the same ids as in its
-    text, and kept as little-endian 32-bit ids.
+    text, and kept as little-endian 32-bit ids. Of a piece of ASCII letters with signs behind
+    them, letters and signs are encoded by themselves; letters are lower-cased either way.
     """
 
     def __init__(self, path: str):
@@ -36,17 +40,32 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        get = known.get
+        ids = [list(map(get, words)) for words in split]
+        new = {w for words, found in zip(split, ids) if None in found for w, x in zip(words, found) if x is None}
+        parts, whole = [], []
+        for w in new:
+            letters = w.rstrip(SIGNS)
+            if letters != w and letters.isascii() and letters.isalpha():
+                parts.append((w, letters, w[len(letters) :]))
+            else:
+                whole.append(w)
+        self.learn(whole)
+        self.learn(list({x for p in parts for x in p[1:] if x not in known}))
+        for w, letters, signs in parts:
+            known[w] = known[letters] + known[signs]
+        return [b"".join(map(get, words)) if None in found else b"".join(found) for words, found in zip(split, ids)]
 
 
 def word_ids(path: str) -> WordIds:
