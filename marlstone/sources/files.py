@@ -7,27 +7,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def read_catalog(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON array of records; a missing file is an empty catalogue, unknown fields are dropped."""
-    try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """A catalogue of records: one file with a JSON array, or a folder that write_catalog made. None there: an empty one. Unknown fields are dropped."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
         return spark.createDataFrame([], schema)
+    one_file = fs.getFileStatus(where).isFile()
+    return spark.read.schema(schema).option("multiLine", one_file).option("mode", "DROPMALFORMED").json(path)
 
 
 def write_catalog(df: DataFrame, path: str) -> None:
     """Replaces ``path``: written beside it first and then renamed, so it may be read from the same path."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     staged = f"{path}-{uuid.uuid4().hex}"
     df.write.json(staged)
-    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
+    fs, old = _file_system(df.sparkSession, path)
+    _, new = _file_system(df.sparkSession, staged)
     fs.delete(old, True)
     if not fs.rename(new, old):
         raise OSError(f"could not rename {staged} to {path}")
@@ -35,12 +36,12 @@ def write_catalog(df: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``source_id, text``: each file one text."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("source_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("source_id"), F.col("value").alias("text"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``file_name, bytes, kind, entries``: JSON documents of any shape, profiled without a schema."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     v = F.try_parse_json("value")
     rows = raw.select(F.col("_metadata.file_name").alias("file_name"), F.length("value").cast("long").alias("bytes"), v.alias("v"), "value")
     shape = F.schema_of_variant("v")
