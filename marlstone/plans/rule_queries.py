@@ -177,3 +177,31 @@ def quick_replies(spark, sf_dir):
         F.when(T.contains_any(low, lex.URGENT), "urgent"), F.when(T.contains_any(low, lex.PRICE), "price"), F.when(T.contains_any(low, lex.COMPLAINT), "complaint"), F.when(F.length("text") > 100, "long")
     )
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.filter(rules, lambda x: x.isNotNull()), 1, 3), ",").alias("replies"))
+
+
+_KEYWORDS = "list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-záéíóúñü]+')), lambda w: length(w) >= 4)"
+
+
+@query(f"""WITH p AS (SELECT u.conv_id, u.turn, {_KEYWORDS.format(c="u.text")} AS k, lower(a.text) AS ans FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
+SELECT conv_id, turn, NOT {_any(lex.DOMAIN, "ans")} AND len(k) > 0 AND len(list_filter(k, lambda w: contains(ans, w))) = 0 AS off_topic FROM p""")
+def flt_answer_offtopic(spark, sf_dir):
+    """Answers without a domain word that share no key word with their question."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("ans"))
+    keys = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-záéíóúñü]+"), F.lit(0))), lambda w: F.length(w) >= 4)
+    rows = u.join(a, ["conv_id", "turn"]).withColumn("k", keys)
+    off = ~T.contains_any(F.col("ans"), lex.DOMAIN) & (F.size("k") > 0) & ~F.exists("k", lambda w: F.contains("ans", w))
+    return rows.select("conv_id", "turn", off.alias("off_topic"))
+
+
+_LINE_OK = "NOT (length(x) <= 2 OR regexp_matches(x, '^[-_=|+.:;, ]{3,}$') OR (length(x) - length(replace(x, '|', '')) >= 2 AND r < 0.35) OR regexp_matches(s, '^p[áa]gina +#( +de +#)?$') OR list_contains(['www', 'http', 'https', 'comparte', 'share', 'menu', 'inicio'], s) OR regexp_matches(s, '^https?://[^ ]+$') OR (r < 0.18 AND regexp_matches(x, '[|+\\-_=]{2,}')))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(0), ''), chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT doc_id, pos, trim(raw) AS x FROM l), f AS (SELECT *, regexp_replace(lower(x), '[0-9]+', '#', 'g') AS s, length(regexp_replace(x, '[^\\pL]', '', 'g')) / greatest(length(x), 1) AS r FROM t)
+SELECT d.doc_id, coalesce(c.cleaned, '') AS cleaned FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) AS cleaned FROM f WHERE {_LINE_OK} GROUP BY doc_id) c ON c.doc_id = d.doc_id""")
+def clean_pages(spark, sf_dir):
+    """Texts without their noise lines."""
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: ~R.is_noise_line(x))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(kept, "\n").alias("cleaned"))

@@ -455,3 +455,27 @@ def upsert_union(spark, sf_dir):
 def apply_ratings(spark, sf_dir):
     d, l = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality IN (-1, 0, 1)").select("doc_id", "quality")
     return d.join(l, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).cast("long").alias("rating"))
+
+
+@query("SELECT n_nationkey, min(s_suppkey) AS s_suppkey FROM nation JOIN supplier ON contains(replace(lower(s_name), '#', ''), right('00000' || n_nationkey, 3)) GROUP BY n_nationkey")
+def first_contains(spark, sf_dir):
+    """The first branch whose name contains a key of three characters: branches by their substrings of that length, an equi-join."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.lower("s_name"), F.lit("#"), F.lit("")).alias("name"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substr("name", i, F.lit(3))))
+    grams = s.select("s_suppkey", F.explode(parts).alias("part")).groupBy("part").agg(F.min("s_suppkey").alias("s_suppkey"))
+    keys = table(spark, sf_dir, "nation").select("n_nationkey", F.right(F.concat(F.lit("00000"), F.col("n_nationkey").cast("string")), F.lit(3)).alias("part"))
+    return keys.join(grams, "part").select("n_nationkey", "s_suppkey")
+
+
+_PLACES = {"blble": "la", "onon": "th", "eaea": "es"}
+
+
+@query("""WITH t AS (SELECT doc_id, replace(replace(replace(lower(text), 'blble', 'la'), 'onon', 'th'), 'eaea', 'es') AS t FROM documents WHERE contains(lower(text), 'tion'))
+SELECT doc_id, CASE WHEN contains(t, 'the') THEN 'the' WHEN contains(t, 'ing') THEN 'ing' ELSE NULL END AS place FROM t""")
+def location_query(spark, sf_dir):
+    """Texts with a location word: aliases rewritten one after the other, then the first place they contain."""
+    t = F.lower("text")
+    d = table(spark, sf_dir, "documents").where(F.contains(t, F.lit("tion")))
+    for old, new in _PLACES.items():
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return d.select("doc_id", t.alias("t")).select("doc_id", F.when(F.contains("t", F.lit("the")), "the").when(F.contains("t", F.lit("ing")), "ing").alias("place"))
