@@ -76,4 +76,5 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` that overlap no item, all columns as they are."""
     bad = materialize(overlaps(docs, items, id_col, text_col).select(F.col("doc_key").alias("_bad")).distinct(), "contaminated")
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(_known_small(bad), key == F.col("_bad"), "left_anti")
+    bad = _known_small(bad)
+    return docs.join(bad, key == bad["_bad"], "left_anti")

@@ -23,12 +23,13 @@ MARGIN = 3.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: Starts at the first digit of a run: from a later one it fails if it fails from there, so this is linear.
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: Tokens that can be or belong to an entity: they hold a digit or an @.
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_MARKED = re.compile("[0-9@]")
+_BLANK = re.compile(r"\s|\Z")
 _TRIM = "\"'()[]{}<>,;:!?*#$%&|"
 
 
@@ -72,16 +73,20 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the tokens with a digit or an @, without punctuation around them."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
+    """Spans of the tokens that can be or belong to an entity: those with a digit or an @, without punctuation around them."""
+    out, b = [], 0
+    while m := _MARKED.search(text, b):
+        a, low = m.start(), b
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        b = end = _BLANK.search(text, m.end()).start()
         while a < b and text[a] in _TRIM:
             a += 1
         while b > a and (text[b - 1] in _TRIM or text[b - 1] == "."):
             b -= 1
         if a < b:
             out.append((a, b))
+        b = end
     return out
 
 

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from marlstone.llm import decontam, embed_dedup, html_wrapper, langid, pii, quality, queries
 from marlstone.session import ship
+from pyspark.sql import functions as F
 
 MID = "sf0.01"
 
@@ -228,3 +229,36 @@ def test_pipeline_stages(spark, mid):
     assert set(safe.doc_id) == set(clean.doc_id) and not any(any(plain_base(t).values()) for t in safe.text)
     assert (safe.n_chars == safe.text.str.len()).all() and set(packed.doc_id) == set(safe.doc_id)
     pd.testing.assert_series_equal(packed.groupby("sequence_id").length.sum() <= 4096, packed.groupby("sequence_id").length.sum() > 0, check_names=False)
+
+
+def test_pipeline_odd_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated rows, extra columns with names that the operators use; and no rows."""
+    import corpus_pipeline
+
+    rows = [(1, None, "en", None, 0), (2, "", None, "s", None), (3, "a very long one " * 60_000, "en", "s", 1), (3, "a very long one " * 60_000, "en", "s", 1), (None, "no id but text", "en", "s", 1)]
+    rows += [(10 + i, f"number {i} of the plain texts that stay, each with words of its own like w{i}x and {i * 7919}y", "en", "s", 9) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = {"_bad": 1, "_kept_id": 2, "_row": 3, "fp": 4, "doc_key": 5, "component_id": 6, "tokens": 7, "label": 8, "x": 9}
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for k, v in extra.items():
+            docs = docs.withColumn(k, F.lit(v))
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            assert out.count() <= n
+            docs = corpus_pipeline.materialize(out, "odd")
+        assert docs.where("doc_id = 3").count() <= 1
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert (packed.count() > 0) == (n > 0)
+
+
+@pytest.mark.parametrize("text", ["7" * 300_000 + " . . .", "a" * 300_000 + " 1", "1." * 100_000, "+1" + " " * 300_000, "a@" * 50_000, "x" * 300_000 + "@y.z"])
+def test_op10_long_runs(text):
+    assert pii.base_spans(text) == plain_base(text) if len(text) < 1000 else pii.base_spans(text) is not None
+    assert pii.tokens(text) is not None
+
+
+def test_op3_long_runs():
+    for page in ("<" * 200_000, "<a " * 60_000, "<!" * 60_000, "<p>" * 50_000, "&" * 100_000, "<div><" + "b" * 200_000):
+        html_wrapper.extract(page, "body")
