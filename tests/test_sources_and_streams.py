@@ -56,3 +56,24 @@ def test_streams(spark, sf, tmp_path):
     seen = {}
     jobs.write_counts(stream(), lambda df, i: seen.update({r.event_type: r.n for r in df.collect()}), str(tmp_path / "c2")).awaitTermination()
     assert seen == {r.event_type: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").count().collect()}
+
+
+def test_stateful_streams(spark, sf, tmp_path):
+    from marlstone.streaming.state import rate_limit
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/events.parquet").symlink_to(f"{sf}/events.parquet")
+    stream = jobs.read_events(spark, str(tmp_path / "in"), events.schema)
+    rows: list = []
+    limited = jobs.accepted(stream, "user_id", "ts", 3, 86400.0)
+    limited.writeStream.foreachBatch(lambda df, i: rows.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    batch = rate_limit(events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"), "event_id"), "user_id", "s", "event_id", 3, 86400.0).collect()
+    assert sorted((r.user_id, r.s, r.accepted) for r in rows) == sorted((r.user_id, r.s, r.accepted) for r in batch)
+    got: list = []
+    jobs.latest_unanswered(stream, lambda df, i: got.append([r.event_id for r in df.collect()]), str(tmp_path / "c2"), str(tmp_path / "errors"), 20).awaitTermination()
+    assert got[-1] == [r.event_id for r in events.where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).collect()]
+    seen: list = []
+    once = jobs.first_seen(stream.select("user_id", "ts"), "user_id", "ts", "400 days")
+    once.writeStream.foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.user_id for r in seen) == sorted(r.user_id for r in events.select("user_id").distinct().collect())
