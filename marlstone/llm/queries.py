@@ -82,4 +82,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({c}, '([<\[])(\\*/?(?:s|INST|ROLE|image|audio|document)[>\]])', '\1\\\2', 'g')"
+
+#: DuckDB SQL of the operators that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+  sum({len(chat_format.TURN + chat_format.ROLE_END + chat_format.TURN_END)} + length({_ESCAPED.format(c="role")}) + length({_ESCAPED.format(c="text")}))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op8_warc_revisits": """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM p JOIN f USING (payload_digest)""",
+}
