@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 #: Payloads of fewer bytes are written in full each time.
 LEAST_BYTES = 100
 #: Records of one archive file; readers hold one file at a time.
-FILE_RECORDS = 2000
+FILE_RECORDS = 1000
+#: Bytes that a reader inflates at a time.
+STEP = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -71,22 +73,44 @@ def write(pages: DataFrame, path: str, **options) -> None:
     records(pages, **options).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces of at most STEP bytes if it is gzipped, in one member or many; else as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            piece = d.decompress(data, STEP)
+            if not piece and not d.eof and not d.unconsumed_tail:
+                raise ValueError("the archive ends within a member")
+            data = d.unconsumed_tail
+            yield piece
+        data = d.unused_data
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and body of each record of an archive."""
-    if data[:2] == b"\x1f\x8b":
-        whole = b""
-        while data:  # one gzip member or many
-            d = zlib.decompressobj(31)
-            whole, data = whole + d.decompress(data) + d.flush(), d.unused_data
-        data = whole
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+    """Headers (lower-case names) and body of each record of an archive; holds STEP bytes and one record."""
+    pieces, held, at = _inflated(data), b"", 0
+    while True:
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if (piece := next(pieces, None)) is None:
+                if held[at:].strip():
+                    raise ValueError("the archive ends within a record")
+                return
+            held, at = held[at:] + piece, 0
+        lines = held[at:end].decode("utf-8").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        start, size = end + 4, int(head["content-length"])
+        if len(held) < start + size + 4:
+            parts = [held[start:]]
+            while sum(map(len, parts)) < size + 4 and (piece := next(pieces, None)) is not None:
+                parts.append(piece)
+            held, start = b"".join(parts), 0
+        if len(held) < start + size:
+            raise ValueError("the archive ends within a record")
+        yield head, held[start : start + size]
+        at = start + size + 4
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

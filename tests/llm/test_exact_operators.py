@@ -194,3 +194,16 @@ def test_op8_odd_rows(spark, tmp_path):
     assert got == {3: ("response", None, n, long), 5: ("revisit", 3, n, None), 9: ("revisit", 3, n, None), 1: ("response", None, 0, ""), 2: ("response", None, 0, ""), 4: ("response", None, 5, "short"), 6: ("response", None, 5, "short"), -1: ("response", None, 5, "no id")}
     warc.write(df.limit(0), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_op8_parse_in_steps(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "STEP", 7)
+    bodies = [b"", b"x" * 50, b"\r\n\r\n", b"y" * 3]
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\nA: b\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in bodies)
+    for archive in (data, gzip.compress(data), gzip.compress(data[:40]) + gzip.compress(data[40:])):
+        assert [b for _, b in warc.parse(archive)] == bodies
+    for broken in (data[:-40], gzip.compress(data)[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
