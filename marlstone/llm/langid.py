@@ -50,7 +50,7 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), SLOTS), np.float32)
     for i, t in enumerate(texts):
         if t:
-            out[i] = np.log1p(counts(t)) * idf
+            out[i] = counts(t) * idf
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
