@@ -27,12 +27,12 @@ ASIDE = frozenset("nav footer aside form dialog menu search".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar"
     " notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
-    " comment comments disqus respond reply replies complementary contentinfo search pagination pager widget".split()
+    " alert comment comments disqus respond reply replies complementary contentinfo search pagination pager widget".split()
 )
 #: A host's main container is the first of these that its wrapper has; else where most text is.
 MAIN = ("article", "main")
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
-WHOLE = frozenset(("html", "body", "article", "main"))
+WHOLE = frozenset(("html", "body", "main"))
 #: Share of a container's text that a part of it must hold to be the main container instead.
 MOST = 0.7
 
@@ -82,6 +82,8 @@ def key_of(name: str, marks: str) -> str:
 
 def is_aside(key: str) -> bool:
     name, *words = key.split(".")
+    if name == "article" and not MAIN_WORDS.isdisjoint(words):
+        return False
     return name in ASIDE or (name not in WHOLE and not ASIDE_WORDS.isdisjoint(words))
 
 

@@ -262,3 +262,12 @@ def test_op10_long_runs(text):
 def test_op3_long_runs():
     for page in ("<" * 200_000, "<a " * 60_000, "<!" * 60_000, "<p>" * 50_000, "&" * 100_000, "<div><" + "b" * 200_000):
         html_wrapper.extract(page, "body")
+
+
+def test_op3_asides():
+    page = (
+        "<body><nav>m</nav><div role=alert>n</div><article class='post'><header><h1>T</h1></header><p>a<aside>s</aside><p>b &amp; c<form>f<input></form><script>x</script>"
+        "<div class='cookie-notice'>k</div><section id='reader-comments'><article class='comment'>r</article></section><p>d</article><article class='comment'>r2</article><footer>z</footer>"
+    )
+    wrapper = html_wrapper.structure(page)
+    assert html_wrapper.extract(page, html_wrapper.container(wrapper)) == "T\na\nb & c\nd"
