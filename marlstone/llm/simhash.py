@@ -190,12 +190,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` with one row of each component left: that with its smallest id.
 
     Of rows that repeat that id, the one with the smallest text stays (null counts as empty).
-    Rows without an id belong to no component that could be named, and all stay.
+    Rows without an id belong to no component that could be named, and all stay. Texts are
+    shuffled once, by id, at every size: the ids that stay grow with the rows, so they are
+    never broadcast.
     """
     found = near_duplicates(docs, id_col, text_col, k)
     counted = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept_id")).count()
     keep = materialize(counted.withColumnRenamed("count", "_times"), "kept-ids")
-    kept = docs.join(keep.select("_kept_id"), docs[id_col] == keep["_kept_id"], "left_semi")
+    kept = docs.join(keep.select("_kept_id").hint("merge"), docs[id_col] == keep["_kept_id"], "left_semi")
     again = keep.where("_times > 1").select("_kept_id")
     if not again.isEmpty():
         repeats = kept.join(again, kept[id_col] == again["_kept_id"], "left_semi")
