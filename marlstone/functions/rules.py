@@ -18,15 +18,25 @@ def is_injection(text: Column) -> Column:
 
 
 def is_out_of_domain(text: Column) -> Column:
-    """Network questions are; texts with a domain word are not; then off-topic patterns and alien words are."""
-    t, found = F.lower(F.trim(text)), word_set(text)
-    return (
-        F.when(F.length(t) == 0, False)
-        .when(t.rlike(f"(?iuU)(?:{lex.NETWORK})"), True)
-        .when(F.arrays_overlap(found, words_array(lex.DOMAIN)), False)
-        .when(t.rlike(f"(?iuU)(?:{lex.OFF_TOPIC})"), True)
-        .otherwise(F.arrays_overlap(found, words_array(lex.ALIEN)))
-    )
+    """Network questions are; texts with a domain word are not; then off-topic patterns and alien words are.
+
+    The words that decide are picked once; patterns run only on texts that hold a word of theirs.
+    """
+    t = F.lower(F.trim(text))
+    network = contains_any(t, ("ip", "dns", "scan", "puerto")) & t.rlike(f"(?U)(?:{lex.NETWORK})")
+    topic = t.rlike(r"^[\s0-9]") | contains_any(t, ("presidente", "clima", "receta", "chiste", "poema", "hora", "fecha"))
+    known = F.array_intersect(word_set(text), words_array([*lex.DOMAIN, *lex.ALIEN]))
+
+    def decide(found: Column) -> Column:
+        return (
+            F.when(F.length(t) == 0, False)
+            .when(network, True)
+            .when(F.arrays_overlap(found, words_array(lex.DOMAIN)), False)
+            .when(topic & t.rlike(f"(?U)(?:{lex.OFF_TOPIC})"), True)
+            .otherwise(F.size(found) > 0)
+        )
+
+    return F.element_at(F.transform(F.array(known), decide), 1)
 
 
 def is_smalltalk(text: Column) -> Column:

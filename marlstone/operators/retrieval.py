@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", id_col: st
     toks = docs.select(F.col(id_col).alias("doc_id"), bm25_tokens(F.col(text_col)).alias("toks"))
     sizes = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_len"))
     tf = toks.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("w")).groupBy("doc_id", "len", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
+    df = tf.groupBy("w").agg(F.count("tf").alias("df")).join(F.broadcast(sizes))  # reads tf as the last join does: one shuffle for both
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.select("w", idf.alias("idf"), "avg_len")
     mean = df.agg(F.avg("idf").alias("mean_idf"))

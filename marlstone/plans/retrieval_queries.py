@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import retrieval as R
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 
@@ -64,7 +64,7 @@ s AS (SELECT query_id, doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE i
 
 def _bm25(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.bm25(table(spark, sf_dir, "documents"), queries)
+    return R.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), queries)
 
 
 @query(f"{_BM25} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
@@ -108,7 +108,7 @@ def local_search(spark, sf_dir):
     """Two documents for each item by the long words and the whole phrase they contain; candidates share a word, by an equi-join."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), F.filter(words("text"), lambda w: F.length(w) >= 9).alias("words"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pairs = d.select("doc_id", F.explode(words("text")).alias("w")).join(q.select("item_id", F.explode("words").alias("w")), "w").select("item_id", "doc_id").distinct()
     rows = pairs.join(q, "item_id").join(d, "doc_id")
     score = 2 * F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w))) + F.when(F.contains("text", "phrase"), 4).otherwise(0)
@@ -164,7 +164,7 @@ def search_topk(spark, sf_dir):
 @query()
 def chunk_documents(spark, sf_dir):
     """A sequential cut; tests hold it against a plain loop."""
-    return C.chunks(table(spark, sf_dir, "documents"))
+    return C.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query()

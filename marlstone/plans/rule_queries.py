@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import rules as R
 from ..functions import text as T
-from ..session import table
+from ..session import spread, table
 from .registry import query, sql_list
 
 
@@ -35,24 +35,24 @@ def flt_greeting(spark, sf_dir):
 
 @query()
 def flt_injection(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", R.is_injection(F.col("text")).alias("injection"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", R.is_injection(F.col("text")).alias("injection"))
 
 
 @query()
 def flt_out_of_domain(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", R.is_out_of_domain(F.col("text")).alias("outside"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", R.is_out_of_domain(F.col("text")).alias("outside"))
 
 
 @query(f"SELECT doc_id, {_any(lex.DOMAIN)} AS in_domain FROM documents")
 def flt_any_substring(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.contains_any(F.lower("text"), lex.DOMAIN).alias("in_domain"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.contains_any(F.lower("text"), lex.DOMAIN).alias("in_domain"))
 
 
 @query(f"SELECT doc_id, {_any(lex.FAREWELL)} AS farewell, {_any(lex.COMPLAINT)} AS complaint, {_any(lex.URGENT)} AS urgent, {_any(lex.PRICE)} AS price FROM documents")
 def flt_complaint(spark, sf_dir):
     low = F.lower("text")
     named = {"farewell": lex.FAREWELL, "complaint": lex.COMPLAINT, "urgent": lex.URGENT, "price": lex.PRICE}
-    return _docs(spark, sf_dir).select("doc_id", *[T.contains_any(low, words).alias(name) for name, words in named.items()])
+    return spread(_docs(spark, sf_dir)).select("doc_id", *[T.contains_any(low, words).alias(name) for name, words in named.items()])
 
 
 @query(f"SELECT doc_id, length(t) <= 3 OR list_contains({sql_list(lex.TERSE)}, t) AS terse FROM (SELECT doc_id, lower(trim(substring(text, 1, (doc_id % 6)::BIGINT))) AS t FROM documents)")
@@ -100,7 +100,7 @@ def ungrounded_numbers(spark, sf_dir):
   regexp_extract_all(substring(text, 1, 120), '[0-9]+') AS n, substring(text, 60, 2000) AS ctx FROM documents)
 SELECT doc_id, len(list_filter(w, lambda x: contains(translate(lower(ctx), '{lex.ACCENTS}', '{lex.PLAIN}'), x))) >= 2 AND len(list_filter(n, lambda x: NOT contains(ctx, x))) = 0 AS ok FROM w""")
 def grounded_answer(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", R.grounded(F.substring("text", 1, 120), F.substring("text", 60, 2000)).alias("ok"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", R.grounded(F.substring("text", 1, 120), F.substring("text", 60, 2000)).alias("ok"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, rtrim(substring(text, 1, (40 + doc_id % 200)::BIGINT)) AS t FROM documents),
@@ -135,7 +135,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE length(x) <=
   OR regexp_matches(shape, '^p[áa]gina +#( +de +#)?$') OR list_contains(['www', 'http', 'https', 'comparte', 'share', 'menu', 'inicio'], shape) OR regexp_matches(shape, '^https?://[^ ]+$')
   OR (r < 0.18 AND regexp_matches(x, '[|+\\-_=]{2,}')))::BIGINT AS n_noise FROM s GROUP BY doc_id""")
 def flt_noise_lines(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(R.is_noise_line(F.col("x"))).alias("n_noise"))
 
 

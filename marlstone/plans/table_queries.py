@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import dedup as D
 from ..operators import history as H
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 # Sources and catalogues
@@ -290,7 +290,7 @@ n AS (SELECT source, count(DISTINCT doc_id) AS total FROM documents GROUP BY sou
 SELECT source, line, count(*)::BIGINT AS n_docs FROM l JOIN n USING (source) WHERE line <> '' GROUP BY source, line, total HAVING count(*) >= 2 AND count(*) >= 0.04 * total""")
 def repeated_lines(spark, sf_dir):
     """Line shapes that many documents of a source share."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
     line = F.regexp_replace(F.lower(F.trim(F.col("x"))), "[0-9]+", "#")
     lines = d.select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("x")).select("source", "doc_id", line.alias("line")).where("line <> ''").distinct()
     total = d.select("source", "doc_id").distinct().groupBy("source").agg(F.count("*").alias("total"))

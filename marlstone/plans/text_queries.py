@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import text as T
-from ..session import table
+from ..session import spread, table
 from .registry import query, sql_list
 
 _LINES = "string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
@@ -26,7 +26,7 @@ SELECT doc_id, array_to_string(list_filter(
       AND NOT starts_with(lower(x), 'http://') AND NOT starts_with(lower(x), 'https://')), chr(10)) AS norm
 FROM documents""")
 def norm_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.norm_text(F.col("text")).alias("norm"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.norm_text(F.col("text")).alias("norm"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) AS norm FROM documents")
@@ -36,12 +36,12 @@ def norm_question(spark, sf_dir):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9áéíóúñü \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS norm FROM documents")
 def norm_local(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.norm_local(F.col("text")).alias("norm"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.norm_local(F.col("text")).alias("norm"))
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS norm FROM documents")
 def norm_match(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.norm_match(F.col("text")).alias("norm"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.norm_match(F.col("text")).alias("norm"))
 
 
 @query("SELECT doc_id, substring(sha1(lower(text)), 1, 16) AS fp, substring(sha1(lower(substring(text, 1, 300))), 1, 16) AS fp300 FROM documents")
@@ -54,13 +54,13 @@ SELECT doc_id, len(toks)::BIGINT AS n_tokens, array_to_string(toks, ' ') AS toke
   SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]+'), lambda x: length(x) >= 2) AS toks FROM documents)""")
 def bm25_tokens(spark, sf_dir):
     toks = T.bm25_tokens(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", toks.alias("toks")).select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", toks.alias("toks")).select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[\\pL\\pN\\pM_]+|[^\\s\\pL\\pN\\pM_]'))::BIGINT AS n_tokens, len(regexp_extract_all(text, '[\\pL\\pN\\pM_]+|[^\\s\\pL\\pN\\pM_]'))::BIGINT + 4 AS message_tokens FROM documents")
 def token_counts(spark, sf_dir):
     n = T.token_count(F.col("text")).cast("long")
-    return _docs(spark, sf_dir).select("doc_id", n.alias("n_tokens"), (n + 4).alias("message_tokens"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", n.alias("n_tokens"), (n + 4).alias("message_tokens"))
 
 
 @query(f"""
@@ -68,7 +68,7 @@ SELECT doc_id, CASE WHEN length(trim(text)) < 3 THEN 'es' WHEN en > es + 1 THEN
   SELECT doc_id, text, len(list_intersect(w, {sql_list(lex.ENGLISH_MARKERS)})) AS en, len(list_intersect(w, {sql_list(lex.SPANISH_MARKERS)})) AS es FROM (
     SELECT doc_id, text, list_distinct(regexp_extract_all(lower(trim(text)), '[a-z]+')) AS w FROM documents))""")
 def detect_lang(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.detect_lang(F.col("text")).alias("lang_rule"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.detect_lang(F.col("text")).alias("lang_rule"))
 
 
 @query("""
@@ -106,7 +106,7 @@ def clean_bullets(spark, sf_dir):
 def clean_llm(spark, sf_dir):
     """Look-behind of the oracle's engine is missing; tests hold it against Python."""
     built = F.concat(F.lit("<think>no</think>## **"), F.substring("text", 1, 40), F.lit("** [a](b)\n\n\n\n"), F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", T.clean_answer(built).alias("cleaned"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.clean_answer(built).alias("cleaned"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS cleaned FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10) || chr(10)) AS t FROM documents)")
