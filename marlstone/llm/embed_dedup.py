@@ -189,40 +189,52 @@ def verified(graph: DataFrame, points: DataFrame, threshold: float) -> DataFrame
     return rows.mapInArrow(check, "src long, dst long")
 
 
-def saturated_links(members: DataFrame, threshold: float) -> DataFrame:
-    """``node, links``: links of each node within its component, weighted by copies; all pairs, in blocks.
+def saturated_links(points: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """``node, links, low``: links of the nodes of ``full`` with all nodes of their label, in blocks.
 
-    members: ``root, node, copies, unit``. Lists of these components were full of links, so they
-    grow to the whole component; a task holds two blocks and returns sums, never pairs.
+    A row for each node and pair of blocks in which it has links: their number, weighted by copies,
+    and the smallest node that they reach. A node outside ``full`` gets its links with nodes of
+    it. A task holds two blocks and returns sums, never pairs.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.join(sizes, "root").withColumn("block", own)
-    rows = rows.select("root", "node", "copies", "unit", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "unit")
+    group = F.xxhash64("label", "dim").alias("grp")
+    every = points.select(group, "node", "copies", "unit").join(full.select("node", F.lit(True).alias("full")), "node", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = every.groupBy("grp").agg(blocks(F.count("*")).alias("of_all"), blocks(F.count_if("full")).alias("of_full")).where("of_full > 0")
+    every = every.join(sizes, "grp")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = ("grp", "lo", "hi", "own", "node", "copies", "full", "unit")
+    left = every.where("full").select("grp", place("of_full").alias("lo"), others("of_all").alias("hi"), F.lit(True).alias("own"), "node", "copies", "full", "unit")
+    right = every.select("grp", others("of_full").alias("lo"), place("of_all").alias("hi"), F.lit(False).alias("own"), "node", "copies", "full", "unit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["root", "lo", "hi"]):
-            ids, copies, block = (g.column(c).to_numpy() for c in ("node", "copies", "block"))
-            x = np.array(g.column("unit").to_pylist(), np.float64)
-            lo, hi = g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
-            if lo == hi:
-                near = x @ x.T >= threshold
-                np.fill_diagonal(near, False)
-                links = near @ copies
-            else:
-                a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-                near = x[a] @ x[b].T >= threshold
-                links = np.zeros(len(ids), np.int64)
-                links[a], links[b] = near @ copies[b], near.T @ copies[a]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64))], ["node", "links"])
-
-    sums = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(count, "node long, links long")
-    return sums.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def audit(points: DataFrame, placed: DataFrame, edges: DataFrame, threshold: float) -> float:
-    """Share of the links of up to AUDITED nodes, each compared with every node of its label, that the graph has."""
+        most = np.iinfo(np.int64).max
+        for g in groups(batches, ["grp", "lo", "hi"]):
+            own, ids, copies, full = (g.column(c).to_numpy() for c in ("own", "node", "copies", "full"))
+            own, full = own.astype(bool), full.astype(bool)
+            if not own.any() or own.all():
+                continue
+            x = g.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            s, t = ids[own], ids[~own]
+            near = (x[own] @ x[~own].T >= threshold) & (s[:, None] != t)
+            low_s, low_t = s, t
+            while True:
+                new_s = np.minimum(low_s, np.where(near, low_t, most).min(1))
+                new_t = np.minimum(low_t, np.where(near, new_s[:, None], most).min(0))
+                if (new_s == low_s).all() and (new_t == low_t).all():
+                    break
+                low_s, low_t = new_s, new_t
+            links = np.concatenate([near @ copies[~own], np.where(full[~own], 0, copies[own] @ near)])
+            some = np.concatenate([near.any(1), near.any(0)])
+            cols = (np.concatenate([s, t])[some], links[some].astype(np.int64), np.concatenate([low_s, low_t])[some])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "links", "low"])
+
+    rows = left.select(*row).union(right.select(*row)).repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    return rows.mapInArrow(count, "node long, links long, low long")
+
+
+def audit(points: DataFrame, full: DataFrame, edges: DataFrame, threshold: float) -> float:
+    """Share of the links of up to AUDITED nodes, each compared with every node of its label, that the graph has or a node of ``full`` will find."""
     chosen = points.where(F.col("node") % 50 == 0).orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "label", "unit").collect()
     by: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     for at in {(r["label"], len(r["unit"])) for r in chosen}:
@@ -241,10 +253,10 @@ def audit(points: DataFrame, placed: DataFrame, edges: DataFrame, threshold: flo
                     yield pa.RecordBatch.from_arrays([pa.array(q[q != d]), pa.array(d[q != d])], ["q", "d"])
 
     true = points.select("node", "label", "dim", "unit").mapInArrow(compare, "q long, d long")
-    p, r = (placed.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"), F.col("saturated").alias(f"{c}_saturated")) for c in ("q", "d"))
+    p, r = (full.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_full")) for c in ("q", "d"))
     pairs = edges.select("src", "dst", F.lit(True).alias("linked"))
     true = true.join(p, "q", "left").join(r, "d", "left").join(pairs, (F.least("q", "d") == F.col("src")) & (F.greatest("q", "d") == F.col("dst")), "left")
-    found = F.coalesce("linked", (F.col("q_root") == F.col("d_root")) & F.col("q_saturated"), F.lit(False))
+    found = F.coalesce("linked", "q_full", "d_full", F.lit(False))
     n, hit = true.agg(F.count("*"), F.sum(found.cast("int"))).first()
     return (hit or 0) / n if n else 1.0
 
@@ -255,10 +267,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors are compared within a label (and length) only. Those that are null, empty, zero or
     hold null or non-finite components, and those without a label or id, link with nothing.
     Equal vectors of a label are one node with so many copies. First lists come from hyperplane
-    tables, NN-descent rounds refine them; components with a full list of links have it
-    enlarged to the whole component. An audit compares up to AUDITED nodes with all, and
-    doubles the tables while recall is under RECALL, three times at most. Rows that repeat an
-    id are rows of their own: each has the links of its vector.
+    tables, NN-descent rounds refine them; a node whose list is full of links is compared with
+    its whole label. An audit compares up to AUDITED nodes with all, and doubles the tables
+    while recall is under RECALL, three times at most; where that is not enough, all nodes are
+    compared with their whole labels. Rows that repeat an id are rows of their own: each has
+    the links of its vector.
     """
     points = materialize(nodes(vectors, id_col, vector_col, label_col), "points")
     graph, tables = None, range(0, TABLES)
@@ -272,19 +285,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if changed <= SETTLED * max(1, graph.count()):
                 break
         edges = materialize(verified(graph, points, threshold), "links")
-        roots = connected_components(edges)
         full = graph.where(F.col("sim") > threshold - 0.01).groupBy("src").count().where(F.col("count") >= NEIGHBOURS)
-        full = full.join(roots, F.col("src") == F.col("node")).select("root").distinct().withColumn("saturated", F.lit(True))
-        placed = materialize(roots.join(full, "root", "left").select("node", "root", F.coalesce("saturated", F.lit(False)).alias("saturated")), "placed")
-        if len(tables) >= 4 * TABLES or audit(points, placed, edges, threshold) >= RECALL:
+        full = materialize(full.select(F.col("src").alias("node")), "full")
+        if audit(points, full, edges, threshold) >= RECALL:
+            break
+        if len(tables) >= 4 * TABLES:
+            full = points.select("node").distinct()
             break
         tables = range(tables.stop, 2 * tables.stop)
-    members = points.select("node", "copies", "unit").join(placed.where("saturated"), "node").select("root", "node", "copies", "unit")
-    many = saturated_links(members, threshold)
+    many = materialize(saturated_links(points, full, threshold), "full-links")
     weights = points.select("node", "copies")
     ends = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    few = ends.join(placed.where("NOT saturated"), F.col("src") == F.col("node")).select("src", "dst").join(weights, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.sum("copies").alias("links"))
-    each = weights.join(few.union(many), "node", "left").join(placed.select("node", "root"), "node", "left")
+    ends = ends.join(full, F.col("src") == F.col("node"), "left_anti").join(full, F.col("dst") == F.col("node"), "left_anti")
+    few = ends.join(weights, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), F.col("copies").alias("links"))
+    links = few.union(many.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
+    roots = connected_components(edges.union(many.select(F.col("low").alias("src"), F.col("node").alias("dst"))))
+    each = weights.join(links, "node", "left").join(roots, "node", "left")
     each = each.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     each = each.join(points.select("node", "key"), "node").select("key", "n_links", "component_id")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _key(F.col(label_col).cast("string"), F.col(vector_col).cast("array<double>")).alias("key"))

@@ -129,6 +129,39 @@ def test_op7_against_all_pairs(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_op7_links_between_dense_groups(spark):
+    ship(spark)
+    rng = np.random.default_rng(11)
+    turn = np.arccos(0.955) / 2
+    centers = np.zeros((2, 32))
+    centers[:, 0], centers[:, 1] = np.cos(turn), (np.sin(turn), -np.sin(turn))
+    x = (np.repeat(centers, 40, 0) + 0.012 * rng.standard_normal((80, 32))).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert linked[:40, 40:].sum() > 1000
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(80 + i, v.tolist(), 2) for i, v in enumerate(x[:40])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).toPandas().set_index("vec_id").sort_index()
+    assert got.n_links.tolist() == [*linked.sum(1), *linked[:40, :40].sum(1)]
+    assert got.component_id.tolist() == [0] * 80 + [80] * 40
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_op7_full_nodes_against_all(spark, monkeypatch, block):
+    ship(spark)
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rng = np.random.default_rng(13)
+    x = np.repeat(rng.standard_normal((6, 16)), 10, 0) + 0.17 * rng.standard_normal((60, 16))
+    points = embed_dedup.nodes(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    full = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "node long")
+    got = embed_dedup.saturated_links(points, full, 0.93).groupBy("node").agg(F.sum("links").alias("n")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (np.arange(60)[:, None] % 2 == np.arange(60) % 2)
+    np.fill_diagonal(linked, False)
+    want = np.where(np.arange(60) % 3 == 0, linked.sum(1), linked[:, ::3].sum(1))
+    assert {r.node: r.n for r in got} == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
 def test_op9_held_out(spark, mid):
     got = queries.op9_language_id(spark, mid).toPandas()
     docs = spark.read.parquet(f"{mid}/documents.parquet").toPandas()
