@@ -34,22 +34,10 @@ def union_in_order(stages: list[DataFrame], key: str) -> DataFrame:
 def two_key_dedup(df: DataFrame, first: str, second: str, order: str, by: str) -> DataFrame:
     """Rows, in order within ``by``, whose first key is new and then whose second key is new among rows kept.
 
-    A row dropped for its first key never registers its second, so this is a fold; candidates that
-    repeat both keys are dropped before it, which bounds a group by its distinct pairs of keys.
+    A row dropped for its first key never registers its second, so the first row of each second
+    key among the first rows of each first key is what a fold over rows in order keeps.
     """
-    import pandas as pd
-
-    once = keep_first(df.select(by, first, second, order), [F.col(by), F.col(first), F.col(second)], F.col(order))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        firsts, seconds, keep = set(), set(), []
-        for a, b in rows.sort_values(order)[[first, second]].itertuples(index=False):
-            ok = a not in firsts and b not in seconds
-            if a not in firsts:
-                firsts.add(a)
-                if ok:
-                    seconds.add(b)
-            keep.append(ok)
-        return rows.sort_values(order)[keep]
-
-    return once.groupBy(by).applyInPandas(fold, once.schema)
+    rows = df.select(by, first, second, order)
+    for key in (first, second):
+        rows = keep_first(rows, [F.col(by), F.col(key)], F.col(order))
+    return rows

@@ -100,6 +100,36 @@ def test_two_key_dedup(spark):
     assert sorted(r.i for r in D.two_key_dedup(df, "h", "k", "i", "g").collect()) == [1, 3]
 
 
+def plain_two_keys(rows):
+    firsts, seconds, kept = set(), set(), []
+    for i, g, h, k in sorted(rows):
+        if (g, h) not in firsts and (g, k) not in seconds:
+            seconds.add((g, k))
+            kept.append(i)
+        firsts.add((g, h))
+    return kept
+
+
+def test_two_key_dedup_against_loop(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(1, "a", "h1", "k1"), (2, "a", "h2", "k1"), (3, "a", "h2", "k2")]
+    rows += [(i, draw.choice("bc"), draw.choice(["", *map(str, range(40))]), draw.choice("pqrstuvwxyz")) for i in range(4, 300)]
+    got = D.two_key_dedup(spark.createDataFrame(rows, "i long, g string, h string, k string"), "h", "k", "i", "g")
+    assert sorted(r.i for r in got.collect()) == plain_two_keys(rows)
+
+
+def test_dedup_two_key_reads_whole_texts(spark, tmp_path):
+    from marlstone.plans import QUERIES
+
+    head = "the same first words of many texts, well over forty characters, and then "
+    rows = [(1, head + "one", "en", "s"), (2, head + "two", "en", "s"), (3, head + "one", "en", "t"), (4, head + "One.", "en", "t"), (5, head + "TWO", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in QUERIES["dedup_two_key"](spark, str(tmp_path)).collect()) == [1, 2, 4]
+
+
+
 def test_upsert_and_replace(spark):
     base, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i long, v string"), spark.createDataFrame([(2, "x"), (4, "y")], "i long, v string")
     assert sorted(map(tuple, D.upsert(base, new, "i").collect())) == [(1, "a"), (2, "x"), (3, None), (4, "y")]
