@@ -29,7 +29,7 @@ ASIDE_WORDS = frozenset(
     " notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
     " alert comment comments disqus respond reply replies complementary contentinfo search pagination pager widget".split()
 )
-#: A host's main container is the first of these that its wrapper has; else where most text is.
+#: A host's main container is the first of these that holds half of its wrapper's text; else where most text is.
 MAIN = ("article", "main")
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 WHOLE = frozenset(("html", "body", "main"))
@@ -289,12 +289,18 @@ def fill(items, values: Iterator[tuple]):
 
 
 def container(wrapper: list) -> str:
-    """The key of the element that holds a host's articles: an article or main element, one so named, or the deepest with most slot text."""
+    """The key of the element that holds a host's articles: article or main elements or one so named that hold half of the slot text, or the deepest with most of it.
+
+    Where no text stands outside of asides, the first article or main element there is.
+    """
     mass: dict[tuple[str, ...], int] = {}
+    held_by = dict.fromkeys(MAIN, 0)
+    every = 0
     seen: list[str] = []
     stack: list[str] = []
 
     def walk(items) -> None:
+        nonlocal every
         for x in items:
             if isinstance(x, str):
                 name = x[1:].split(".", 1)[0]
@@ -306,17 +312,22 @@ def container(wrapper: list) -> str:
                     if name not in VOID:
                         stack.append(x[1:])
             elif x[0] == "t":
-                if not any(is_aside(k) for k in stack) and not any(k.split(".", 1)[0] in ("a", "header") for k in stack):
+                names = {k.split(".", 1)[0] for k in stack}
+                if not any(is_aside(k) for k in stack) and names.isdisjoint(("a", "header")):
+                    chars = x[2] if x[1] is None else x[2] // 4
+                    every += chars
+                    for name in names.intersection(MAIN):
+                        held_by[name] += chars
                     for i in range(1, len(stack) + 1):
                         at = tuple(stack[:i])
-                        mass[at] = mass.get(at, 0) + (x[2] if x[1] is None else x[2] // 4)
+                        mass[at] = mass.get(at, 0) + chars
             else:
                 walk(x[1])
 
     walk(wrapper)
     for name in MAIN:
-        if found := [k for k in seen if k.split(".", 1)[0] == name]:
-            return min(found, key=len).split(".", 1)[0]
+        if 2 * held_by[name] >= every and any(k.split(".", 1)[0] == name for k in seen):
+            return name
     held = {at[-1] for at in mass}
     named = [k for k in seen if k in held and k.split(".", 1)[0] in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(k.split(".")[1:])]
     total = max(mass.values(), default=0)
@@ -330,13 +341,17 @@ def container(wrapper: list) -> str:
 
 
 def extract(html: str | None, main: str = "article") -> str:
-    """The blocks of text in the elements ``main`` (all elements, if the page has none), without asides; joined by line ends."""
+    """The blocks of text in the elements ``main`` (all elements, if the page has none), without asides; joined by line ends.
+
+    Elements ``main`` inside asides count only where the page has no text in others.
+    """
     if not html:
         return ""
     tokens = list(scan(html))
     plain = "." not in main
     inside = any(kind == "<" and (value == main if plain else key_of(value, marks) == main) for kind, value, marks in tokens)
     blocks: list[str] = []
+    apart: list[str] = []
     parts: list[str] = []
     stack: list[str] = []
 
@@ -344,18 +359,19 @@ def extract(html: str | None, main: str = "article") -> str:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                blocks.append(text)
+                (apart if beside else blocks).append(text)
             parts.clear()
 
     open_main = not inside
-    hidden = False
+    hidden = beside = False
 
     def look() -> None:
-        nonlocal open_main, hidden
+        nonlocal open_main, hidden, beside
         first = 0
         if inside:
             first = next((i for i, k in enumerate(stack) if (k.split(".", 1)[0] == main if plain else k == main)), -1)
             open_main = first >= 0
+            beside = any(is_aside(k) for k in stack[: max(first, 0)])
         hidden = not open_main or any(is_aside(k) for k in stack[first:]) or (not inside and any(k.split(".", 1)[0] == "header" for k in stack))
 
     look()
@@ -375,7 +391,7 @@ def extract(html: str | None, main: str = "article") -> str:
             stack.append(key_of(value, marks))
         look()
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks or apart)
 
 
 def host_of(url: Column) -> Column:

@@ -304,3 +304,17 @@ def test_op3_asides():
     )
     wrapper = html_wrapper.structure(page)
     assert html_wrapper.extract(page, html_wrapper.container(wrapper)) == "T\na\nb & c\nd"
+
+
+def test_op3_story_outside_of_articles(spark):
+    ship(spark)
+    page = "<body><div class=content><h1>T{0}</h1><p>{1}</p></div><article><p>teaser {0}</p></article><article><p>reply {0}</p></article>"
+    rows = [(i, f"http://h/{i}", page.format(i, f"story {i} " * 30)) for i in range(4)]
+    got = html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"T{i}\n" + (f"story {i} " * 30).strip() for i in range(4)}
+
+
+def test_op3_articles_in_asides():
+    story, related = "<article><h1>T</h1><p>story</p></article>", "<div class=related><article><p>teaser</p></article></div>"
+    assert html_wrapper.extract(f"<body>{related}{story}", "article") == "T\nstory"
+    assert html_wrapper.extract(f"<body>{related}", "article") == "teaser"
