@@ -62,8 +62,8 @@ m AS (SELECT avg(idf) AS mean_idf FROM df), a AS (SELECT item_id AS query_id, un
 s AS (SELECT query_id, doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) AS score FROM tf JOIN df USING (w) JOIN a USING (w), m, z GROUP BY query_id, doc_id)"""
 
 
-def _bm25(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def _bm25(spark, sf_dir, which="item_id < 5"):
+    queries = table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return R.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), queries)
 
 
@@ -183,10 +183,10 @@ def embed_stub(spark, sf_dir):
 
 @query()
 def rerank_stub(spark, sf_dir):
-    """The reranker interface with its deterministic stub, on the ten best of each query."""
+    """The reranker interface with its deterministic stub, on the ten best of each benchmark item."""
     from .providers import rerank
 
-    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id")
+    top = R.ranked(_bm25(spark, sf_dir, "true"), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id")
     scored = rows.select("query_id", "doc_id", rerank(F.col("q"), F.col("text")).alias("score"))

@@ -169,3 +169,10 @@ def test_slot_machine(spark):
     df = spark.createDataFrame([(1, i, s, float(i)) for i, s in enumerate(["a", "x", "b", "a", "b", "b"])], "u long, i long, s string, v double")
     got = slot_machine(df, "u", "i", "s", "v", ["a", "b"]).orderBy("i").collect()
     assert [r.missing for r in got] == ["b", "b", None, "b", None, "a"] and [r.form for r in got if r.form] == ["0.0|2.0", "3.0|4.0"]
+
+
+def test_rerank_stub_asks_every_item(spark, sf):
+    from marlstone.plans import QUERIES
+
+    asked = {r.query_id for r in QUERIES["rerank_stub"](spark, sf).select("query_id").distinct().collect()}
+    assert asked == {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
