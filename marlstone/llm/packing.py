@@ -32,13 +32,20 @@ class WordIds:
 
     Each white-space-delimited piece is then encoded by itself, with the same ids as in its
     text, and kept as little-endian 32-bit ids. Of a piece of ASCII letters with signs behind
-    them, letters and signs are encoded by themselves; letters are lower-cased either way.
+    them, letters and signs are encoded by themselves; letters are lower-cased either way. The
+    tokenizer looks for its added tokens before it lower-cases, so a text that holds one in any
+    case is left as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def lowered(self, text: str) -> str:
+        low = text.lower() if text.isascii() else text
+        return text if any(a in low for a in self.added) else low
 
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 10_000):
@@ -47,7 +54,7 @@ class WordIds:
                 self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self.lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
