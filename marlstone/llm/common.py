@@ -15,10 +15,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode only."""
     ship(spark)
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -33,12 +35,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone; the folder is scratch space either way
             return
 
@@ -48,10 +53,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs a reread, not the work before it.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Latest(name).put(df)
+
+
+class Latest:
+    """A table that each round of an iteration replaces: the round before is removed once the new one is written."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark, old = df.sparkSession, self.path
+        self.path = scratch_path(spark, self.name)
+        df.write.parquet(self.path)
+        if old:
+            _remove(spark, old)
+            _written.remove((spark, old))
+        return spark.read.schema(df.schema).parquet(self.path)
 
 
 def id_hash(col: str) -> Column:
@@ -70,7 +88,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     ).distinct()
-    e = materialize(e, "edges")
+    table = Latest("edges")
+    e = table.put(e)
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,7 +97,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(m.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = table.put(small.union(m.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -9,48 +9,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+from .common import materialize
+
 #: Payloads of fewer bytes are written in full each time.
 LEAST_BYTES = 100
-#: Records of one archive file; readers hold one file at a time.
-FILE_RECORDS = 1000
+#: Records of one archive file at most, and bytes that they may have if all are as long as the longest; a reader's task holds one file, compressed.
+FILE_RECORDS, FILE_BYTES = 1000, 1 << 30
 #: Bytes that a reader inflates at a time.
 STEP = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """``page_id, payload_digest, payload_bytes, refers_to`` for every row; ``refers_to`` is null for responses.
+def heads_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``page_id, payload_digest, payload_bytes`` for every row. Null payloads are empty."""
+    payload = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
+    return pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+
+
+def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """``page_id, payload_digest, payload_bytes, refers_to`` for every row of ``heads``; ``refers_to`` is null for responses.
 
     Headers alone are shuffled: the smallest id of each digest is a partial minimum, and the
-    join on digests moves ids and digests, never payloads. Null payloads are empty.
+    join on digests moves ids and digests, never payloads. A row without an id revisits any
+    row with one, and is a response if there is none; rows that repeat the smallest id are all
+    responses.
     """
-    payload = F.encode(F.coalesce(html_col, F.lit("")), "UTF-8")
-    heads = pages.select(F.col(id_col).alias("page_id"), F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     first = heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return heads.join(first.select("payload_digest", "first_id"), "payload_digest", "left").select(
-        "page_id", "payload_digest", "payload_bytes", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to")
-    )
+    later = (F.col("first_id") < F.col("page_id")) | F.col("page_id").isNull()
+    return heads.join(first.select("payload_digest", "first_id"), "payload_digest", "left").select("page_id", "payload_digest", "payload_bytes", F.when(later, F.col("first_id")).alias("refers_to"))
 
 
 def _urn(page) -> F.Column:
     return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, heads: DataFrame | None = None) -> DataFrame:
     """``record``: a WARC/1.1 record for each row, without the two line ends that close it.
 
-    A revisit has no payload; its headers are made anew and name the response. Rows that
-    repeat an id are a response or revisit like the others of that id. Null ids are written
-    as -1, null addresses as empty ones.
+    A revisit has no payload; its headers are made anew and name the response. What a row is
+    depends on its id and payload together, so rows that share an id and differ in payload each
+    keep theirs, as responses or as revisits of a response that holds it. Null ids and addresses
+    are written as empty ones, null payloads as empty; an empty table gives no records; other
+    columns are not read. ``heads`` are those of ``pages``, if they are at hand.
     """
-    decided = resolve(pages, id_col, html_col, least).where("refers_to IS NOT NULL").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    rows = rows.join(decided, "page_id", "left")
+    heads = heads_of(pages, id_col, html_col) if heads is None else heads
+    decided = resolve(heads, least).where("refers_to IS NOT NULL").groupBy(F.col("page_id").alias("_id"), "payload_digest").agg(F.min("refers_to").alias("refers_to"))
+    html = F.coalesce(html_col, F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
+    rows = rows.join(decided, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("payload_digest")), "left")
     crlf, seen = "\r\n", F.col("refers_to").isNotNull()
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")
     body = F.when(seen, F.lit("")).otherwise(F.col("html"))
-    page = F.coalesce(F.col("page_id"), F.lit(-1))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "),
         F.when(seen, F.lit("revisit")).otherwise(F.lit("response")),
@@ -59,7 +71,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lit(f"{crlf}WARC-Date: {DATE}{crlf}WARC-Target-URI: "),
         uri,
         F.lit(f"{crlf}WARC-Payload-Digest: sha256:"),
-        F.sha2(F.encode("html", "UTF-8"), 256),
+        F.col("digest"),
         F.when(seen, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: "), _urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit(f"{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "),
         F.octet_length(body).cast("string"),
@@ -68,9 +80,13 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select(F.concat(head, body).alias("record"))
 
 
-def write(pages: DataFrame, path: str, **options) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> None:
     """Archives of ``pages`` as gzipped WARC files under ``path``, by Spark's own writer."""
-    records(pages, **options).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    heads = materialize(heads_of(pages, id_col, html_col), "warc-heads")
+    longest = heads.agg(F.max("payload_bytes")).first()[0] or 0
+    each = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 1)))
+    out = records(pages, id_col, url_col, html_col, least, heads)
+    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -116,8 +132,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, url, record_type, payload_digest, refers_to, html`` of each record in the archives under ``path``.
 
-    The digest of a response is that of the payload read; it must be the one in its header.
+    The digest of a response is that of the payload read; it must be the one in its header. An
+    empty id is read back as null, an empty address as empty. Records that repeat are rows of
+    their own; archives without records give no rows. A task inflates one file in steps and
+    holds its longest record.
     """
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -126,7 +146,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
         def page(urn: str | None) -> int | None:
-            return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+            number = urn.removeprefix("<urn:page:").removesuffix(">") if urn else ""
+            return int(number) if number else None
 
         for b in batches:
             for content in b.column(0):
@@ -148,8 +169,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(archive: DataFrame) -> DataFrame:
-    """Records read back, each with its full payload's size: revisits are joined to the responses they name."""
-    responses = archive.where("record_type = 'response'").groupBy("page_id").agg(F.max("payload_bytes").alias("full_bytes"))
-    named = archive.where("refers_to IS NOT NULL").select("refers_to").distinct()
-    full = responses.join(named, F.col("page_id") == F.col("refers_to")).select("refers_to", "full_bytes")
-    return archive.join(full, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full_bytes")).drop("full_bytes")
+    """Records read back, each with its full payload's size: revisits are joined to the responses they name.
+
+    The response is that of the id and digest named, so an id with several payloads does no harm.
+    Rows stay as many as they are; no archive, no rows.
+    """
+    named = archive.where("refers_to IS NOT NULL").select("refers_to", F.col("payload_digest").alias("digest")).distinct()
+    responses = archive.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes")
+    full = responses.join(named, ["refers_to", "digest"], "left_semi").groupBy("refers_to", "digest").agg(F.max("payload_bytes").alias("full_bytes"))
+    out = archive.join(full.withColumnRenamed("refers_to", "_to"), (F.col("refers_to") == F.col("_to")) & (F.col("payload_digest") == F.col("digest")), "left")
+    return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "full_bytes")).drop("full_bytes", "_to", "digest")
