@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 CONTROL_WORDS = ("s", "INST", "ROLE", "image", "audio", "document")
 #: Tokens that a part's placeholder stands for where the part has no count of its own.
 PART_TOKENS = {"image": 256, "audio": 128, "document": 512}
+#: Long conversations' ids up to which they are broadcast (8 bytes each); beyond, the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 #: Turns of a conversation that are formatted together.
 SEGMENT = 16
+#: The segment of rows without a turn: before any other.
+NO_TURN = -(1 << 63)
 
 _ANY = "/?(?:" + "|".join(CONTROL_WORDS) + ")"
 #: An opening bracket, backslashes, the rest of a control string: each escape adds a backslash, each unescape takes one.
@@ -36,21 +40,31 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), null.alias("ref"), F.lit(None).cast("long").alias("tokens")))
 
 
-def visit(part: Column) -> Column:
-    """What one typed part becomes: its text escaped, or a placeholder. Unknown types count as text; null is empty."""
-    text = escape(F.coalesce(part["text"], F.lit("")))
-    kind = F.lower(F.coalesce(part["type"], F.lit("text")))
-    out = text
-    for name in PART_TOKENS:
-        out = F.when(kind == name, F.lit(f"<{name}>")).otherwise(out)
-    return out
+def kind_of(part: Column) -> Column:
+    return F.lower(F.coalesce(part["type"], F.lit("text")))
+
+
+def visit(done: Column, part: Column) -> Column:
+    """The visitor's step: ``done`` (body so far, text not yet escaped) after one typed part.
+
+    Texts that follow each other are joined before they are escaped, so a control string dealt
+    over two parts is escaped too; a placeholder ends a text. Unknown types count as text, null
+    texts and parts are empty.
+    """
+    text = F.struct(done["body"].alias("body"), F.concat(done["text"], F.coalesce(part["text"], F.lit(""))).alias("text"))
+    placeholder = F.concat(done["body"], escape(done["text"]), F.lit("<"), kind_of(part), F.lit(">"))
+    return F.when(kind_of(part).isin(*PART_TOKENS), F.struct(placeholder.alias("body"), F.lit("").alias("text"))).otherwise(text)
+
+
+def body_of(parts: Column) -> Column:
+    start = F.struct(F.lit("").alias("body"), F.lit("").alias("text"))
+    return F.aggregate(parts, start, visit, lambda done: F.concat(done["body"], escape(done["text"])))
 
 
 def part_tokens(part: Column) -> Column:
-    kind = F.lower(F.coalesce(part["type"], F.lit("text")))
     out = F.lit(0).cast("long")
     for name, n in PART_TOKENS.items():
-        out = F.when(kind == name, F.coalesce(part["tokens"], F.lit(n).cast("long"))).otherwise(out)
+        out = F.when(kind_of(part) == name, F.coalesce(part["tokens"], F.lit(n).cast("long"))).otherwise(out)
     return out
 
 
@@ -67,8 +81,8 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     role = F.coalesce(F.col(role_col), F.lit("")).alias("role")
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role, F.coalesce(F.col(content_col), F.array().cast(f"array<{PART}>")).alias("parts"))
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1).cast("long")))
-    rows = rows.withColumn("body", F.array_join(F.transform("parts", visit), ""))
+    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(NO_TURN)))
+    rows = rows.withColumn("body", body_of(F.col("parts")))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(ROLE_END))
     files = F.filter(
         F.transform("parts", lambda p, i: F.struct(F.col("turn"), i.alias("part"), F.lower(p["type"]).alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))),
@@ -115,20 +129,22 @@ def conversations_of(segments: DataFrame) -> DataFrame:
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation, from what ``read_turns`` reads back."""
+    """Digests of each conversation, from what ``read_turns`` reads back.
+
+    A conversation of one segment is digested where it was read; only texts of longer ones are
+    moved, to be joined in order. Conversations without an id are one.
+    """
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    many = segments.groupBy(F.col("conv_id").alias("_many")).count().where("count > 1").select("_many", F.lit(True).alias("long"))
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
     rows = read_turns(segments).select("conv_id", "segment", "n_turns", F.length("formatted").alias("chars"), told.alias("told"), F.array_join("loss_texts", "").alias("loss"))
-    out = rows.groupBy("conv_id").agg(
-        F.sum("n_turns").alias("n_turns"),
-        F.sum("chars").cast("long").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("segment", "told", "loss"))).alias("s"),
+    rows = rows.join(many, F.col("conv_id").eqNullSafe(F.col("_many")), "left")
+    digest = lambda t, loss: F.struct(F.sha2(t, 256).alias("turns"), F.length(loss).cast("long").alias("chars"), F.sha2(loss, 256).alias("loss"))
+    alone = F.when(F.col("long").isNull(), digest(F.col("told"), F.col("loss")))
+    piece = F.when(F.col("long"), F.struct("segment", "told", "loss"))
+    out = rows.select("conv_id", "n_turns", "chars", alone.alias("alone"), piece.alias("piece")).groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"), F.first("alone", True).alias("alone"), F.sort_array(F.collect_list("piece")).alias("s")
     )
     joined = lambda name: F.array_join(F.transform("s", lambda x: x[name]), "")
-    return out.select(
-        "conv_id",
-        "n_turns",
-        F.sha2(joined("told"), 256).alias("turns_sha256"),
-        F.length(joined("loss")).cast("long").alias("loss_chars"),
-        F.sha2(joined("loss"), 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    out = out.withColumn("d", F.coalesce("alone", digest(joined("told"), joined("loss"))))
+    return out.select("conv_id", "n_turns", F.col("d.turns").alias("turns_sha256"), F.col("d.chars").alias("loss_chars"), F.col("d.loss").alias("loss_sha256"), "formatted_chars")

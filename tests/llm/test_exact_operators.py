@@ -1,5 +1,6 @@
 """Chat formatting, SimHash, packing and WARC against plain Python on whole small tables."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -56,6 +57,31 @@ def test_op1_parts(spark):
     assert r.expanded_tokens == 521
 
 
+def test_op1_control_strings_over_parts(spark):
+    """Texts dealt over parts read back as one text; placeholders end a text; turns below zero and null turns keep apart."""
+    parts = "array<struct<type:string,text:string,ref:string,tokens:bigint>>"
+    text = lambda *xs: [("text", x, None, None) for x in xs]
+    image = ("image", None, "a.png", 3)
+    rows = [
+        (1, 0, "assistant", text("</", "s>x")),
+        (1, 1, "user", text("[", "INST]", None, " [/IN", "ST]")),
+        (1, 2, "assistant", [*text("<"), image, *text("image>", "<", "s>")]),
+        (1, 3, "assistant", [None, ("Odd", "<s>", None, None)]),
+        (2, -17, "user", text("a")),
+        (2, -1, "user", text("b")),
+        (2, None, "assistant", text("c")),
+        (2, 40, "assistant", text("d")),
+    ]
+    segments = chat_format.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content {parts}"))
+    got = {}
+    for r in sorted(chat_format.read_turns(segments).collect(), key=lambda r: (r.conv_id, r.segment)):
+        got.setdefault(r.conv_id, []).extend(t.text for t in r.turns)
+    assert got == {1: ["</s>x", "[INST] [/INST]", "<<image>image><s>", "<s>"], 2: ["c", "a", "b", "d"]}
+    d = {r.conv_id: r for r in chat_format.digests(segments).collect()}
+    assert d[2].turns_sha256 == sha("assistant\nc\nuser\na\nuser\nb\nassistant\nd\n") and d[2].loss_sha256 == sha("cd") and d[2].loss_chars == 2
+    assert d[1].loss_sha256 == sha("</s>x<<image>image><s><s>") and d[1].n_turns == 4
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -98,13 +124,21 @@ def test_op5_fingerprint(text):
     assert int.from_bytes(simhash.fingerprint_bytes(None if text is None else text.encode()), "big") == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_op5_links_of_dense_groups(spark, block):
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 63), max_size=6))
+def test_op5_chain(bits):
+    """Differences of 4 bits or fewer pass from at least one segment, those of more from none."""
+    x = np.array([sum(1 << b for b in bits)] * 5, np.uint64)
+    assert (len(simhash.chain(x, np.arange(5))) > 0) == (len(bits) <= 4)
+
+
+@pytest.mark.parametrize(("block", "parts"), [(4096, 2), (7, 2), (4096, 4), (7, 13)])
+def test_op5_links_of_dense_groups(spark, block, parts):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 3, dtype=np.int64)
     fps = {int(b) ^ sum(1 << int(i) for i in rng.choice(63, rng.integers(0, 6), replace=False)) for b in base for _ in range(120)}
     fps = sorted(fps)
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), block)
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), block, parts)
     roots = {r.node: r.root for r in simhash.connected_components(links).collect()}
     got = [roots.get(f, f) for f in fps]
     assert got == plain_components(fps, [f % (1 << 64) for f in fps])
@@ -155,6 +189,20 @@ def test_op6_odd_rows(spark):
     assert packing.pack(packing.tokenize(docs.limit(0), queries.vocabulary())).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "A", "bc", "Zed", " ", "\n", "\x0b", "!", "'S", "9", "é", "É", "ab.", '"']), max_size=9))
+def test_op6_ids_of_added_tokens(parts):
+    text, plain = "".join(parts), encoder()
+    assert packing.word_ids(queries.vocabulary()).encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@functools.cache
+def encoder():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_op6_plan(lengths):
@@ -191,11 +239,22 @@ def test_op8_odd_rows(spark, tmp_path):
     back = warc.read(spark, str(tmp_path / "w"))
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.html) for r in warc.resolved(back).collect()}
     n = len(long.encode())
-    assert got == {3: ("response", None, n, long), 5: ("revisit", 3, n, None), 9: ("revisit", 3, n, None), 1: ("response", None, 0, ""), 2: ("response", None, 0, ""), 4: ("response", None, 5, "short"), 6: ("response", None, 5, "short"), -1: ("response", None, 5, "no id")}
+    assert got == {3: ("response", None, n, long), 5: ("revisit", 3, n, None), 9: ("revisit", 3, n, None), 1: ("response", None, 0, ""), 2: ("response", None, 0, ""), 4: ("response", None, 5, "short"), 6: ("response", None, 5, "short"), None: ("response", None, 5, "no id")}
     warc.write(df.limit(0), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_op8_no_payload_is_lost(spark, tmp_path):
+    """Rows that share an id keep each their payload; a row without an id revisits one with an id; very long pages."""
+    a, b, c = "a" * 150, "b" * 150, "c" * 3_000_000
+    rows = [(3, "u", b), (5, "u", a), (5, "u", b), (3, "u", b), (None, "u", a), (8, "u", c), (9, "u", c), (None, "u", "z" * 200)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.resolved(warc.read(spark, str(tmp_path / "w"))).collect()
+    have = sorted(((r.page_id, r.payload_digest == sha(a), r.payload_digest == sha(b), r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str)
+    assert have == sorted([(3, False, True, "response", None, 150)] * 2 + [(5, True, False, "response", None, 150), (5, False, True, "revisit", 3, 150), (None, True, False, "revisit", 5, 150), (8, False, False, "response", None, 3_000_000), (9, False, False, "revisit", 8, 3_000_000), (None, False, False, "response", None, 200)], key=str)
+    assert {r.html for r in got if r.html} == {r[2] for r in rows}
+
+
 def test_op8_parse_in_steps(monkeypatch):
     import gzip
 
