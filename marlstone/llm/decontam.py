@@ -9,6 +9,8 @@ from .common import materialize
 
 #: Seeds over consecutive tokens; a 0 ignores the token there. Three substitutions in 16 tokens always leave a hit.
 MASKS = ("111011", "1101011")
+#: What items of 7 tokens need besides: one substitution at the second or the last but one spoils both masks above.
+SEVEN = "1011101"
 #: Tokens of an overlap, and how many of them must be equal at their places.
 WINDOW, SAME = 13, 11
 #: Rows of the small side of a join up to which it is broadcast: 24 bytes each.
@@ -21,17 +23,29 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(tokens: Column, mask: str) -> Column:
-    """The hash under ``mask`` at each place of an array of token hashes; the place is its index."""
-    taken = [i for i, x in enumerate(mask) if x == "1"]
-    places = F.slice(tokens, 1, F.greatest(F.size(tokens) - len(mask) + 1, F.lit(0)))
-    return F.transform(places, lambda x, i: F.xxhash64(x, *[F.get(tokens, i + o) for o in taken[1:]], F.lit(mask)))
+def masks_for(size: int) -> tuple[str, ...]:
+    """Masks whose hits leave no overlap of an item of so many tokens out: short items must match whole."""
+    shortest = min(map(len, MASKS))
+    return ("1" * size,) if size < shortest else (*MASKS, SEVEN) if size == 7 else MASKS
 
 
-def _seeded(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """A row for each mask and place: ``keys``, ``place``, ``seed``."""
-    each = F.concat(*[F.transform(seeds(F.col("tokens"), m), lambda s, i: F.struct(s.alias("seed"), i.alias("place"))) for m in MASKS])
-    return rows.select(*keys, F.inline(each)).withColumnRenamed("place", place)
+def _seeded(rows: DataFrame, keys: list[str], place: str, masks: list[str], allowed: Column | None = None) -> DataFrame:
+    """A row for each mask (that ``allowed``, an array of masks, has) and place: ``keys``, ``place``, ``seed``.
+
+    Places are exploded before seeds are hashed, so hashing runs in generated code and a text's
+    tokens are held once. They are exploded through a slice: from a plain column a filter on its
+    size would be derived, and tokens made twice.
+    """
+    each = rows.select(*keys, "tokens", *([allowed.alias("allowed")] if allowed is not None else []), F.posexplode(F.slice("tokens", 1, F.size("tokens"))).alias(place, "first"))
+    each = each.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+    seed = F.lit(None).cast("long")
+    for m in masks:
+        taken = [F.get("tokens", F.col(place) + o) for o, x in enumerate(m) if o and x == "1"]
+        fits = (F.col("mask") == m) & (F.col(place) + len(m) <= F.size("tokens"))
+        seed = F.when(fits, F.xxhash64("first", *taken, F.lit(int(m, 2)))).otherwise(seed)
+    if allowed is not None:
+        seed = F.when(F.array_contains("allowed", F.col("mask")), seed)
+    return each.select(*keys, place, seed.alias("seed")).where("seed IS NOT NULL")
 
 
 def _known_small(df: DataFrame) -> DataFrame:
@@ -44,16 +58,27 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
     items: ``item_id, text``. Seeds of both sides are joined; around each hit the tokens on its
     diagonal are compared, and some WINDOW of them (or the whole item, if shorter) must have
-    SAME equal (as large a share). Items of fewer tokens than a seed spans match nothing, as do
-    null and empty texts. doc_key is a hash of id and text, the same for rows that repeat both.
-    start is the token where the item begins in the text, and negative if its head is missing.
+    SAME equal (as large a share). Items of fewer tokens than a mask spans are sought whole, so
+    even one of a single word is found wherever that word stands; null and empty texts on either
+    side match nothing. doc_key is a hash of id and text, the same for rows that repeat both:
+    they share one row here. Of diagonals that match as well the first counts. Very long texts
+    cost in proportion to their tokens; an empty table on either side gives no rows; other
+    columns are not read. start is the token where the item begins in the text, and negative if
+    its head is missing.
     """
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("doc_key")
     texts = docs.select(key, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tests = items.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item") >= min(map(len, MASKS))).distinct()
+    tests = items.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
     tests = materialize(tests, "items")
-    marks = materialize(_seeded(tests.withColumnRenamed("item", "tokens"), ["item_id"], "item_place").distinct(), "item-seeds")
-    found = _seeded(texts.select("doc_key", token_hashes(F.col("text")).alias("tokens")), ["doc_key"], "place").join(_known_small(marks), "seed")
+    sizes = sorted(r[0] for r in tests.select(F.least(F.size("item"), F.lit(8))).distinct().collect())  # 8 at most
+    masks = sorted({m for n in sizes for m in masks_for(n)})
+    if not masks:
+        masks = list(MASKS)
+    own = F.array(*[F.lit(m) for m in MASKS])
+    for n in (n for n in sizes if n < 8):
+        own = F.when(F.size("tokens") == n, F.array(*[F.lit(m) for m in masks_for(n)])).otherwise(own)
+    marks = materialize(_seeded(tests.withColumnRenamed("item", "tokens"), ["item_id"], "item_place", masks, own).distinct(), "item-seeds")
+    found = _seeded(texts.select("doc_key", token_hashes(F.col("text")).alias("tokens")), ["doc_key"], "place", masks).join(_known_small(marks), "seed")
     hits = materialize(found.select("doc_key", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct(), "hits")
     held = hits.select("doc_key").distinct()
     near = texts.join(_known_small(held), "doc_key", "left_semi").select("doc_key", "doc_id", token_hashes(F.col("text")).alias("tokens"))
@@ -73,7 +98,11 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no item, all columns as they are."""
+    """The rows of ``docs`` that overlap no item, all columns as they are.
+
+    Null and empty texts stay, as does every row if there are no items; rows that repeat stay or
+    go together. Columns of any other names are carried along.
+    """
     bad = materialize(overlaps(docs, items, id_col, text_col).select(F.col("doc_key").alias("_bad")).distinct(), "contaminated")
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     bad = _known_small(bad)
