@@ -67,10 +67,14 @@ class Latest:
         self.path = scratch_path(spark, self.name)
         df.write.parquet(self.path)
         if old:
-            _remove(spark, old)
-            _written.remove((spark, old))
+            self.drop(spark, old)
         return spark.read.schema(df.schema).parquet(self.path)
 
+    @staticmethod
+    def drop(spark: SparkSession, path: str) -> None:
+        _remove(spark, path)
+        _written.remove((spark, path))
+
 
 def id_hash(col: str) -> Column:
     """crc32 of an id written as text; null ids hash like the empty text."""
