@@ -19,6 +19,8 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_DISTANCE = 4
 #: Fingerprints of one bucket that a task compares with each other; larger buckets are cut into blocks of this many.
 BLOCK = 4096
+#: Tasks among which the fingerprints of one component are dealt when they look its smallest id up.
+SALTS = 16
 
 
 def fingerprint_bytes(text: bytes | None, k: int = 4) -> bytes:
@@ -60,32 +62,46 @@ def _part(shift: int, width: int):
     return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def ring_keys(fps: DataFrame) -> DataFrame:
-    """``key``, ``fp``: ten bucket keys for each fingerprint.
+def parts_for(rows: int) -> int:
+    """Parts into which the second segment of a chain is cut: more of them make longer keys, so buckets stay small."""
+    return 2 if rows <= 1 << 26 else 4 if rows <= 1 << 30 else 13
+
+
+def ring_keys(fps: DataFrame, parts: int = 2) -> DataFrame:
+    """``key``, ``fp``: 5 x ``parts`` bucket keys for each fingerprint.
 
     A pair within 4 bits has, on the ring of five segments, a segment where it differs in 0 bits
-    and in at most 1 over that and the next, so it agrees in that segment and in one half of
-    the next. Key 2i+h holds segment i and half h of segment i+1.
+    and in at most 1 over that and the next, so it agrees in that segment and in all but one
+    of any parts of the next. Key parts*i+h holds segment i and all but part h of segment i+1;
+    its lowest 8 bits are that number.
     """
     keys = []
     for i, (s, w) in enumerate(SEGMENTS):
         s2, w2 = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        low = w2 // 2
-        for h, (hs, hw) in enumerate(((s2, low), (s2 + low, w2 - low))):
-            part = F.shiftleft(_part(s, w), 8).bitwiseOR(_part(hs, hw))
-            keys.append(F.shiftleft(part, 4).bitwiseOR(F.lit(2 * i + h).cast("long")))
+        cuts = [round(h * w2 / parts) for h in range(parts + 1)]
+        for h in range(parts):
+            others = ((1 << w2) - 1) & ~(((1 << cuts[h + 1]) - 1) & ~((1 << cuts[h]) - 1))
+            rest = _part(s2, w2).bitwiseAND(F.lit(others).cast("long"))
+            key = F.shiftleft(_part(s, w), 13).bitwiseOR(rest)
+            keys.append(F.shiftleft(key, 8).bitwiseOR(F.lit(parts * i + h).cast("long")))
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def chain_ok(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether differences ``x`` = a ^ b keep to the chain's budgets from segment ``start`` on, and so to 4 bits in all."""
-    counts = np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in SEGMENTS])
-    n, total, ok = len(SEGMENTS), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+#: Bits of the chain's first so many segments, by the segment that it starts from, and the differences that it may have there.
+CHAINS = np.array([[sum(((1 << w) - 1) << s for s, w in (SEGMENTS[(i + j) % len(SEGMENTS)] for j in range(n))) for n in range(1, len(SEGMENTS) + 1)] for i in range(len(SEGMENTS))], np.uint64)
+BUDGETS = [n * MAX_DISTANCE // len(SEGMENTS) for n in range(1, len(SEGMENTS) + 1)]
+
+
+def chain(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Indices of the differences ``x`` = a ^ b that keep to the chain's budget at each segment from ``start`` on.
+
+    Each segment drops what is over its budget before the next is looked at; the last budget,
+    over all segments, is the full Hamming check of what is left.
+    """
     at = np.arange(len(x))
-    for step in range(n):
-        total = total + counts[(start + step) % n, at]
-        ok &= total <= (step + 1) * MAX_DISTANCE // n
-    return ok
+    for n, most in enumerate(BUDGETS):
+        at = at[np.bitwise_count(x[at] & CHAINS[start[at], n]) <= most]
+    return at
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,22 +121,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
-def _pairs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, blk: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, blk: np.ndarray, fp: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows sorted by (key, lo, hi): the group's rows, or block lo against block hi."""
     change = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     first = np.concatenate([[0], np.flatnonzero(change) + 1, [len(key)]])
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(key))  # rows of the group from here on
-    bits, start = fp.view(np.uint64), (key & 15) >> 1
+    bits, start = fp.view(np.uint64), (key & 255) // parts
     found: list[tuple[np.ndarray, np.ndarray]] = []
     size, s, active = 0, 1, np.flatnonzero(left > 1)
     while len(active):
-        other = active + s
-        x = bits[active] ^ bits[other]
-        near = (np.bitwise_count(x) <= MAX_DISTANCE) & ((lo[active] == hi[active]) | (blk[active] != blk[other]))
-        i, j = active[near], other[near]
-        good = chain_ok(bits[i] ^ bits[j], start[i])
-        found.append((fp[i[good]], fp[j[good]]))
-        size += int(good.sum())
+        i = active[(lo[active] == hi[active]) | (blk[active] != blk[active + s])]
+        i = i[chain(bits[i] ^ bits[i + s], start[i])]
+        found.append((fp[i], fp[i + s]))
+        size += len(i)
         if size > 500_000:
             found = [forest(*map(np.concatenate, zip(*found)))]
             size = len(found[0][0])
@@ -131,14 +144,14 @@ def _pairs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, blk: np.ndarray, fp:
     return forest(*map(np.concatenate, zip(*found)))
 
 
-def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, block: int = BLOCK, parts: int = 2) -> DataFrame:
     """``src``, ``dst``: links that connect the same fingerprints as all pairs within 4 bits.
 
-    fps: distinct ``fp``. Rows meet by bucket; a bucket of more than ``block`` rows is cut into
+    fps: distinct ``fp``. Rows meet by bucket (keys are longer with more ``parts``); a bucket of more than ``block`` rows is cut into
     blocks by a hash, each pair of blocks in a group of its own. A group returns a spanning
     forest of its links, so rows out never grow with the square of a bucket.
     """
-    keyed = ring_keys(fps)
+    keyed = ring_keys(fps, parts)
     large = keyed.groupBy("key").count().where(F.col("count") > block)
     large = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     cut = keyed.join(large, "key", "left").withColumn("blk", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("n")), F.lit(0)).cast("int"))
@@ -150,7 +163,7 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         held: list[np.ndarray] | None = None
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*cols)], ["src", "dst"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*cols, parts)], ["src", "dst"])
 
         for b in batches:
             cols = [c.to_numpy() for c in b.columns]
@@ -175,14 +188,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints are one node; component_id is the smallest id that links within 4 bits
     reach, the row's own included. Null ids never become a component_id (null where a
-    component has no other). Repeated rows get a row each, an empty table gives none.
+    component has no other). Repeated rows get a row each, an empty table gives none. Texts are
+    fingerprinted whole, however long. A fingerprint that very many rows share is split by
+    Spark's skew join.
     """
     prints = materialize(simhash(docs, id_col, text_col, k), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "nodes")
-    roots = connected_components(near_links(nodes.select("fp")))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(lowest, "root").select("fp", "component_id")
+    roots = connected_components(near_links(nodes.select("fp"), parts=parts_for(nodes.count())))
+    placed = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "placed")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    lowest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("component_id")).select("root", "component_id", salts)
+    linked = placed.where("root IS NOT NULL").join(lowest, ["root", "salt"]).select("fp", "component_id")
+    placed = placed.where("root IS NULL").select("fp", F.col("first_id").alias("component_id")).union(linked)
     return prints.join(placed, "fp").select(id_col, "fp", "component_id")
 
 
