@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Rows that the field is trained on, about; chosen by a hash of the id among rows with a digit or an @.
+#: Rows that the field is trained on, about (twice that at most); chosen by a hash of id and text among rows with a digit or an @.
 SAMPLE = 4000
-ROUNDS = 8
-SLOTS = 512
-SMOOTH = 1.0
+#: Tokens of a row of the sample up to which it is trained on.
+SAMPLE_TOKENS = 500
+SLOTS = 4096
+#: Steps of gradient ascent on the pseudo-likelihood, their size, and the weight of the squared parameters.
+STEPS, RATE, RIDGE = 120, 0.5, 2e-4
+#: Messages count as settled when none changes by more than this.
+SETTLED = 1e-4
 #: Margin in log-odds by which a label must beat "none" outside base matches.
 MARGIN = 3.0
 
@@ -93,7 +102,7 @@ def tokens(text: str) -> list[tuple[int, int]]:
 def shape(token: str) -> str:
     """Classes of the characters, runs shortened: 9 digit, a letter, other signs as they are; and the number of digits."""
     s = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", token))
-    return f"{s[:24]}/{min(20, len(_digits(token)))}"
+    return f"{s}/{len(_digits(token))}"
 
 
 def slots(text: str, spans: list[tuple[int, int]], i: int) -> list[int]:
@@ -106,60 +115,74 @@ def slots(text: str, spans: list[tuple[int, int]], i: int) -> list[int]:
         near = 0 <= j < len(spans) and (spans[i][0] - spans[j][1] if j < i else spans[j][0] - spans[i][1]) <= 2
         say.append(f"{name} {shape(text[slice(*spans[j])]) if near else '-'}")
     say.append(f"before {text[max(0, a - 2) : a].strip()[-1:]}")
-    return [int.from_bytes(hashlib.blake2b(s.encode(), digest_size=4).digest(), "big") % SLOTS for s in say]
+    return [zlib.crc32(s.encode("utf-8", "replace")) % SLOTS for s in say]
+
 
+#: What joins two tokens: standing side by side, being the same, being similar.
+EDGES = ("chain", "repeat", "similar")
 
-def links(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbouring tokens; skip edges from each token to the last one with the same digits or letters."""
+
+def links(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Edges by kind: between neighbours; skip edges from each token to the last one with the same letters and digits, and to
+    the last one of others that begins or ends with the same six (a network, an issuer, an area, a domain).
+    """
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= 2]
-    skip, last = [], {}
+    repeat, similar, last = [], [], {}
     for i, (a, b) in enumerate(spans):
-        same = re.sub("[^a-z0-9@]", "", text[a:b].lower())
-        if len(same) >= 4:
-            if same in last:
-                skip.append((last[same], i))
-            last[same] = i
-    return chain, skip
+        bare = re.sub("[^a-z0-9@]", "", text[a:b].lower())
+        if len(bare) < 4:
+            continue
+        if ("", bare) in last:
+            repeat.append((last["", bare], i))
+        elif len(bare) >= 8:
+            similar += sorted({(last[key], i) for key in (("head", bare[:6]), ("tail", bare[-6:])) if key in last})
+        last["", bare] = i
+        if len(bare) >= 8:
+            last["head", bare[:6]] = last["tail", bare[-6:]] = i
+    return [chain, repeat, similar]
 
 
 class Field:
-    """Weights by feature slot and label; log-potentials of chain and skip edges by label pair."""
+    """Weights by feature slot and label; log-potentials by kind of edge and pair of labels."""
 
-    def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.weights, self.chain, self.skip = weights, chain, skip
+    def __init__(self, weights: np.ndarray, potentials: np.ndarray):
+        self.weights, self.potentials = weights, potentials
 
-    def marginals(self, text: str, spans: list[tuple[int, int]], fixed: np.ndarray) -> np.ndarray:
-        """Beliefs (log, normalised) over the labels of each token, by loopy belief propagation.
-
-        Tokens in base matches are observed with their kind.
-        """
-        n, k = len(spans), len(LABELS)
-        unary = np.stack([self.weights[slots(text, spans, i)].sum(0) for i in range(n)])
+    def scores(self, text: str, spans: list[tuple[int, int]], fixed: np.ndarray) -> np.ndarray:
+        """Log-potentials of each token alone. Tokens in base matches are observed with their kind."""
+        unary = np.stack([self.weights[slots(text, spans, i)].sum(0) for i in range(len(spans))])
         unary -= unary.max(1, keepdims=True)
         held = np.flatnonzero(fixed)
         unary[held] = -50.0
         unary[held, fixed[held]] = 0.0
-        chain, skip = links(text, spans)
-        if not chain and not skip:
-            return unary - np.log(np.exp(unary).sum(1, keepdims=True))
-        edges = np.array(chain + skip)
-        table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        src = np.concatenate([edges[:, 0], edges[:, 1]])
-        dst = np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        message = np.zeros((len(src), k))
-        for _ in range(ROUNDS):
-            belief = unary.copy()
-            np.add.at(belief, dst, message)
-            out = belief[src] - message[back]
-            new = (out[:, :, None] + table).max(1, initial=-1e9)
-            new = new - new.max(1, keepdims=True)
-            if np.abs(new - message).max() < 1e-4:
-                break
-            message = 0.5 * message + 0.5 * new
+        return unary
+
+    def beliefs(self, unary: np.ndarray, edges: list[list[tuple[int, int]]]) -> np.ndarray:
+        """Log-beliefs over the labels of each token by loopy max-product message passing, until messages settle.
+
+        Without loops they are the exact max-marginals (up to a constant for each token). Damping
+        grows with the rounds, so messages settle with loops too.
+        """
+        flat = np.array([e for some in edges for e in some], np.int64).reshape(-1, 2)
         belief = unary.copy()
-        np.add.at(belief, dst, message)
+        if len(flat):
+            table = np.repeat(self.potentials, [len(some) for some in edges], 0)
+            src, dst = np.concatenate([flat[:, 0], flat[:, 1]]), np.concatenate([flat[:, 1], flat[:, 0]])
+            table = np.concatenate([table, table.transpose(0, 2, 1)])
+            back = np.roll(np.arange(len(src)), len(flat))
+            message = np.zeros((len(src), unary.shape[1]))
+            at, calm = 0, 200 + len(unary)
+            while True:
+                out = belief[src] - message[back]
+                new = (out[:, :, None] + table).max(1)
+                new -= new.max(1, keepdims=True)
+                change = np.abs(new - message).max()
+                message = new if at == 0 else message + min(0.7, calm / (2 * (at + 1))) * (new - message)
+                belief = unary.copy()
+                np.add.at(belief, dst, message)
+                at += 1
+                if change < SETTLED or at > 20 * calm:
+                    break
         belief -= belief.max(1, keepdims=True)
         return belief - np.log(np.exp(belief).sum(1, keepdims=True))
 
@@ -171,11 +194,15 @@ class Field:
         if found:
             fixed = labels(found, base)
             if not fixed.all():
-                belief = self.marginals(text, found, fixed)
-                for i in np.flatnonzero(fixed == 0):
+                belief = self.beliefs(self.scores(text, found, fixed), links(text, found))
+                taken = sorted(x for some in base.values() for x in some)
+                starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+                for i in np.flatnonzero(fixed == 0).tolist():
                     k = int(belief[i].argmax())
-                    if k and belief[i, k] - belief[i, 0] >= MARGIN and not any(a < found[i][1] and found[i][0] < b for s in base.values() for a, b in s):
-                        extra.append((LABELS[k], *found[i]))
+                    if k and belief[i, k] - belief[i, 0] >= MARGIN:
+                        before = bisect_left(starts, found[i][1])
+                        if not before or reach[before - 1] <= found[i][0]:
+                            extra.append((LABELS[k], *found[i]))
         return base, [(kind, a, b) for kind in KINDS for a, b in sorted([*base[kind], *((a, b) for x, a, b in extra if x == kind)])]
 
 
@@ -208,44 +235,67 @@ def taught(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def train(slots_of: np.ndarray, y: np.ndarray, edges: list[np.ndarray]) -> Field:
+    """The field that maximises the pseudo-likelihood: of each token's label given its features and its neighbours' labels.
+
+    slots_of: a row of slots for each token; edges by kind: index pairs. Gradient ascent with
+    steps scaled by the gradients so far; a squared penalty keeps parameters small.
+    """
+    k, n = len(LABELS), max(1, len(y))
+    weights, potentials = np.zeros((SLOTS, k)), np.zeros((len(EDGES), k, k))
+    seen_w, seen_p = np.full_like(weights, 1e-8), np.full_like(potentials, 1e-8)
+    truth = np.eye(k)[y]
+    for _ in range(STEPS if len(y) else 0):
+        score = weights[slots_of].sum(1)
+        for t, e in enumerate(edges):
+            np.add.at(score, e[:, 0], potentials[t][:, y[e[:, 1]]].T)
+            np.add.at(score, e[:, 1], potentials[t][y[e[:, 0]]])
+        p = np.exp(score - score.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        miss = truth - p
+        up = np.stack([np.bincount(slots_of.ravel(), np.repeat(miss[:, c], slots_of.shape[1]), SLOTS) for c in range(k)], axis=1) / n - RIDGE * weights
+        seen_w += up * up
+        weights += RATE * up / np.sqrt(seen_w)
+        for t, e in enumerate(edges):
+            pair = np.zeros((k, k))
+            np.add.at(pair.T, y[e[:, 1]], miss[e[:, 0]])
+            np.add.at(pair, y[e[:, 0]], miss[e[:, 1]])
+            pair = pair / n - RIDGE * potentials[t]
+            seen_p[t] += pair * pair
+            potentials[t] += RATE * pair / np.sqrt(seen_p[t])
+    return Field(weights, potentials)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """A field trained with base matches as labels, on a sample of about ``sample`` rows with a digit or an @.
+    """A field trained with base matches as labels, on a bounded sample of rows with a digit or an @.
 
-    Node weights are smoothed log-odds of slots by label, edge potentials smoothed
-    pointwise mutual information of the labels at an edge's ends. Tasks sum counts.
+    Tasks find tokens, features, labels and edges; the driver gets those of the sample, at most
+    2 * sample rows of at most SAMPLE_TOKENS tokens, and climbs the pseudo-likelihood.
     """
+    ship(docs.sparkSession)
     able = docs.where(F.col(text_col).rlike("[0-9@]"))
     n = able.count()
-    u = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1_000_000)) / 1_000_000
-    k = len(LABELS)
+    u = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col), F.lit(1_000_000)) / 1_000_000
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, chain, skip = np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros((k, k))
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out = []
             for t in b.column(0):
                 text = t.as_py()
                 spans = tokens(text)
-                if not spans:
-                    continue
-                y = taught(text, spans)
-                for i in range(len(spans)):
-                    node[slots(text, spans, i), y[i]] += 1
-                for edges, table in zip(links(text, spans), (chain, skip)):
-                    for i, j in edges:
-                        table[y[i], y[j]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in (node, chain, skip)]).tobytes()])], ["c"])
-
-    parts = able.where(u < min(1.0, sample / max(1, n))).select(text_col).mapInArrow(count, "c binary").collect()
-    total = sum((np.frombuffer(r["c"]) for r in parts), np.zeros(SLOTS * k + 2 * k * k))
-    node, chain, skip = total[: SLOTS * k].reshape(SLOTS, k), total[SLOTS * k : -k * k].reshape(k, k), total[-k * k :].reshape(k, k)
-    node = node + SMOOTH
-    weights = np.log(node / node.sum(0)) - np.log(node.sum(1, keepdims=True) / node.sum())
-
-    def mutual(x: np.ndarray) -> np.ndarray:
-        x = x + x.T + SMOOTH
-        return np.clip(np.log(x / x.sum()) - np.log(x.sum(0) / x.sum())[:, None] - np.log(x.sum(1) / x.sum())[None], -4, 4)
+                if 0 < len(spans) <= SAMPLE_TOKENS:
+                    rows = np.array([slots(text, spans, i) for i in range(len(spans))], np.int32)
+                    out.append((rows.tobytes(), taught(text, spans).astype(np.int8).tobytes(), *(np.array(e, np.int32).tobytes() for e in links(text, spans))))
+            cols = [pa.array(c, pa.binary()) for c in zip(*out)] if out else [pa.array([], pa.binary())] * 5
+            yield pa.RecordBatch.from_arrays(cols, ["slots", "y", *EDGES])
 
-    return Field(weights, mutual(chain), mutual(skip))
+    rows = able.where(u < min(1.0, sample / max(1, n))).select(text_col).limit(2 * sample).mapInArrow(describe, "slots binary, y binary, chain binary, repeat binary, similar binary").collect()
+    rows.sort(key=lambda r: tuple(map(bytes, r)))  # the same field whatever order tasks end in
+    y = [np.frombuffer(r["y"], np.int8) for r in rows]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in y])]).astype(np.int64)
+    slots_of = np.concatenate([np.frombuffer(r["slots"], np.int32).reshape(len(x), -1) for r, x in zip(rows, y)]) if rows else np.zeros((0, 1), np.int32)
+    edges = [np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(r[e], np.int32).reshape(-1, 2) + at for r, at in zip(rows, first))]) for e in EDGES]
+    return train(slots_of, np.concatenate([np.zeros(0, np.int64), *y]).astype(np.int64), edges)
 
 
 def told(spans: list[tuple[str, int, int]]) -> str:
@@ -256,9 +306,11 @@ def detect(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id",
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every row.
 
     Counts and hash are those of base matches; ``spans`` has all spans as kind:start:end in
-    code points. Null texts are empty: no span. Repeated rows get a row each; other columns
-    are not read.
+    code points. Null texts are empty: no span. Texts are read whole, in time about linear in
+    them. Repeated rows get a row each, an empty table none; other columns are not read. Of labels
+    that score the same the first counts: none, then kinds as listed.
     """
+    ship(docs.sparkSession)
     field = field or fit(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +340,10 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """Rows and columns of ``docs`` with personal data in texts replaced by its kind, and ``chars_col`` made to fit.
 
-    Null texts stay null.
+    Null texts stay null, empty ones empty; repeated rows stay repeated, an empty table empty;
+    columns of any other names are carried along.
     """
+    ship(docs.sparkSession)
     field = field or fit(docs, id_col, text_col)
     at = docs.columns.index(text_col)
     size = docs.columns.index(chars_col) if chars_col in docs.columns else None
