@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,30 +15,129 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^0-9a-zà-ÿ_\s]", " ")), r"\s+"))
 
 
+def any_pattern(patterns, unless=None) -> str:
+    """One Java pattern of several, and of those that must not be followed by one of their exceptions."""
+    return "|".join([*patterns, *(f"{p}(?!{'|'.join(x)})" for p, x in (unless or {}).items())])
+
+
 def is_injection(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"(?iusU)(?:{lex.INJECTION})")
+    return F.coalesce(text, F.lit("")).rlike(f"(?iusU)(?:{any_pattern(lex.INJECTION, lex.INJECTION_UNLESS)})")
 
 
 def is_out_of_domain(text: Column) -> Column:
-    """Network questions are; texts with a domain word are not; then off-topic patterns and alien words are.
+    """Network questions are; texts with a domain word are not; then off-topic patterns are, and alien words without a word of postal intent.
 
-    The words that decide are picked once; patterns run only on texts that hold a word of theirs.
+    The words that decide are picked once.
     """
     t = F.lower(F.trim(text))
-    network = contains_any(t, ("ip", "dns", "scan", "puerto")) & t.rlike(f"(?U)(?:{lex.NETWORK})")
-    topic = t.rlike(r"^[\s0-9]") | contains_any(t, ("presidente", "clima", "receta", "chiste", "poema", "hora", "fecha"))
-    known = F.array_intersect(word_set(text), words_array([*lex.DOMAIN, *lex.ALIEN]))
+    network = contains_any(t, ("ip", "dns", "scan", "puerto")) & t.rlike(f"(?U)(?:{any_pattern(lex.NETWORK)})")
+    known = F.array_intersect(word_set(text), words_array([*lex.DOMAIN, *lex.ALIEN, *lex.POSTAL_INTENT]))
+    topic = t.rlike(f"(?U)(?:{any_pattern(lex.OFF_TOPIC, lex.OFF_TOPIC_UNLESS)})")
 
     def decide(found: Column) -> Column:
         return (
             F.when(F.length(t) == 0, False)
             .when(network, True)
             .when(F.arrays_overlap(found, words_array(lex.DOMAIN)), False)
-            .when(topic & t.rlike(f"(?U)(?:{lex.OFF_TOPIC})"), True)
-            .otherwise(F.size(found) > 0)
+            .when(topic, True)
+            .otherwise(F.arrays_overlap(found, words_array(lex.ALIEN)) & ~F.arrays_overlap(found, words_array(lex.POSTAL_INTENT)))
         )
 
-    return F.element_at(F.transform(F.array(known), decide), 1)
+    return F.coalesce(F.element_at(F.transform(F.array(known), decide), 1), F.lit(False))
+
+
+def is_hallucination(answer: Column) -> Column:
+    return contains_any(F.lower(F.coalesce(answer, F.lit(""))), lex.HALLUCINATION)
+
+
+def is_tracking(text: Column) -> Column:
+    """Whether a text has a tracking code or asks for one."""
+    asks = text.rlike("(?iuU)\\b(" + "|".join(lex.TRACKING_WORDS) + ")\\b")
+    return F.coalesce(tracking_code(text).isNotNull() | asks, F.lit(False))
+
+
+def is_off_topic_answer(question: Column, answer: Column) -> Column:
+    """Whether an answer has no word of the domain and no key word of its question, which has some."""
+    said = F.lower(answer)
+    keys = F.filter(word_set(question), lambda w: (F.length(w) >= 4) & ~w.isin(*lex.QUESTION_STOPS))
+    off = ~contains_any(said, lex.ANSWER_DOMAIN) & (F.size(keys) > 0) & ~F.exists(keys, lambda w: F.contains(said, w))
+    return F.coalesce((F.length(question) > 0) & (F.length(answer) > 0) & off, F.lit(False))
+
+
+def invented_data(answer: Column, context: Column, known=()) -> Column:
+    """Concrete data of an answer (long numbers, decimals, amounts with units, phones) that its context lacks.
+
+    Years, short ranges and what holds one of the ``known`` numbers are left out. Empty if the
+    context has fewer than 50 characters. Repeats count.
+    """
+    found = F.regexp_extract_all(answer, F.lit("(?iU)" + "|".join(lex.CONCRETE_DATA)), F.lit(0))
+    bare = lambda x: F.regexp_replace(F.lower(x), r"(?U)[.,\s\-–]", "")
+
+    def invented(x: Column) -> Column:
+        tight = F.regexp_replace(F.lower(x), r"(?U)\s+", "")
+        general = tight.rlike(r"^(1[89][0-9]{2}|20[0-9]{2}|[0-9]{1,3}[-–][0-9]{1,3})$") | contains_any(tight, known)
+        return ~general & ~F.contains(bare(context), bare(x))
+
+    return F.when((F.length(answer) > 0) & (F.length(F.trim(context)) >= 50), F.filter(found, invented)).otherwise(F.array().cast("array<string>"))
+
+
+def has_invented_data(answer: Column, context: Column, known=(), least: int = 5) -> Column:
+    return F.coalesce(F.size(invented_data(answer, context, known)) >= least, F.lit(False))
+
+
+def quick_replies(answer: Column, lang: Column, most: int = 3) -> Column:
+    """Replies to offer after an answer, by its language and words, in order; at most ``most``."""
+    low = F.lower(F.coalesce(answer, F.lit("")))
+    offered = lambda rules: F.flatten(F.array(*[F.when(contains_any(low, words), words_array(said)).otherwise(F.array().cast("array<string>")) for words, said in rules]))
+    return F.slice(F.when(lang == "en", offered(lex.QUICK_REPLIES["en"])).otherwise(offered(lex.QUICK_REPLIES["es"])), 1, most)
+
+
+def location_of(text: Column, places) -> Column:
+    """``asked`` and ``place``: whether a text asks for a location, aliases of cities rewritten one after the other, and the first place that it then contains."""
+    t = F.lower(text)
+    for alias, city in lex.CITY_ALIASES.items():
+        t = F.replace(t, F.lit(alias), F.lit(city))
+    asked = contains_any(t, lex.LOCATION)
+    first = F.coalesce(*[F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in places])
+    return F.struct(F.coalesce(asked, F.lit(False)).alias("asked"), F.when(asked, first).alias("place"))
+
+
+def city_of(branch: str) -> str:
+    """A branch's city: its name in lower case without what kind of office it is."""
+    return re.sub(r"^(regional|oficina\s+central)\s*:\s*", "", branch.lower()).strip()
+
+
+def only_city(text: Column, branches: list[str]) -> Column:
+    """The first of a few branches whose city is, or contains, a text that names one by itself; aliases count. Null if none does."""
+    t = F.lower(F.trim(text))
+    names = F.create_map(*[F.lit(x) for kv in lex.CITY_ALIASES.items() for x in kv])
+    t = F.coalesce(F.try_element_at(names, t), t)
+    return F.coalesce(*[F.when(F.contains(F.lit(city_of(b)), t), F.lit(b)) for b in branches if city_of(b)])
+
+
+def location_scope(text: Column) -> Column:
+    """``regionales`` or ``sucursales``: by the whole text, then by words in it, regional ones first; null if neither."""
+    t = F.lower(F.trim(text))
+    regional, branch = F.lit("regionales"), F.lit("sucursales")
+    return (
+        F.when(t.isin("__ubicacion_regionales__", "regional", "regionales"), regional)
+        .when(t.isin("__ubicacion_sucursales__", "sucursal", "sucursales"), branch)
+        .when(t.rlike(r"(?U)\b(regional|regionales|oficina central)\b"), regional)
+        .when(t.rlike(r"(?U)\b(sucursal|sucursales)\b"), branch)
+    )
+
+
+def best_label(text: Column, labels: list[tuple[str, str]], known: dict[str, str] | None = None) -> Column:
+    """The value of the label, of a few (value, label) in order, that a text means; null if none.
+
+    The first label that contains the text or stands in it; else the first with a word in it;
+    else the value of the first of ``known`` that stands in it.
+    """
+    t = F.lower(F.trim(text))
+    tiers = [F.when(F.contains(F.lit(name.lower()), t) | F.contains(t, F.lit(name.lower())), F.lit(value)) for value, name in labels]
+    tiers += [F.when(contains_any(t, name.lower().split()), F.lit(value)) for value, name in labels]
+    tiers += [F.when(F.contains(t, F.lit(key)), F.lit(value)) for key, value in (known or {}).items()]
+    return F.coalesce(*tiers, F.lit(None).cast("string"))
 
 
 def is_smalltalk(text: Column) -> Column:
@@ -112,13 +213,6 @@ def escalation_reason(confidence: Column, response: Column, error: Column, asked
     return F.when(asked, "user_request").when(error, "error").when(confidence < 0.3, "low_confidence").when(unsure, "uncertain_response").otherwise("")
 
 
-def numbers_not_in(text: Column, context: Column) -> Column:
-    """Numbers of at least 4 digits in the text, separators dropped, that the context lacks."""
-    bare = lambda x: F.regexp_replace(x, r"[., \-]", "")
-    found = F.array_distinct(F.regexp_extract_all(bare(text), F.lit("[0-9]{4,}"), F.lit(0)))
-    return F.filter(found, lambda n: ~F.contains(bare(context), n))
-
-
 def grounded(answer: Column, context: Column, least: int = 2) -> Column:
     """At least ``least`` distinct words of 4 letters in the context, and every number too."""
     ctx = fold_accents(context)

@@ -131,16 +131,60 @@ def composite_key(*parts: Column, size: int = 16) -> Column:
 
 
 def parse_weight(text: Column) -> Column:
-    """Kilograms from a text: grams over 100 are scaled, others not; bare numbers between 100 and 50000 are grams."""
-    low = F.regexp_replace(F.lower(F.trim(text)), ",", ".")
-    number = r"([0-9]+(?:\.[0-9]+)?)"
-    grams = F.nullif(F.regexp_extract(low, number + r" *(?:g|gr|gramos?)\b", 1), F.lit("")).cast("double")
-    kilos = F.nullif(F.regexp_extract(low, number + r" *(?:kg|kilos?|kilogramos?)\b", 1), F.lit("")).cast("double")
-    bare = F.nullif(F.regexp_extract(low, "^" + number + "$", 1), F.lit("")).cast("double")
+    """Kilograms from the first weight in a text: grams over 100 are scaled, others not; kilos next; else the first bare number, grams if between 100 and 50000."""
+    low = F.replace(F.lower(F.trim(text)), F.lit(","), F.lit("."))
+    number = r"([0-9]+\.?[0-9]*)"
+    first = lambda tail: F.nullif(F.regexp_extract(low, number + tail, 1), F.lit("")).cast("double")
+    grams, kilos, bare = first(r"\s*g(?:r(?:amo)?s?)?\b"), first(r"\s*k(?:g|ilo)?s?\b"), first("")
     scaled = lambda x, when: F.when(when, F.round(x / 1000, 3)).otherwise(x)
     return F.when(grams.isNotNull(), scaled(grams, grams > 100)).when(kilos.isNotNull(), kilos).otherwise(scaled(bare, (bare > 100) & (bare < 50000)))
 
 
+def parse_hour(text: Column, default: float) -> Column:
+    """Decimal hours of a text like 8:30 or 8.5; what is neither is ``default``."""
+    t = F.trim(text)
+    clock = F.regexp_extract(t, r"^\s*([0-9]+)\s*:\s*([0-9]+)\s*$", 1).try_cast("double") + F.regexp_extract(t, r"^\s*([0-9]+)\s*:\s*([0-9]+)\s*$", 2).try_cast("double") / 60
+    return F.coalesce(clock, t.try_cast("double"), F.lit(float(default)))
+
+
+def parse_interval(text: Column) -> Column:
+    """``start`` and ``end`` of the first two times HH:MM in a text; null with fewer."""
+    times = F.regexp_extract_all(text, F.lit("[0-9]{1,2}:[0-9]{2}"), F.lit(0))
+    return F.when(F.size(times) >= 2, F.struct(parse_hour(F.get(times, 0), 0).alias("start"), parse_hour(F.get(times, 1), 0).alias("end")))
+
+
+def is_open(local: Column, week: tuple[Column, Column], saturday: tuple[Column, Column], sunday: Column) -> Column:
+    """Whether a local time is within opening hours: texts of opening and closing on weekdays and Saturdays; Sundays only if their text has an interval."""
+    h, day, rest = F.hour(local) + F.minute(local) / 60.0, F.weekday(local), parse_interval(sunday)
+    within = lambda start, end: (h >= start) & (h < end)
+    weekday = within(parse_hour(week[0], 8.5), parse_hour(week[1], 16.5))
+    return F.when(day < 5, weekday).when(day == 5, within(parse_hour(saturday[0], 9), parse_hour(saturday[1], 13))).otherwise(F.coalesce(within(rest["start"], rest["end"]), F.lit(False)))
+
+
+def json_to_text(payload: Column, most: int = 20) -> Column:
+    """A JSON object told line by line; the JSON itself if nothing in it is told; null if it is no object.
+
+    Keys that begin with _ go; of lists the first ``most`` values, joined; of objects each value
+    on a line of its own; of texts those of more than 10 characters. Other values go.
+    """
+    as_text = lambda x: F.from_json(x, "map<string,string>")
+    kinds = F.transform_values(F.from_json(payload, "map<string,variant>"), lambda k, v: F.schema_of_variant(v))
+
+    def line(e: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(kinds, e["key"]), F.lit(""))
+        items = F.array_join(F.slice(F.from_json(e["value"], "array<string>"), 1, most), ", ")
+        inner = F.array_join(F.transform(F.map_entries(as_text(e["value"])), lambda s: F.concat(F.lit("  "), s["key"], F.lit(": "), F.coalesce(s["value"], F.lit("null")))), "\n")
+        return (
+            F.when(F.startswith(e["key"], F.lit("_")), F.lit(None).cast("string"))
+            .when(F.startswith(kind, F.lit("ARRAY")), F.concat(e["key"], F.lit(": "), items))
+            .when(F.startswith(kind, F.lit("OBJECT")), F.concat_ws("\n", F.concat(e["key"], F.lit(":")), F.nullif(inner, F.lit(""))))
+            .when((kind == "STRING") & (F.length(e["value"]) > 10), F.concat(e["key"], F.lit(": "), e["value"]))
+        )
+
+    told = F.array_join(F.filter(F.transform(F.map_entries(as_text(payload)), line), lambda x: x.isNotNull()), "\n")
+    return F.coalesce(F.nullif(told, F.lit("")), F.when(as_text(payload).isNotNull(), payload))
+
+
 def lenient_bool(text: Column) -> Column:
     return ~F.lower(F.trim(F.coalesce(text, F.lit("")))).isin("false", "0", "no", "off", "")
 

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
@@ -39,20 +39,26 @@ def cut(text: str, size: int, overlap: int) -> list[str]:
     return out
 
 
+def blocks_of(text: Column) -> Column:
+    """Normalised text split before structural lines, as an array."""
+    marked = F.regexp_replace(norm_text(text), rf"(?m)^(?={STARTS})", "\u0000")
+    return F.filter(F.transform(F.split(marked, "\u0000"), lambda b: F.btrim(b, F.lit(" \n"))), lambda b: b != "")
+
+
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``source_id, block_index, block``: normalised text split before structural lines."""
-    marked = F.regexp_replace(norm_text(F.col(text_col)), rf"(?m)^(?={STARTS})", "\u0000")
-    blocks = F.filter(F.transform(F.split(marked, "\u0000"), lambda b: F.btrim(b, F.lit(" \n"))), lambda b: b != "")
-    return docs.select(F.col(id_col).alias("source_id"), F.posexplode(blocks).alias("block_index", "block"))
+    """``source_id, block_index, block``, a row for each block."""
+    return docs.select(F.col(id_col).alias("source_id"), F.posexplode(blocks_of(F.col(text_col))).alias("block_index", "block"))
 
 
 def chunks(docs: DataFrame, size: int = 250, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``source_id, chunk_index, chunk, chunk_chars, content_hash``.
 
-    The index counts pieces that are then dropped for being under 40 characters. Null and empty texts give none.
+    The index counts pieces that are then dropped for being under 40 characters. Null and empty
+    texts give none. Each row is cut where it is read, without a shuffle; rows that share an id
+    stay documents of their own.
     """
     overlap = overlap_of(size)
-    blocks = segments(docs, id_col, text_col).groupBy("source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("block_index", "block"))), lambda b: b["block"]).alias("blocks"))
+    blocks = docs.select(F.col(id_col).alias("source_id"), F.coalesce(blocks_of(F.col(text_col)), F.array().cast("array<string>")).alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,3 +42,23 @@ def two_key_dedup(df: DataFrame, first: str, second: str, order: str, by: str) -
     for key in (first, second):
         rows = keep_first(rows, [F.col(by), F.col(key)], F.col(order))
     return rows
+
+
+def reprocessed(catalog: DataFrame, files: DataFrame, key: str, file_key: str, least: int = 180, force: bool = False) -> DataFrame:
+    """``key, state, chars`` of each entry of a catalogue (``key, text, method``) once it was looked through.
+
+    An entry without a method or with a text under ``least`` characters, or every one if
+    ``force``, takes the new text of its file (``file_key, new_text``): ``improved`` if that is
+    longer, else ``reprocessed``; ``failed`` without a file. Others are ``kept``.
+    """
+    rows = catalog.join(files, catalog[key] == files[file_key], "left")
+    needs = F.lit(force) | F.col("method").isNull() | (F.length(F.trim("text")) < least)
+    state = F.when(~needs, "kept").when(F.col(file_key).isNull(), "failed").when(F.length("new_text") > F.length("text"), "improved").otherwise("reprocessed")
+    chars = F.when(state.isin("improved", "reprocessed"), F.length("new_text")).otherwise(F.length("text"))
+    return rows.select(key, state.alias("state"), chars.cast("long").alias("chars"))
+
+
+def without_pattern(rows: DataFrame, key: str, pattern: str) -> DataFrame:
+    """Rows whose ``key`` is not of a pattern, in which * stands for any text and ? for one sign. Null keys stay."""
+    regex = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    return rows.where(~F.coalesce(F.col(key).rlike(f"(?s)^{regex}$"), F.lit(False)))

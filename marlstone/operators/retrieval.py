@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.text import bm25_tokens, cosine
+from ..functions.text import bm25_tokens, cosine, token_count
+
+
+#: Words of queries up to which they are broadcast to drop other words before postings are shuffled; beyond, a join does it.
+BROADCAST_WORDS = 400_000
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], k: int, vector_col: str = "embedding", id_col: str = "vec_id", floor: float | None = None) -> DataFrame:
@@ -21,18 +25,20 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, vector_col: str
 def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """``query_id, doc_id, score`` of each document with a word of a query. queries: ``query_id, query``.
 
-    Words that more than half of the documents hold get epsilon times the mean idf. Only
-    postings of words that a query has are joined with it.
+    Words that more than half of the documents hold get epsilon times the mean idf. Document
+    frequencies of all words are partial counts; postings are made of words that a query has alone.
     """
     toks = docs.select(F.col(id_col).alias("doc_id"), bm25_tokens(F.col(text_col)).alias("toks"))
     sizes = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_len"))
-    tf = toks.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("w")).groupBy("doc_id", "len", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("tf").alias("df")).join(F.broadcast(sizes))  # reads tf as the last join does: one shuffle for both
+    df = toks.select(F.explode(F.array_distinct("toks")).alias("w")).groupBy("w").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.select("w", idf.alias("idf"), "avg_len")
     mean = df.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("w"))
-    weights = df.join(asked.select("w").distinct(), "w").join(F.broadcast(mean)).select("w", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    words = asked.select("w").distinct()
+    words = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+    tf = toks.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("w")).join(words, "w", "left_semi").groupBy("doc_id", "len", "w").agg(F.count("*").alias("tf"))
+    weights = df.join(words, "w", "left_semi").join(F.broadcast(mean)).select("w", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return tf.join(weights, "w").join(asked, "w").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -63,10 +69,21 @@ def combined_score(sim: Column, kind: Column, chars: Column, preferred: list[str
     return sim + 0.08 * F.coalesce(F.try_element_at(priorities, kind), F.lit(1)) + bonus - F.when(chars > 1.2 * size, 0.3).otherwise(0.0)
 
 
-def context_prefix(blocks: DataFrame, group: str, order: str, tokens: Column, most: int) -> DataFrame:
-    """Blocks of each group, in order, while their tokens add up to ``most``."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= most)
+def context_prefix(blocks: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
+    """``group, order, text, n``: blocks of each group, in order, while their tokens ``n`` add up to ``most``.
+
+    A first block that alone has more is cut to its share of words, so a context is never empty.
+    Blocks without tokens are left out; each other has one at least, so no task sends on more
+    than ``most`` rows of a group, however many it has.
+    """
+    rows = blocks.select(group, order, text, token_count(F.col(text)).alias("n")).where("n > 0")
+    rows = ranked(rows, group, [F.col(order)], most, "_rank")
+    used = F.sum("n").over(Window.partitionBy(group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_used", used).where((F.col("_used") <= most) | (F.col("_rank") == 1))
+    words = F.split(F.trim(F.col(text)), r"\s+")
+    share = F.array_join(F.slice(words, 1, F.greatest(F.floor(F.size(words) * most / F.col("n")).cast("int"), F.lit(1))), " ")
+    rows = rows.withColumn(text, F.when(F.col("n") > most, share).otherwise(F.col(text)))
+    return rows.select(group, order, text, F.when(F.col("n") > most, token_count(F.col(text))).otherwise(F.col("n")).alias("n"))
 
 
 def build_context(blocks: DataFrame, group: str, order: str, label: str, text: str, most: int = 2800) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import chunking as C
 from ..operators import retrieval as R
 from ..session import spread, table
 from .registry import query
+from .text_queries import NORM_SQL
 
 
 def _query_vector(spark, sf_dir, vec_id=0) -> list[float]:
@@ -58,12 +59,12 @@ def score_combine(spark, sf_dir):
 _BM25 = """WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]+'), lambda x: length(x) >= 2) AS toks FROM documents),
 z AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM t), p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS w FROM t),
 tf AS (SELECT doc_id, dl, w, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT w, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, z GROUP BY w, n_docs),
-m AS (SELECT avg(idf) AS mean_idf FROM df), a AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]+'), lambda x: length(x) >= 2))) AS w FROM benchmark WHERE item_id < 5),
+m AS (SELECT avg(idf) AS mean_idf FROM df), a AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]+'), lambda x: length(x) >= 2))) AS w FROM benchmark),
 s AS (SELECT query_id, doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) AS score FROM tf JOIN df USING (w) JOIN a USING (w), m, z GROUP BY query_id, doc_id)"""
 
 
-def _bm25(spark, sf_dir, which="item_id < 5"):
-    queries = table(spark, sf_dir, "benchmark").where(which).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def _bm25(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return R.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), queries)
 
 
@@ -85,19 +86,25 @@ def rrf_fusion(spark, sf_dir):
     return fused.select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query(f"{_BM25} SELECT query_id, string_agg('[Source: ' || source || ']' || chr(10) || substring(text, 1, 400), chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id")
+@query(f"""{_BM25}, c AS (SELECT query_id, string_agg('[Source: ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id)
+SELECT query_id, CASE WHEN length(c) <= 2800 THEN c ELSE regexp_extract(substring(c, 1, 2800), '(?s)^(.*) ', 1) END AS context FROM c""")
 def build_context(spark, sf_dir):
     top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 3)
-    blocks = top.join(table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 400).alias("head")), "doc_id")
-    return R.build_context(blocks, "query_id", "rank", "source", "head")
+    blocks = top.join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return R.build_context(blocks, "query_id", "rank", "source", "text")
 
 
-@query("""WITH d AS (SELECT source, doc_id, len(regexp_extract_all(text, '[\\pL\\pN\\pM_]+|[^\\s\\pL\\pN\\pM_]')) AS n FROM documents)
-SELECT source, count(*)::BIGINT AS n_blocks, sum(n)::BIGINT AS n_tokens FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM d) WHERE used <= 1400 GROUP BY source""")
+_TOKENS = "len(regexp_extract_all({c}, '[\\pL\\pN\\pM_]+|[^\\s\\pL\\pN\\pM_]'))"
+
+
+@query(f"""WITH d AS (SELECT source, doc_id, text, {_TOKENS.format(c="text")} AS n FROM documents WHERE {_TOKENS.format(c="text")} > 0),
+u AS (SELECT *, sum(n) OVER w AS used, row_number() OVER w AS rn, regexp_split_to_array(trim(text), '\\s+') AS words FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT source, CASE WHEN n > 1400 THEN {_TOKENS.format(c="array_to_string(words[1:greatest(floor(len(words) * 1400 / n), 1)::BIGINT], ' ')")} ELSE n END AS n FROM u WHERE used <= 1400 OR rn = 1)
+SELECT source, count(*)::BIGINT AS n_blocks, sum(n)::BIGINT AS n_tokens FROM c GROUP BY source""")
 def context_prefix(spark, sf_dir):
     """Blocks of each source that a budget of 1400 tokens holds."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", T.token_count(F.col("text")).alias("n"))
-    return R.context_prefix(d, "source", "doc_id", F.col("n"), 1400).groupBy("source").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_tokens"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return R.context_prefix(d, "source", "doc_id", "text", 1400).groupBy("source").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_tokens"))
 
 
 @query("""WITH q AS (SELECT item_id, text AS phrase, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), lambda w: length(w) >= 9) AS words FROM benchmark),
@@ -167,7 +174,9 @@ def chunk_documents(spark, sf_dir):
     return C.chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-@query()
+@query(f"""WITH n AS (SELECT doc_id, {NORM_SQL} AS norm FROM (SELECT doc_id, '# head' || chr(10) || text || chr(10) || 'TITULO: the end of it' AS text FROM documents)),
+b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(norm, '(?m)^({C.STARTS})', chr(1) || '\\1', 'g'), chr(1)), lambda b: trim(b, ' ' || chr(10))), lambda b: b <> '') AS b FROM n)
+SELECT doc_id AS source_id, unnest(range(len(b)))::INTEGER AS block_index, unnest(b) AS block FROM b""")
 def segment_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# head\n"), "text", F.lit("\nTITULO: the end of it")).alias("text"))
     return C.segments(d)
@@ -186,7 +195,7 @@ def rerank_stub(spark, sf_dir):
     """The reranker interface with its deterministic stub, on the ten best of each benchmark item."""
     from .providers import rerank
 
-    top = R.ranked(_bm25(spark, sf_dir, "true"), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id")
+    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id")
     scored = rows.select("query_id", "doc_id", rerank(F.col("q"), F.col("text")).alias("score"))

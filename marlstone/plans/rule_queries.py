@@ -19,6 +19,21 @@ def _any(words, column="lower(text)"):
     return f"len(list_filter({sql_list(words)}, lambda w: contains({column}, w))) > 0"
 
 
+_KNOWN = ["591", "2018"]
+_ANSWERED = "SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"
+
+
+def _answered(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+def _bare(column: str) -> str:
+    return f"regexp_replace(lower({column}), '[.,\\s\\-–]', '', 'g')"
+
+
 _SMALL = f"""(length(trim(text)) > 0 AND (len(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda w: NOT list_contains({sql_list(lex.SMALLTALK)}, w))) = 0
   OR (length(trim(text)) <= 15 AND NOT {_any(lex.DOMAIN, 'lower(trim(text))')} AND NOT regexp_matches(lower(trim(text)), '^({"|".join(lex.QUESTION_STARTS)})([^a-z0-9_à-ÿ]|$)'))))"""
 
@@ -33,16 +48,44 @@ def flt_greeting(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", R.is_greeting(F.col("text")).alias("greeting"))
 
 
-@query()
+def _re(patterns) -> str:
+    """Patterns as one of DuckDB's: a word's edge is the text's edge or a sign that is no letter, digit or mark."""
+    return "|".join(patterns).replace("\\b", "(?:^|$|[^\\pL\\pN\\pM_])").replace("\\w", "[\\pL\\pN\\pM_]").replace("'", "''")
+
+
+def _unless(column: str, rules) -> str:
+    """Whether a pattern is found that none of its exceptions follows; with two blanks or more nothing follows the first of them."""
+    each = []
+    for pattern, exceptions in rules.items():
+        found = f"regexp_extract_all({column}, '{_re([pattern])}(?:{'|'.join(exceptions)})?')"
+        ends = f"regexp_matches(x, '\\s(?:{'|'.join(exceptions)})$')"
+        each.append(f"len(list_filter({found}, lambda x: NOT {ends} OR regexp_matches(x, '\\s\\s(?:{'|'.join(exceptions)})$'))) > 0")
+    return "(" + " OR ".join(each) + ")"
+
+
+@query(f"SELECT doc_id, regexp_matches(t, '(?s){_re(p.lower() for p in lex.INJECTION)}') OR {_unless('t', lex.INJECTION_UNLESS)} AS injection FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
 def flt_injection(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).select("doc_id", R.is_injection(F.col("text")).alias("injection"))
 
 
-@query()
+def _has(words) -> str:
+    return f"len(list_intersect(w, {sql_list(words)})) > 0"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower(trim(text)) AS t, list_distinct(regexp_split_to_array(trim(regexp_replace(lower(text), '[^0-9a-zà-ÿ_\\s]', ' ', 'g')), '\\s+')) AS w FROM documents)
+SELECT doc_id, coalesce(CASE WHEN length(t) = 0 THEN false WHEN regexp_matches(t, '{_re(lex.NETWORK)}') THEN true WHEN {_has(lex.DOMAIN)} THEN false
+  WHEN regexp_matches(t, '{_re(lex.OFF_TOPIC)}') OR {_unless('t', lex.OFF_TOPIC_UNLESS)} THEN true ELSE {_has(lex.ALIEN)} AND NOT {_has(lex.POSTAL_INTENT)} END, false) AS outside FROM t""")
 def flt_out_of_domain(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).select("doc_id", R.is_out_of_domain(F.col("text")).alias("outside"))
 
 
+@query(f"SELECT conv_id, turn, {_any(lex.HALLUCINATION, 'lower(text)')} AS hallucinated FROM conversations WHERE role = 'assistant' AND text IS NOT NULL")
+def flt_hallucination(spark, sf_dir):
+    """Answers with a phrase that gives a model's invention away."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    return c.select("conv_id", "turn", R.is_hallucination(F.col("text")).alias("hallucinated"))
+
+
 @query(f"SELECT doc_id, {_any(lex.DOMAIN)} AS in_domain FROM documents")
 def flt_any_substring(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).select("doc_id", T.contains_any(F.lower("text"), lex.DOMAIN).alias("in_domain"))
@@ -55,9 +98,12 @@ def flt_complaint(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).select("doc_id", *[T.contains_any(low, words).alias(name) for name, words in named.items()])
 
 
-@query(f"SELECT doc_id, length(t) <= 3 OR list_contains({sql_list(lex.TERSE)}, t) AS terse FROM (SELECT doc_id, lower(trim(substring(text, 1, (doc_id % 6)::BIGINT))) AS t FROM documents)")
+@query(f"SELECT conv_id, turn, length(t) <= 3 OR list_contains({sql_list(lex.TERSE)}, t) AS terse FROM (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations UNION ALL SELECT -n_nationkey, 0, {sql_list(lex.TERSE)}[n_nationkey % 9 + 1] FROM nation)")
 def flt_terse(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", R.is_terse(F.col("text").substr(F.lit(1), (F.col("doc_id") % 6).cast("int"))).alias("terse"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    said = F.get(T.words_array(lex.TERSE), (F.col("n_nationkey") % 9).cast("int"))
+    c = c.unionByName(table(spark, sf_dir, "nation").select((-F.col("n_nationkey")).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), said.alias("text")))
+    return c.select("conv_id", "turn", R.is_terse(F.col("text")).alias("terse"))
 
 
 _PADDED = f"' ' || trim(regexp_replace(regexp_replace(translate(lower(text), '{lex.ACCENTS}', '{lex.PLAIN}'), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) || ' '"
@@ -74,11 +120,16 @@ def classify_special(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", R.special_query(F.col("text"), ["is the", "de la"]).alias("kind"))
 
 
-@query("SELECT o_orderkey, regexp_matches(upper(t), 'R[0-9]{6,}BO') OR regexp_matches(t, '\\b(rastrear|rastreo)\\b') AS flow FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'r' || lpad(o_orderkey::VARCHAR, 9, '0') || 'bo' WHEN 1 THEN 'quiero rastrear ' || o_orderkey ELSE 'direccion ' || o_orderkey END AS t FROM orders)")
+_ASKED = ["quiero consultar el seguimiento de mi envío ", "dirección de la sucursal ", "quiero rastrear ", "Codigo de rastreo: ", "seguimientos ", "TRACKING de ", "rastreo, ", "consultar seguimiento "]
+
+
+@query(f"""SELECT o_orderkey, regexp_matches(upper(t), 'R[0-9]{{6,}}BO') OR regexp_matches(lower(t), '{_re([chr(92) + 'b(' + '|'.join(lex.TRACKING_WORDS) + ')' + chr(92) + 'b'])}') AS flow FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN 'r' || lpad(o_orderkey::VARCHAR, 9, '0') || 'bo' ELSE {sql_list(_ASKED)}[o_orderkey % 9 + 1] || o_orderkey END AS t FROM orders)""")
 def flt_tracking(spark, sf_dir):
     key = F.col("o_orderkey")
-    text = F.when(key % 3 == 0, F.concat(F.lit("r"), F.lpad(key.cast("string"), 9, "0"), F.lit("bo"))).when(key % 3 == 1, F.concat(F.lit("quiero rastrear "), key.cast("string"))).otherwise(F.concat(F.lit("direccion "), key.cast("string")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", (T.tracking_code(text).isNotNull() | text.rlike(r"\b(rastrear|rastreo)\b")).alias("flow"))
+    code = F.concat(F.lit("r"), F.lpad(key.cast("string"), 9, "0"), F.lit("bo"))
+    text = F.when(key % 9 == 8, code).otherwise(F.concat(F.get(T.words_array(_ASKED), (key % 9).cast("int")), key.cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.is_tracking(text).alias("flow"))
 
 
 @query("""SELECT doc_id, len(q) > 0 AND len(list_filter(q, lambda x: NOT contains(text, x))) = 0 AS supported FROM (
@@ -89,28 +140,36 @@ def evidence_all(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("q", quotes).select("doc_id", ((F.size("q") > 0) & F.forall("q", lambda x: F.contains(F.col("text"), x))).alias("supported"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, regexp_replace(substring(text, 1, 400), '[., \\-]', '', 'g') AS head, regexp_replace(text, '[., \\-]', '', 'g') AS bare FROM documents)
-SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(bare, '[0-9]{4,}')), lambda n: NOT contains(head, n)))::BIGINT AS n_missing FROM d""")
+@query(f"""WITH p AS (SELECT conv_id, turn, question, answer || ' Bs. ' || conv_id || ',5 y ' || turn || '7.25 kg, tel ' || (conv_id * 7919 + 10000) || ', 1999' AS answer FROM ({_ANSWERED})),
+f AS (SELECT *, CASE WHEN length(trim(question)) >= 50 THEN list_filter(regexp_extract_all(regexp_replace(answer, '[À-ÖØ-öø-ÿ]', 'x', 'g'), '(?i){"|".join(lex.CONCRETE_DATA)}'), lambda x:
+  NOT regexp_matches(regexp_replace(lower(x), '\\s+', '', 'g'), '^(1[89][0-9]{{2}}|20[0-9]{{2}}|[0-9]{{1,3}}[-–][0-9]{{1,3}})$') AND NOT {_any(_KNOWN, "regexp_replace(lower(x), '" + chr(92) + "s+', '', 'g')")}
+  AND NOT contains({_bare("question")}, {_bare("x")})) ELSE [] END AS missing FROM p)
+SELECT conv_id, turn, len(missing)::BIGINT AS n_missing, coalesce(len(missing) >= 5, false) AS invented FROM f""")
 def ungrounded_numbers(spark, sf_dir):
-    """Numbers of each text that its first 400 characters lack."""
-    return _docs(spark, sf_dir).select("doc_id", F.size(R.numbers_not_in(F.col("text"), F.substring("text", 1, 400))).cast("long").alias("n_missing"))
+    """Concrete data of each answer, some of them put in, that its question lacks."""
+    said = F.concat("answer", F.lit(" Bs. "), F.col("conv_id").cast("string"), F.lit(",5 y "), F.col("turn").cast("string"), F.lit("7.25 kg, tel "), (F.col("conv_id") * 7919 + 10000).cast("string"), F.lit(", 1999"))
+    rows = _answered(spark, sf_dir).withColumn("answer", said)
+    missing = R.invented_data(F.col("answer"), F.col("question"), _KNOWN)
+    return rows.select("conv_id", "turn", F.size(missing).cast("long").alias("n_missing"), R.has_invented_data(F.col("answer"), F.col("question"), _KNOWN).alias("invented"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(translate(lower(substring(text, 1, 120)), '{lex.ACCENTS}', '{lex.PLAIN}'), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), ' ')), lambda x: length(x) >= 4) AS w,
-  regexp_extract_all(substring(text, 1, 120), '[0-9]+') AS n, substring(text, 60, 2000) AS ctx FROM documents)
-SELECT doc_id, len(list_filter(w, lambda x: contains(translate(lower(ctx), '{lex.ACCENTS}', '{lex.PLAIN}'), x))) >= 2 AND len(list_filter(n, lambda x: NOT contains(ctx, x))) = 0 AS ok FROM w""")
+@query(f"""WITH w AS (SELECT conv_id, turn, question, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(translate(lower(answer), '{lex.ACCENTS}', '{lex.PLAIN}'), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), ' ')), lambda x: length(x) >= 4) AS w,
+  regexp_extract_all(answer, '[0-9]+') AS n FROM ({_ANSWERED}))
+SELECT conv_id, turn, len(list_filter(w, lambda x: contains(translate(lower(question), '{lex.ACCENTS}', '{lex.PLAIN}'), x))) >= 2 AND len(list_filter(n, lambda x: NOT contains(question, x))) = 0 AS ok FROM w""")
 def grounded_answer(spark, sf_dir):
-    return spread(_docs(spark, sf_dir)).select("doc_id", R.grounded(F.substring("text", 1, 120), F.substring("text", 60, 2000)).alias("ok"))
+    return _answered(spark, sf_dir).select("conv_id", "turn", R.grounded(F.col("answer"), F.col("question")).alias("ok"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, rtrim(substring(text, 1, (40 + doc_id % 200)::BIGINT)) AS t FROM documents),
-i AS (SELECT *, substring(t, -1, 1) AS l, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[-*•]? *[A-Za-z0-9_][^:]{{1,40}}: *.+')) AS items FROM t)
-SELECT doc_id, CASE WHEN length(trim(t)) < 20 THEN false WHEN list_contains(['.', '!', '?', '…'], l) THEN len(items) >= 2 AND length(trim(regexp_extract(items[-1], '^[^:]*:(.*)$', 1))) < 8
+_BROKEN_SQL = f"""CASE WHEN length(trim(t)) < 20 THEN false WHEN list_contains(['.', '!', '?', '…'], l) THEN len(items) >= 2 AND length(trim(regexp_extract(items[-1], '^[^:]*:(.*)$', 1))) < 8
   WHEN list_contains([',', ':', ';', '-', '–', '—', '('], l) THEN true WHEN list_contains({sql_list(lex.LAST_WORDS)}, rtrim(lower(regexp_split_to_array(t, '\\s+')[-1]), '.,;:')) THEN true
-  ELSE length(t) > 80 AND regexp_matches(l, '^\\pL$') END AS broken FROM i""")
+  ELSE length(t) > 80 AND regexp_matches(l, '^\\pL$') END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, rtrim(text) AS t FROM documents),
+i AS (SELECT *, substring(t, -1, 1) AS l, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[-*•]? *[A-Za-z0-9_][^:]{{1,40}}: *.+')) AS items FROM t)
+SELECT doc_id, {_BROKEN_SQL} AS broken FROM i""")
 def flt_incomplete(spark, sf_dir):
-    cut = F.col("text").substr(F.lit(1), (40 + F.col("doc_id") % 200).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", R.is_incomplete(cut).alias("broken"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", R.is_incomplete(F.col("text")).alias("broken"))
 
 
 @query(f"SELECT doc_id, len(list_filter({sql_list(lex.PORTUGUESE)}, lambda w: contains(lower(text), w)))::BIGINT AS markers, length(text) >= 20 AND len(list_filter({sql_list(lex.PORTUGUESE)}, lambda w: contains(lower(text), w))) >= 2 AS portuguese FROM documents")
@@ -145,10 +204,16 @@ def escalation_reason(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.escalation_reason(F.col("value"), said, F.col("event_type") == "error", F.col("event_type") == "signup").alias("reason"))
 
 
-@query("SELECT p_partkey, CASE WHEN list_contains(string_split(lower(p_name), ' '), 'blue') THEN 'blue' WHEN regexp_matches(lower(p_name), '\\b(red|green)\\b') THEN 'warm' ELSE 'none' END AS scope FROM part")
+_PLACED = ["Regional", "sucursales ", "la regional de ", "Oficina Central norte ", "una sucursal cerca ", "subsucursal ", "donde ", "__ubicacion_sucursales__"]
+_SCOPED = f"CASE WHEN p_partkey % 2 = 0 THEN {sql_list(_PLACED)}[p_partkey % 16 // 2 + 1] ELSE {sql_list(_PLACED)}[p_partkey % 16 // 2 + 1] || ' ' || p_name END"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN t IN ('__ubicacion_regionales__', 'regional', 'regionales') THEN 'regionales' WHEN t IN ('__ubicacion_sucursales__', 'sucursal', 'sucursales') THEN 'sucursales'
+  WHEN regexp_matches(t, '\\b(regional|regionales|oficina central)\\b') THEN 'regionales' WHEN regexp_matches(t, '\\b(sucursal|sucursales)\\b') THEN 'sucursales' END AS scope FROM (SELECT p_partkey, lower(trim({_SCOPED})) AS t FROM part)""")
 def scope_extract(spark, sf_dir):
-    low = F.lower("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.array_contains(F.split(low, " "), "blue"), "blue").when(low.rlike(r"\b(red|green)\b"), "warm").otherwise("none").alias("scope"))
+    phrase = F.get(T.words_array(_PLACED), (F.floor(F.col("p_partkey") % 16 / 2)).cast("int"))
+    text = F.when(F.col("p_partkey") % 2 == 0, phrase).otherwise(F.concat_ws(" ", phrase, "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.location_scope(text).alias("scope"))
 
 
 @query("SELECT p_partkey, n >= 3 AND u >= 2 AS valid FROM (SELECT p_partkey, len(list_filter(w, lambda x: x <> '')) AS n, len(list_filter(list_distinct(w), lambda x: length(x) >= 4)) AS u FROM (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS w FROM part))")
@@ -164,35 +229,27 @@ def redirect_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.when(F.contains(low, F.lit("tion")), "topic a").when(F.contains(low, F.lit("ung")), "topic b").when(F.contains(low, F.lit("ción")), "topic c").otherwise("other").alias("answer"))
 
 
-@query(f"SELECT doc_id, CASE WHEN {_any(lex.DOMAIN)} THEN substring(text, 1, 60) ELSE substring(text, 1, 60) || ' correos' END AS enriched FROM documents")
+@query(f"SELECT conv_id, turn, CASE WHEN {_any(lex.DOMAIN)} THEN text ELSE text || ' correos' END AS enriched FROM conversations WHERE role = 'user'")
 def enrich_query(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    return _docs(spark, sf_dir).select("doc_id", F.when(T.contains_any(F.lower("text"), lex.DOMAIN), head).otherwise(F.concat(head, F.lit(" correos"))).alias("enriched"))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", F.when(T.contains_any(F.lower("text"), lex.DOMAIN), F.col("text")).otherwise(F.concat("text", F.lit(" correos"))).alias("enriched"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {_any(lex.URGENT)} THEN 'urgent' END, CASE WHEN {_any(lex.PRICE)} THEN 'price' END, CASE WHEN {_any(lex.COMPLAINT)} THEN 'complaint' END, CASE WHEN length(text) > 100 THEN 'long' END], lambda x: x IS NOT NULL)[1:3], ',') AS replies FROM documents""")
-def quick_replies(spark, sf_dir):
-    low = F.lower("text")
-    rules = F.array(
-        F.when(T.contains_any(low, lex.URGENT), "urgent"), F.when(T.contains_any(low, lex.PRICE), "price"), F.when(T.contains_any(low, lex.COMPLAINT), "complaint"), F.when(F.length("text") > 100, "long")
-    )
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.filter(rules, lambda x: x.isNotNull()), 1, 3), ",").alias("replies"))
+def _replies(lang: str) -> str:
+    return "flatten([" + ", ".join(f"CASE WHEN {_any(words)} THEN {sql_list(said)} ELSE [] END" for words, said in lex.QUICK_REPLIES[lang]) + "])[1:3]"
 
 
-_KEYWORDS = "list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-záéíóúñü]+')), lambda w: length(w) >= 4)"
+@query(f"SELECT doc_id, array_to_string(CASE WHEN lang = 'en' THEN {_replies('en')} ELSE {_replies('es')} END, '|') AS replies FROM documents")
+def quick_replies(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return d.select("doc_id", F.array_join(R.quick_replies(F.col("text"), F.col("lang")), "|").alias("replies"))
 
 
-@query(f"""WITH p AS (SELECT u.conv_id, u.turn, {_KEYWORDS.format(c="u.text")} AS k, lower(a.text) AS ans FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')
-SELECT conv_id, turn, NOT {_any(lex.DOMAIN, "ans")} AND len(k) > 0 AND len(list_filter(k, lambda w: contains(ans, w))) = 0 AS off_topic FROM p""")
+@query(f"""WITH p AS (SELECT conv_id, turn, question, lower(answer) AS ans, answer, list_filter(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(question), '[^0-9a-zà-ÿ_\\s]', ' ', 'g')), '\\s+')), lambda w: length(w) >= 4 AND NOT list_contains({sql_list(lex.QUESTION_STOPS)}, w)) AS k FROM ({_ANSWERED}))
+SELECT conv_id, turn, coalesce(length(question) > 0 AND length(answer) > 0 AND NOT {_any(lex.ANSWER_DOMAIN, "ans")} AND len(k) > 0 AND len(list_filter(k, lambda w: contains(ans, w))) = 0, false) AS off_topic FROM p""")
 def flt_answer_offtopic(spark, sf_dir):
     """Answers without a domain word that share no key word with their question."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("ans"))
-    keys = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-záéíóúñü]+"), F.lit(0))), lambda w: F.length(w) >= 4)
-    rows = u.join(a, ["conv_id", "turn"]).withColumn("k", keys)
-    off = ~T.contains_any(F.col("ans"), lex.DOMAIN) & (F.size("k") > 0) & ~F.exists("k", lambda w: F.contains("ans", w))
-    return rows.select("conv_id", "turn", off.alias("off_topic"))
+    return _answered(spark, sf_dir).select("conv_id", "turn", R.is_off_topic_answer(F.col("question"), F.col("answer")).alias("off_topic"))
 
 
 _LINE_OK = "NOT (length(x) <= 2 OR regexp_matches(x, '^[-_=|+.:;, ]{3,}$') OR (length(x) - length(replace(x, '|', '')) >= 2 AND r < 0.35) OR regexp_matches(s, '^p[áa]gina +#( +de +#)?$') OR list_contains(['www', 'http', 'https', 'comparte', 'share', 'menu', 'inicio'], s) OR regexp_matches(s, '^https?://[^ ]+$') OR (r < 0.18 AND regexp_matches(x, '[|+\\-_=]{2,}')))"

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lex
+from ..functions import rules as R
 from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import dedup as D
 from ..operators import history as H
 from ..session import spread, table
-from .registry import query
+from .registry import query, sql_list
 
 # Sources and catalogues
 
@@ -176,13 +178,25 @@ def nearest_neighbor(spark, sf_dir):
     return out
 
 
-@query("SELECT p_partkey, n_nationkey FROM (SELECT p_partkey, n_nationkey, row_number() OVER (PARTITION BY p_partkey ORDER BY n_nationkey) AS rn FROM part JOIN nation ON contains(lower(p_name || ' ' || n_name), lower(n_name)) AND n_nationkey = p_partkey % 25) WHERE rn = 1")
+_LABELLED = "lower(trim(CASE p_partkey % 4 WHEN 0 THEN left((SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25), 5) WHEN 1 THEN 'envio a ' || (SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25) WHEN 2 THEN 'la paz y otros states ' || p_name ELSE p_name END))"
+#: Labels of a catalogue that are taken up into an expression; they are counted first.
+MOST_LABELS = 1000
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_LABELLED} AS t FROM part), l AS (SELECT n_nationkey, lower(n_name) AS label FROM nation),
+c AS (SELECT p_partkey, n_nationkey, CASE WHEN contains(label, t) OR contains(t, label) THEN 0 WHEN len(list_filter(string_split(label, ' '), lambda w: contains(t, w))) > 0 THEN 1 END AS tier FROM p, l),
+b AS (SELECT p_partkey, arg_min(n_nationkey, tier * 100 + n_nationkey) AS best FROM c WHERE tier IS NOT NULL GROUP BY p_partkey)
+SELECT p_partkey, coalesce(best::VARCHAR, CASE WHEN contains(t, 'la paz') THEN 'la_paz' END) AS label FROM p LEFT JOIN b USING (p_partkey)""")
 def fuzzy_label(spark, sf_dir):
-    """The first label, by position, that a text contains."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("label"))
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("n_nationkey"), F.lower("p_name").alias("name"))
-    hit = p.join(n, "n_nationkey").where(F.contains(F.concat_ws(" ", "name", "label"), F.col("label")))
-    return hit.groupBy("p_partkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    """The label that a text means: containment either way, then any word, then known names."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    if n.count() > MOST_LABELS:
+        raise ValueError(f"a catalogue has at most {MOST_LABELS} labels")
+    labels = [(str(r["n_nationkey"]), r["n_name"]) for r in n.collect()]
+    names = F.create_map(*[F.lit(x) for k, v in labels for x in (int(k), v)])
+    name, kind = F.try_element_at(names, (F.col("p_partkey") % 25).cast("int")), F.col("p_partkey") % 4
+    text = F.when(kind == 0, F.left(name, F.lit(5))).when(kind == 1, F.concat(F.lit("envio a "), name)).when(kind == 2, F.concat(F.lit("la paz y otros states "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.best_label(text, labels, {"la paz": "la_paz"}).alias("label"))
 
 
 # Aggregates
@@ -335,10 +349,15 @@ def adjacent_chunks(spark, sf_dir):
     return c.select("conv_id", "turn", F.lag("turn").over(w).alias("prev"), F.lead("n").over(w).alias("next_chars"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN starts_with(text, coalesce(p, '')) THEN substring(text, length(coalesce(p, '')) + 1) ELSE text END AS delta FROM (SELECT *, lag(substring(text, 1, 10)) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN starts_with(text, coalesce(p, '')) THEN substring(text, length(coalesce(p, '')) + 1) ELSE text END AS delta FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS text FROM conversations UNION ALL SELECT -n_nationkey - 1, t, repeat('ab ', t) FROM nation, range(1, 5) r(t)))")
 def stream_delta(spark, sf_dir):
-    prev = F.coalesce(F.lag(F.substring("text", 1, 10)).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", prev.alias("p"))
+    """What each message adds to the one before it, where it begins with all of that."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    two = F.concat_ws(" ", F.lag("text").over(w), "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", two.alias("text"))
+    grown = table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("conv_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("turn"))
+    c = c.unionByName(grown.withColumn("text", F.expr("repeat('ab ', int(turn))")))
+    c = c.withColumn("p", F.coalesce(F.lag("text").over(w), F.lit("")))
     return c.select("conv_id", "turn", F.when(F.startswith("text", "p"), F.substr("text", F.length("p") + 1)).otherwise(F.col("text")).alias("delta"))
 
 
@@ -352,9 +371,9 @@ def flow_transcript(spark, sf_dir):
 # Orders
 
 
-@query("SELECT p_partkey, p_size, p_name FROM part WHERE p_size > 40 ORDER BY p_size DESC, lower(p_name), p_partkey")
+@query("SELECT p_partkey, p_size, p_name FROM part ORDER BY p_size DESC, lower(p_name), p_partkey")
 def order_skills(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size > 40").orderBy(F.desc("p_size"), F.lower("p_name"), "p_partkey").select("p_partkey", "p_size", "p_name")
+    return table(spark, sf_dir, "part").orderBy(F.desc("p_size"), F.lower("p_name"), "p_partkey").select("p_partkey", "p_size", "p_name")
 
 
 _URGENCY = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "5-LOW": 3}
@@ -430,9 +449,10 @@ def sanitize_catalog(spark, sf_dir):
     return p.agg(F.sum("n").alias("n_rows"), n(~F.col("ok"), F.col("n")).alias("dropped"), (n(F.col("ok"), F.col("n")) - n(F.col("ok"), F.lit(1))).alias("repeated"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, lang, sha1(text) AS h, concat_ws('|', source, sha1(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')))) AS k FROM documents WHERE lang IS NOT NULL),
+f AS (SELECT lang, h, min(doc_id) AS doc_id FROM d GROUP BY lang, h) SELECT min(doc_id) AS doc_id FROM f JOIN d USING (lang, h, doc_id) GROUP BY lang, k""")
 def dedup_two_key(spark, sf_dir):
-    """A recurrence over whole texts as they are, and within a source by letters and digits in lower case; tests hold it against a plain loop."""
+    """A recurrence over whole texts as they are, and within a source by letters and digits in lower case."""
     same = F.sha1(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")))
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha1("text").alias("h"), F.concat_ws("|", "source", same).alias("k"))
     return D.two_key_dedup(d.where("lang IS NOT NULL"), "h", "k", "doc_id", "lang").select("doc_id")
@@ -458,25 +478,68 @@ def apply_ratings(spark, sf_dir):
     return d.join(l, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).cast("long").alias("rating"))
 
 
-@query("SELECT n_nationkey, min(s_suppkey) AS s_suppkey FROM nation JOIN supplier ON contains(replace(lower(s_name), '#', ''), right('00000' || n_nationkey, 3)) GROUP BY n_nationkey")
+_BRANCHES = ["Regional: Oruro", "Oficina Central: La Paz", "regional : Santa Cruz", "Cochabamba", "Sucre", "Beni", "Pando", "Tarija", "Potosi"]
+_NAMED = ["La Paz", "scz", " CBBA ", "trini", "Trinidad", "paz", "potosí", "x", "santa cruz de la sierra", "a"]
+_ALIASED = "coalesce(map_extract_value(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lex.CITY_ALIASES.items()) + "}, t), t)"
+
+
+@query(f"""SELECT c_custkey, CASE {" ".join(f"WHEN contains('{R.city_of(b)}', u) THEN '{b}'" for b in _BRANCHES)} END AS branch FROM (
+  SELECT c_custkey, {_ALIASED} AS u FROM (SELECT c_custkey, lower(trim(CASE WHEN c_custkey % 11 = 10 THEN c_name ELSE {sql_list(_NAMED)}[c_custkey % 11 + 1] END)) AS t FROM customer))""")
 def first_contains(spark, sf_dir):
-    """The first branch whose name contains a key of three characters: branches by their substrings of that length, an equi-join."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.lower("s_name"), F.lit("#"), F.lit("")).alias("name"))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substr("name", i, F.lit(3))))
-    grams = s.select("s_suppkey", F.explode(parts).alias("part")).groupBy("part").agg(F.min("s_suppkey").alias("s_suppkey"))
-    keys = table(spark, sf_dir, "nation").select("n_nationkey", F.right(F.concat(F.lit("00000"), F.col("n_nationkey").cast("string")), F.lit(3)).alias("part"))
-    return keys.join(grams, "part").select("n_nationkey", "s_suppkey")
+    """The branch that a text names by its city alone."""
+    at = F.col("c_custkey") % 11
+    text = F.when(at == 10, F.col("c_name")).otherwise(F.get(T.words_array(_NAMED), at.cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", R.only_city(text, _BRANCHES).alias("branch"))
+
+
+def _rewritten() -> str:
+    out = "lower(text)"
+    for old, new in lex.CITY_ALIASES.items():
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
 
 
-_PLACES = {"blble": "la", "onon": "th", "eaea": "es"}
+_CITIES = list(dict.fromkeys(lex.CITY_ALIASES.values()))
 
 
-@query("""WITH t AS (SELECT doc_id, replace(replace(replace(lower(text), 'blble', 'la'), 'onon', 'th'), 'eaea', 'es') AS t FROM documents WHERE contains(lower(text), 'tion'))
-SELECT doc_id, CASE WHEN contains(t, 'the') THEN 'the' WHEN contains(t, 'ing') THEN 'ing' ELSE NULL END AS place FROM t""")
+@query(f"""WITH t AS (SELECT doc_id, {_rewritten()} AS t FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || ' donde queda la oficina de cobija' WHEN 1 THEN text || ' mapa de LPB' ELSE text END AS text FROM documents)),
+a AS (SELECT doc_id, t, len(list_filter({sql_list(lex.LOCATION)}, lambda w: contains(t, w))) > 0 AS asked FROM t)
+SELECT doc_id, asked, CASE WHEN asked THEN CASE {" ".join(f"WHEN contains(t, '{c}') THEN '{c}'" for c in _CITIES)} END END AS place FROM a""")
 def location_query(spark, sf_dir):
-    """Texts with a location word: aliases rewritten one after the other, then the first place they contain."""
-    t = F.lower("text")
-    d = table(spark, sf_dir, "documents").where(F.contains(t, F.lit("tion")))
-    for old, new in _PLACES.items():
-        t = F.replace(t, F.lit(old), F.lit(new))
-    return d.select("doc_id", t.alias("t")).select("doc_id", F.when(F.contains("t", F.lit("the")), "the").when(F.contains("t", F.lit("ing")), "ing").alias("place"))
+    """Whether each text, some with a question put behind them, asks for a location, and of which city."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" donde queda la oficina de cobija"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" mapa de LPB"))).otherwise(F.col("text"))
+    return d.select("doc_id", R.location_of(text, _CITIES).alias("l")).select("doc_id", "l.asked", "l.place")
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 7 <> 0 THEN 'words' END AS method FROM documents)
+SELECT doc_id, CASE WHEN method IS NOT NULL AND length(trim(text)) >= 180 THEN 'kept' WHEN page_id IS NULL THEN 'failed' WHEN length(html) > length(text) THEN 'improved' ELSE 'reprocessed' END AS state,
+  CASE WHEN (method IS NULL OR length(trim(text)) < 180) AND page_id IS NOT NULL THEN length(coalesce(html, '')) ELSE length(text) END::BIGINT AS chars FROM d LEFT JOIN pages ON page_id = doc_id""")
+def reprocess_flags(spark, sf_dir):
+    """Catalogue entries without a method or with a text under 180 characters are extracted anew where their file is there."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 7 != 0, "words").alias("method"))
+    files = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("new_text"))
+    return D.reprocessed(d, files, "doc_id", "page_id")
+
+
+_TICKET_CHANGES = "SELECT o_orderkey AS ticket, CASE WHEN o_orderstatus = 'P' THEN 'resolved' ELSE 'assigned' END AS state, o_custkey AS who, o_orderdate AS changed FROM orders WHERE o_orderkey % 5 = 0"
+
+
+@query(f"""WITH c AS ({_TICKET_CHANGES} UNION ALL SELECT o_orderkey, 'assigned', -1, o_orderdate - INTERVAL 1 DAY FROM orders WHERE o_orderkey % 10 = 0),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket ORDER BY changed DESC) AS rn FROM c) WHERE rn = 1)
+SELECT o_orderkey, coalesce(l.state, 'open') AS state, l.who AS agent FROM orders LEFT JOIN l ON ticket = o_orderkey""")
+def ticket_changes(spark, sf_dir):
+    """Tickets after their latest change: assigned or resolved, and by whom."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderdate")
+    state = F.when(F.col("o_orderstatus") == "P", "resolved").otherwise("assigned")
+    new = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("ticket"), state.alias("state"), F.col("o_custkey").cast("long").alias("who"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    old = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("ticket"), F.lit("assigned").alias("state"), F.lit(-1).cast("long").alias("who"), (F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 1 DAY")).alias("at"))
+    last = new.unionByName(old).groupBy("ticket").agg(F.max_by(F.struct("state", "who"), "at").alias("c"))
+    out = o.join(last, F.col("ticket") == F.col("o_orderkey"), "left")
+    return out.select("o_orderkey", F.coalesce("c.state", F.lit("open")).alias("state"), F.col("c.who").alias("agent"))
+
+
+@query("SELECT page_id FROM pages WHERE NOT (url LIKE 'https://m.%')")
+def clear_pattern(spark, sf_dir):
+    """Keys of a cache that stay when those of a pattern are cleared."""
+    return D.without_pattern(table(spark, sf_dir, "pages").select("page_id", "url"), "url", "https://m.*").select("page_id")

@@ -18,13 +18,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(f"""
-SELECT doc_id, array_to_string(list_filter(
+NORM_SQL = f"""array_to_string(list_filter(
     list_transform(string_split(replace(replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x)),
     lambda x: length(x) > 2 AND NOT list_contains({sql_list(lex.NOISE_LINES)}, lower(x))
       AND NOT regexp_matches(x, '^[#@|/\\\\\\-_=*.,:;~\\[\\](){{}}0-9 ]+$') AND NOT regexp_matches(lower(x), '^p[áa]gina +[0-9]+$')
-      AND NOT starts_with(lower(x), 'http://') AND NOT starts_with(lower(x), 'https://')), chr(10)) AS norm
-FROM documents""")
+      AND NOT starts_with(lower(x), 'http://') AND NOT starts_with(lower(x), 'https://')), chr(10))"""
+
+
+@query(f"SELECT doc_id, {NORM_SQL} AS norm FROM documents")
 def norm_text(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).select("doc_id", T.norm_text(F.col("text")).alias("norm"))
 
@@ -132,17 +133,22 @@ def sanitize_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.sanitize_name(F.col("url"), ".pdf").alias("name"))
 
 
-@query("""
+_WEIGHED = "CASE p_partkey % 6 WHEN 0 THEN (p_size * 20)::VARCHAR || ' gr' WHEN 1 THEN 'pesa ' || p_size::VARCHAR || ',5 Kg' WHEN 2 THEN (p_size * 7)::VARCHAR WHEN 3 THEN 'son ' || (p_size * 9)::VARCHAR || ' en total' WHEN 4 THEN p_size::VARCHAR || ' kilos y 3' ELSE p_name END"
+
+
+@query(f"""
 SELECT p_partkey, CASE WHEN g IS NOT NULL THEN CASE WHEN g > 100 THEN round(g / 1000, 3) ELSE g END WHEN k IS NOT NULL THEN k WHEN b > 100 AND b < 50000 THEN round(b / 1000, 3) ELSE b END AS kg FROM (
-  SELECT p_partkey, try_cast(nullif(regexp_extract(t, '([0-9]+(?:\\.[0-9]+)?) *(?:g|gr|gramos?)\\b', 1), '') AS DOUBLE) AS g, try_cast(nullif(regexp_extract(t, '([0-9]+(?:\\.[0-9]+)?) *(?:kg|kilos?|kilogramos?)\\b', 1), '') AS DOUBLE) AS k,
-    try_cast(nullif(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)?)$', 1), '') AS DOUBLE) AS b FROM (
-    SELECT p_partkey, replace(lower(trim(CASE p_partkey % 4 WHEN 0 THEN (p_size * 20)::VARCHAR || ' gr' WHEN 1 THEN p_size::VARCHAR || ',5 Kg' WHEN 2 THEN (p_size * 7)::VARCHAR ELSE p_name END)), ',', '.') AS t FROM part))""")
+  SELECT p_partkey, try_cast(nullif(regexp_extract(t, '([0-9]+\\.?[0-9]*)\\s*g(?:r(?:amo)?s?)?\\b', 1), '') AS DOUBLE) AS g, try_cast(nullif(regexp_extract(t, '([0-9]+\\.?[0-9]*)\\s*k(?:g|ilo)?s?\\b', 1), '') AS DOUBLE) AS k,
+    try_cast(nullif(regexp_extract(t, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS b FROM (SELECT p_partkey, replace(lower(trim({_WEIGHED})), ',', '.') AS t FROM part))""")
 def parse_weight(spark, sf_dir):
-    key, size = F.col("p_partkey"), F.col("p_size")
+    kind, size = F.col("p_partkey") % 6, F.col("p_size")
+    number = lambda n: (size * n).cast("string")
     built = (
-        F.when(key % 4 == 0, F.concat((size * 20).cast("string"), F.lit(" gr")))
-        .when(key % 4 == 1, F.concat(size.cast("string"), F.lit(",5 Kg")))
-        .when(key % 4 == 2, (size * 7).cast("string"))
+        F.when(kind == 0, F.concat(number(20), F.lit(" gr")))
+        .when(kind == 1, F.concat(F.lit("pesa "), number(1), F.lit(",5 Kg")))
+        .when(kind == 2, number(7))
+        .when(kind == 3, F.concat(F.lit("son "), number(9), F.lit(" en total")))
+        .when(kind == 4, F.concat(number(1), F.lit(" kilos y 3")))
         .otherwise(F.col("p_name"))
     )
     return table(spark, sf_dir, "part").select("p_partkey", T.parse_weight(built).alias("kg"))
@@ -155,13 +161,15 @@ def lenient_cast(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE WHEN isodow(l) = 7 THEN false WHEN isodow(l) = 6 THEN h >= 9 AND h < 13 ELSE h >= 8.5 AND h < 18.5 END AS open, strftime(l, '%d/%m/%Y %H:%M') AS stamp FROM (
-  SELECT event_id, ts - INTERVAL 4 HOUR AS l, hour(ts - INTERVAL 4 HOUR) + minute(ts - INTERVAL 4 HOUR) / 60.0 AS h FROM events)""")
+SELECT event_id, CASE WHEN isodow(l) = 7 THEN user_id % 3 = 0 AND h >= 10.5 AND h < 12.25 WHEN isodow(l) = 6 THEN h >= 9 AND h < 13 ELSE h >= CASE user_id % 2 WHEN 0 THEN 8.5 ELSE 7.25 END AND h < 16.5 END AS open, strftime(l, '%d/%m/%Y %H:%M') AS stamp FROM (
+  SELECT event_id, user_id, ts - INTERVAL 4 HOUR AS l, hour(ts - INTERVAL 4 HOUR) + minute(ts - INTERVAL 4 HOUR) / 60.0 AS h FROM events)""")
 def is_open(spark, sf_dir):
-    """Opening hours at a fixed offset of four hours: weekdays 8:30 to 18:30, Saturdays 9 to 13."""
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("ts") - F.expr("INTERVAL 4 HOURS")).alias("l"))
-    h, day = F.hour("l") + F.minute("l") / 60.0, F.weekday("l")
-    return rows.select("event_id", F.when(day == 6, False).when(day == 5, (h >= 9) & (h < 13)).otherwise((h >= 8.5) & (h < 18.5)).alias("open"), F.date_format("l", "dd/MM/yyyy HH:mm").alias("stamp"))
+    """Opening hours, told by texts, at a fixed offset of four hours."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.expr("INTERVAL 4 HOURS")).alias("l"))
+    opens = F.when(F.col("user_id") % 2 == 0, "8:30").otherwise(" 7.25 ")
+    sunday = F.when(F.col("user_id") % 3 == 0, "de 10:30 a 12:15, salvo feriados").otherwise("cerrado los domingos")
+    shown = T.is_open(F.col("l"), (opens, F.lit("sin dato")), (F.lit("9:00"), F.lit(None).cast("string")), sunday)
+    return rows.select("event_id", shown.alias("open"), F.date_format("l", "dd/MM/yyyy HH:mm").alias("stamp"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
@@ -169,12 +177,21 @@ def fmt_ts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
 
 
-@query("SELECT event_id, event_type || ': k = ' || json_extract_string(props, '$.k') AS told, json_extract_string('{\"k\":' || json_extract_string(props, '$.k') || '}', '$.k') AS again FROM events")
+_PAYLOAD = """CASE WHEN event_id % 5 = 0 THEN props ELSE '{"_id":' || event_id || ',"tags":["' || event_type || '",' || user_id || ',"c"],"owner":{"name":"n' || user_id || '","age":' || user_id || ',"x":null},"short":"abc","note":"seen as ' || event_type || ' once","n":5,"empty":{}}' END"""
+
+
+@query(f"""WITH j AS (SELECT event_id, {_PAYLOAD} AS j FROM events), k AS (SELECT event_id, j, unnest(json_keys(j)) AS k, unnest(range(len(json_keys(j)))) AS pos FROM j),
+v AS (SELECT *, json_extract(j, '$."' || k || '"') AS v, json_extract_string(j, '$."' || k || '"') AS s FROM k),
+l AS (SELECT event_id, pos, CASE WHEN starts_with(k, '_') THEN NULL WHEN json_type(v) = 'ARRAY' THEN k || ': ' || array_to_string(list_transform(range(least(json_array_length(v), 20)::BIGINT), lambda i: json_extract_string(v, '$[' || i || ']')), ', ')
+  WHEN json_type(v) = 'OBJECT' THEN k || ':' || coalesce(array_to_string(list_transform(json_keys(v), lambda x: chr(10) || '  ' || x || ': ' || coalesce(json_extract_string(v, '$."' || x || '"'), 'null')), ''), '')
+  WHEN json_type(v) = 'VARCHAR' AND length(s) > 10 THEN k || ': ' || s END AS line FROM v),
+t AS (SELECT event_id, string_agg(line, chr(10) ORDER BY pos) AS told FROM l WHERE line IS NOT NULL GROUP BY event_id)
+SELECT event_id, coalesce(told, j) AS told FROM j LEFT JOIN t USING (event_id)""")
 def json_to_text(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    framed = F.concat(F.lit("so: "), F.col("props"), F.lit(" end"))
-    again = F.get_json_object(F.regexp_extract(framed, r"(?s)\{.*\}", 0), "$.k")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.col("event_type"), F.lit(": k = "), k).alias("told"), again.alias("again"))
+    kind, user, key = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    parts = [F.lit('{"_id":'), key, F.lit(',"tags":["'), kind, F.lit('",'), user, F.lit(',"c"],"owner":{"name":"n'), user, F.lit('","age":'), user, F.lit(',"x":null},"short":"abc","note":"seen as '), kind, F.lit(' once","n":5,"empty":{}}')]
+    payload = F.when(F.col("event_id") % 5 == 0, F.col("props")).otherwise(F.concat(*parts))
+    return table(spark, sf_dir, "events").select("event_id", T.json_to_text(payload).alias("told"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, count(json_extract_string(props, '$.k'))::BIGINT AS with_k, sum(length(props))::BIGINT AS chars FROM events GROUP BY event_type")
@@ -189,9 +206,9 @@ def ndjson_rows(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type", "user_id")).alias("line"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'passage: ' ELSE 'query: ' END || substring(text, 1, 80) AS prefixed FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'passage: ' ELSE 'query: ' END || text AS prefixed FROM documents")
 def e5_prefix(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "passage: ").otherwise("query: "), F.substring("text", 1, 80)).alias("prefixed"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "passage: ").otherwise("query: "), F.col("text")).alias("prefixed"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'knowledge base' WHEN 'es' THEN 'document' WHEN 'fr' THEN 'history' ELSE 'other' END AS label, coalesce(nullif(source, ''), 'unknown') AS source_name FROM documents")
@@ -210,9 +227,9 @@ def alias_map(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(F.try_element_at(names, low), low).alias("name"))
 
 
-@query("SELECT doc_id, 'Context (' || coalesce(lang, '?') || '):' || chr(10) || CASE WHEN trim(text) = '' THEN '(none)' ELSE substring(text, 1, 300) END || chr(10) || 'Question: ' || source AS prompt FROM documents")
+@query("SELECT doc_id, 'Context (' || coalesce(lang, '?') || '):' || chr(10) || CASE WHEN trim(text) = '' THEN '(none)' ELSE text END || chr(10) || 'Question: ' || source AS prompt FROM documents")
 def build_prompt(spark, sf_dir):
-    context = F.when(F.trim("text") == "", "(none)").otherwise(F.substring("text", 1, 300))
+    context = F.when(F.trim("text") == "", "(none)").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Context ("), F.coalesce("lang", F.lit("?")), F.lit("):\n"), context, F.lit("\nQuestion: "), F.col("source")).alias("prompt"))
 
 
