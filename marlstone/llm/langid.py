@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import id_hash
 
 #: Slots that n-grams hash to.
 SLOTS = 2048
-#: Rows of each language, about, that centroids are fitted on; chosen by a hash of the id.
-SAMPLE = 1200
+#: Rows of each language, about, that centroids are fitted on, chosen by a hash of id and text; and rows of all languages, of which
+#: each then gets its share. The driver holds twice as many vectors at most.
+SAMPLE, SAMPLE_OF_ALL = 1200, 10_000
 CENTROIDS = 4
 ROUNDS = 12
 #: Code points of a text that are counted at a time.
@@ -31,18 +33,24 @@ _FOLD[123:] = 32
 
 
 def counts(text: str) -> np.ndarray:
-    """Counts by slot of the 1-, 2- and 3-grams of a text; ASCII that is no letter counts as space, runs as one."""
+    """Counts by slot of the 1-, 2- and 3-grams of a text; ASCII that is no letter counts as space, runs as one.
+
+    Texts are read STEP code points at a time; the last two of a step begin the n-grams of the next.
+    """
     total = np.zeros(SLOTS, np.int64)
-    for i in range(0, max(1, len(text)), STEP):
-        code = np.frombuffer(text[i : i + STEP + 2].lower().encode("utf-32-le", "replace"), np.uint32)
+    held = np.zeros(0, np.uint32)
+    for i in range(0, len(text), STEP):
+        code = np.frombuffer(text[i : i + STEP].lower().encode("utf-32-le", "replace"), np.uint32)
         ascii_only = code < 128
         code = np.where(ascii_only, _FOLD[np.where(ascii_only, code, 0)], code)
-        code = code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])] if len(code) else code
-        a = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        before = np.concatenate([held[-1:] if len(held) else [np.uint32(0)], code[:-1]])
+        code = code[(code != 32) | (before != 32)]
+        a = np.concatenate([held, code]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         two = (a[:-1] >> np.uint64(17)) * np.uint64(0xC2B2AE3D27D4EB4F) + a[1:]
         three = (two[:-1] >> np.uint64(15)) * np.uint64(0x165667B19E3779F9) + a[2:] if len(a) > 2 else a[:0]
-        for h in (a[code != 32], two, three):
+        for h in (a[len(held) :][code != 32], two[1:] if len(held) == 2 else two, three):
             total += np.bincount((h >> np.uint64(64 - 11)).astype(np.int64), minlength=SLOTS)
+        held = np.concatenate([held, code])[-2:]
     return total
 
 
@@ -86,23 +94,27 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """``doc_id, held_out, lang_pred, score, cosine, rejected`` for every row.
 
     Learns from text and non-null lang of rows with crc32(doc_id as text) mod 4 other than 2:
-    document frequencies from all of them, centroids from about SAMPLE rows a language.
+    document frequencies from all of them, centroids from about SAMPLE rows a language (fewer
+    where that would be over SAMPLE_OF_ALL in all). Of languages with equal cosines the first by
+    name counts. Texts are read whole, in steps.
     score is the share of the best language; rejected marks texts whose cosine to their
-    nearest centroid is under that seen in all but REJECT of the language's sample. Texts
+    nearest centroid is under that seen in all but REJECT of the language's sample: they are
+    still given their nearest language. Texts
     that are null or have no letter are ``und`` with score 0, as is everything if there is
     nothing to learn from. Repeated rows get a row each; other columns are not read.
     """
+    ship(docs.sparkSession)
     held_out = id_hash(id_col) % 4 == 2
     known = docs.where(~held_out & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     n, df = document_frequencies(known)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    each = min(SAMPLE, 10_000 // max(1, len(sizes)) + 1)
-    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1_000_000)) / 1_000_000
+    each = min(SAMPLE, SAMPLE_OF_ALL // max(1, len(sizes)) + 1)
+    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, each / size))]) if sizes else F.lit(None)
     centres, names, least = np.zeros((0, SLOTS), np.float32), [], []
     if sizes:
-        sample = known.where(u < share[F.col("lang")])
+        sample = known.where(u < share[F.col("lang")]).limit(2 * each * len(sizes))
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

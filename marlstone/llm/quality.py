@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import id_hash, materialize
 
 STATISTICS = ("symbols", "exclamations", "bars", "capitals", "digits", "stops", "adjacent repeats", "distinct words", "words", "word length", "lines")
@@ -121,9 +122,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels: ``doc_id, quality`` (1 good, 0 not). Rows with crc32(doc_id as text) mod 5 = 0 are
     held out of learning. Labels that are null or not 0 or 1 teach nothing; of an id labelled
     more than once the smallest label counts. Null texts are empty ones and get a score like
-    any; if a class has no row to learn from, every score is 1. Repeated rows get a row each;
-    other columns are not read.
+    any; if a class has no row to learn from, every score is 1. Texts are read whole, however
+    long. Repeated rows get a row each, an empty table none; other columns are not read.
     """
+    ship(docs.sparkSession)
     x = materialize(features(docs, id_col, text_col), "statistics")
     held_out = id_hash("doc_id") % 5 == 0
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
@@ -143,7 +145,10 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` that are predicted 1, all columns as they are.
 
     The model is fitted first; then one pass scores and filters whole rows, so no text is shuffled.
+    Null texts are scored as empty ones; repeated rows stay or go together; without a class to
+    learn from every row stays; an empty table stays empty. Columns of any names are carried along.
     """
+    ship(docs.sparkSession)
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     teaching = docs.where(id_hash(id_col) % 5 != 0).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if known.count() <= BROADCAST_ROWS:  # 8 bytes each; texts without a label are then not even measured

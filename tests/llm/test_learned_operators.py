@@ -32,6 +32,42 @@ def test_op2_held_out(spark, mid):
     assert (held.predicted == held.quality).mean() > 0.97
 
 
+def plain_statistics(text):
+    """The statistics again, by loops over characters and words."""
+    import math
+
+    data = (text or "").encode()
+    n, words = len(data), data.lower().split()
+    of = lambda signs: sum(data.count(bytes([c])) for c in signs)
+    small, capital, digit = of(range(97, 123)), of(range(65, 91)), of(range(48, 58))
+    other, stops, blank = of(range(128, 256)), of(b"!\"'(),-.:;?"), of(b"\t\n\x0b\x0c\r ")
+    symbols = n - small - capital - digit - other - stops - blank
+    repeats = sum(a == b for a, b in zip(words, words[1:]))
+    shares = [(symbols - of(b"|")) / (n + 40), of(b"!") / (n + 40), of(b"|") / (n + 40), capital / (small + capital + other + 40), digit / (n + 40), stops / (n + 40), repeats / (len(words) + 5)]
+    logs = [math.log((len(set(words)) + 5) / (len(words) + 5)), math.log(len(words) + 5), math.log((n - blank + 40) / (len(words) + 8))]
+    return [*map(math.sqrt, shares), *logs, math.sqrt(of(b"\n") / (n + 40))]
+
+
+def test_op2_against_plain(spark, mid):
+    """Scores of the query against a discriminant written out with inverse and determinant."""
+    docs = spark.read.parquet(f"{mid}/documents.parquet").toPandas()
+    labels = spark.read.parquet(f"{mid}/labels.parquet").toPandas().set_index("doc_id").quality
+    x = np.array([plain_statistics(t) for t in docs.text])
+    y = np.array([labels.get(d, -1) if zlib.crc32(str(d).encode()) % 5 else -1 for d in docs.doc_id])
+    known = x[y >= 0]
+    pooled = np.cov(known.T, bias=True)
+    density = []
+    for k in (0, 1):
+        own = x[y == k]
+        cov = (1 - quality.POOL) * np.cov(own.T, bias=True) + quality.POOL * pooled
+        cov = (1 - quality.RIDGE) * cov + (quality.RIDGE * np.trace(cov) / len(cov) + 1e-9) * np.eye(len(cov))
+        away = x - own.mean(0)
+        density.append(np.log(len(own) / len(known)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    got = queries.op2_quality_classifier(spark, mid).toPandas().set_index("doc_id").score
+    assert np.allclose(got.loc[docs.doc_id], want, atol=1e-4)
+
+
 def test_op2_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0), (1, None, 0), (2, "", 0), (None, "some words here", 0), (4, "x " * 200_000, 0)], "doc_id long, text string, label int")
     labels = spark.createDataFrame([(1, None, 0), (2, 1, 0), (2, 0, 0), (4, 7, 1)], "doc_id long, quality int, x int")
@@ -357,6 +393,46 @@ def test_op9_held_out(spark, mid):
     assert (held.lang_pred == held.lang).mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def plain_counts(text):
+    """Slots again, one n-gram at a time."""
+    grams, m = [], (1 << 64) - 1
+    codes = []
+    for ch in text.lower():
+        c = ord(ch) if ord(ch) >= 128 or ch.isalpha() else 32
+        if c != 32 or not codes or codes[-1] != 32:
+            codes.append(c)
+    first = [c * 0x9E3779B97F4A7C15 & m for c in codes]
+    two = lambda i: ((first[i] >> 17) * 0xC2B2AE3D27D4EB4F + first[i + 1]) & m
+    grams += [h for h, c in zip(first, codes) if c != 32] + [two(i) for i in range(len(codes) - 1)]
+    grams += [((two(i) >> 15) * 0x165667B19E3779F9 + first[i + 2]) & m for i in range(len(codes) - 2)]
+    out = np.zeros(langid.SLOTS, np.int64)
+    for h in grams:
+        out[h >> 53] += 1
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abAB é字1. \n-"), max_size=30), st.sampled_from([1, 2, 3, 7, 1 << 18]))
+def test_op9_counts_in_steps(text, step):
+    before, langid.STEP = langid.STEP, step
+    try:
+        assert (langid.counts(text) == plain_counts(text)).all()
+    finally:
+        langid.STEP = before
+
+
+def test_op9_hot_id_is_bounded(spark, monkeypatch):
+    """Rows that share an id are drawn by their texts, and the sample has a bound."""
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    sizes = []
+    plain = langid.cluster
+    monkeypatch.setattr(langid, "cluster", lambda x, *a: (sizes.append(len(x)), plain(x, *a))[1])
+    rows = [(7, f"the house number {i} of the town", "en") for i in range(2000)] + [(None, f"das haus nummer {i} der stadt", "de") for i in range(2000)]
+    got = langid.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in got.select("lang_pred").distinct().collect()} == {"en", "de"} or len(sizes) < 2
+    assert all(n <= 80 for n in sizes)
+
+
 def test_op9_odd_rows(spark):
     rows = [(i, "the cat and the dog of that house", "en") for i in range(8)] + [(i, "der hund und die katze für das haus", "de") for i in range(8, 16)]
     rows += [(20, None, "en"), (21, "", None), (22, "12 !", None), (22, "12 !", None), (None, "the dog", None), (23, "le chien " * 100_000, None)]
@@ -440,7 +516,7 @@ def test_pipeline_stages(spark, mid):
     known = labels.set_index("doc_id").quality
     assert (known.reindex(good.doc_id).dropna() == 1).mean() > 0.98
     assert set(known[known == 1].index) <= set(good.doc_id)
-    again = {r.doc_id: r.component_id for r in __import__("marlstone.llm.simhash", fromlist=["x"]).near_duplicates(spark.createDataFrame(good)).collect()}
+    again = {r.doc_id: r.component_id for r in __import__("marlstone.llm.simhash", fromlist=["x"]).near_duplicates(spark.createDataFrame(good), k=5).collect()}
     assert set(single.doc_id) == set(again.values())
     items = spark.read.parquet(f"{mid}/benchmark.parquet").toPandas()
     assert set(clean.doc_id) == {d.doc_id for d in single.itertuples() if not any(i in d.text for i in items.text)}
