@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, embed_dedup, html_wrapper, langid, packing, pii, quality, simhash, warc
-from ..session import table
+from ..session import spread, table
 from .common import materialize, scratch_path
 
 
@@ -29,7 +29,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.overlaps(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "matched", "length")
 
 
@@ -95,7 +95,7 @@ g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op8_warc_revisits": """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY payload_digest)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to FROM p JOIN f USING (payload_digest)""",
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY payload_digest),
+r AS (SELECT p.*, CASE WHEN payload_bytes >= 100 AND (first_id < page_id OR page_id IS NULL) THEN first_id END AS refers_to FROM p JOIN f USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
 }
