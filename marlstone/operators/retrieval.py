@@ -55,6 +55,30 @@ def rrf(semantic: DataFrame, lexical: DataFrame, id_col: str, k: int = 60, w_sem
     return a.join(b, id_col, "full_outer").select(id_col, (term(w_semantic, "ra") + term(w_lexical, "rb")).alias("score"))
 
 
+def local_search(docs: DataFrame, queries: DataFrame, n: int, least: int = 9) -> DataFrame:
+    """``item_id, doc_id, score, snippet``: the ``n`` documents of each query with most of its long words, in them or in longer words, and its whole phrase.
+
+    docs: ``doc_id, text``; queries: ``item_id, phrase``. Words score 2 each, the phrase 4. Words meet
+    by equi-joins: the distinct long words of all documents, cut into their parts, with those of
+    queries. Texts are read again only for documents with all words of a query, which alone
+    can hold its phrase, and for the few that are returned.
+    """
+    wanted = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]{4,}"), F.lit(0))), lambda w: F.length(w) >= least)
+    q = queries.withColumn("words", wanted)
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0)))).alias("run"))
+    sizes = F.sequence(F.lit(least), F.length("run"))
+    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substr("run", i, k)))))
+    cut = runs.select("run").distinct().select("run", F.explode(parts).alias("w"))
+    found = cut.join(q.select("item_id", F.explode("words").alias("w")), "w").select("run", "item_id", "w")
+    hits = runs.join(found, "run").select("item_id", "doc_id", "w").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = hits.join(q.select("item_id", F.size("words").alias("n_words")), "item_id")
+    whole = hits.where("hits = n_words").join(q.select("item_id", "phrase"), "item_id").join(docs, "doc_id").where(F.contains("text", "phrase")).select("item_id", "doc_id", F.lit(4).alias("whole"))
+    scored = hits.join(whole, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (2 * F.col("hits") + F.coalesce("whole", F.lit(0))).cast("long").alias("score"))
+    top = ranked(scored, "item_id", [F.desc("score"), F.col("doc_id")], n).join(q.select("item_id", "phrase"), "item_id").join(docs, "doc_id")
+    at = F.greatest(F.instr(F.col("text"), F.col("phrase")) - 20, F.lit(1))
+    return top.select("item_id", "doc_id", "score", F.substr("text", at, F.lit(80)).alias("snippet"))
+
+
 def preference(kind: Column, preferred: list[str]) -> Column:
     """Index of a type among the preferred ones, 99 if it is none of them."""
     at = F.array_position(F.array(*[F.lit(p) for p in preferred]), kind)

@@ -108,20 +108,13 @@ def context_prefix(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT item_id, text AS phrase, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), lambda w: length(w) >= 9) AS words FROM benchmark),
-c AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest(words) AS w FROM q) JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM documents) USING (w)),
-s AS (SELECT c.item_id, c.doc_id, 2 * len(list_filter(words, lambda w: contains(lower(d.text), w))) + CASE WHEN contains(d.text, phrase) THEN 4 ELSE 0 END AS score, substring(d.text, greatest(instr(d.text, phrase) - 20, 1), 80) AS snippet FROM c JOIN q USING (item_id) JOIN documents d ON d.doc_id = c.doc_id)
-SELECT item_id, doc_id, score::BIGINT AS score, snippet FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 2""")
+s AS (SELECT item_id, doc_id, 2 * len(list_filter(words, lambda w: contains(lower(d.text), w))) AS hits, CASE WHEN contains(d.text, phrase) THEN 4 ELSE 0 END AS whole, substring(d.text, greatest(instr(d.text, phrase) - 20, 1), 80) AS snippet FROM q, documents d)
+SELECT item_id, doc_id, (hits + whole)::BIGINT AS score, snippet FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits + whole DESC, doc_id) AS rn FROM s WHERE hits > 0) WHERE rn <= 2""")
 def local_search(spark, sf_dir):
-    """Two documents for each item by the long words and the whole phrase they contain; candidates share a word, by an equi-join."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), F.filter(words("text"), lambda w: F.length(w) >= 9).alias("words"))
+    """Two documents for each item by the long words and the whole phrase they contain."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    pairs = d.select("doc_id", F.explode(words("text")).alias("w")).join(q.select("item_id", F.explode("words").alias("w")), "w").select("item_id", "doc_id").distinct()
-    rows = pairs.join(q, "item_id").join(d, "doc_id")
-    score = 2 * F.size(F.filter("words", lambda w: F.contains(F.lower("text"), w))) + F.when(F.contains("text", "phrase"), 4).otherwise(0)
-    at = F.greatest(F.instr(F.col("text"), F.col("phrase")) - 20, F.lit(1))
-    rows = rows.select("item_id", "doc_id", score.cast("long").alias("score"), F.substr("text", at, F.lit(80)).alias("snippet"))
-    return R.ranked(rows, "item_id", [F.desc("score"), F.col("doc_id")], 2).select("item_id", "doc_id", "score", "snippet")
+    return R.local_search(d, q, 2)
 
 
 @query(f"{_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10) SELECT query_id, doc_id, (len(list_filter(list_distinct(regexp_extract_all(lower(b.text), '[a-z]{{3,}}')), lambda w: contains(lower(d.text), w))) + CASE WHEN contains(lower(d.text), lower(b.text)) THEN 3 ELSE 0 END)::BIGINT AS hits FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import history as H
 from ..session import table
 from ..sources.files import cache_read
 from ..streaming import state as S
@@ -26,8 +27,10 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDE
 SELECT event_type, max(ts) + INTERVAL 30 MINUTE AS fires, max(CASE WHEN user_id % 2 = 0 THEN 'full' ELSE 'delta' END) AS mode, count(*)::BIGINT AS calls FROM s GROUP BY event_type, sid""")
 def debounce(spark, sf_dir):
     """Runs that fire when a kind has been quiet for 30 minutes, in the strongest mode asked for."""
-    e = _events(spark, sf_dir).select("event_type", "ts", F.when(F.col("user_id") % 2 == 0, "full").otherwise("delta").alias("mode"))
-    return e.groupBy("event_type", F.session_window("ts", "30 minutes").alias("w")).agg(F.max("mode").alias("mode"), F.count("*").alias("calls")).select("event_type", F.col("w.end").alias("fires"), "mode", "calls")
+    e = _events(spark, sf_dir).select("event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when(F.col("user_id") % 2 == 0, "full").otherwise("delta").alias("mode"))
+    runs = H.gap_sessions(e, "event_type", "us", 30 * 60 * 1_000_000).groupBy("event_type", "session")
+    last = runs.agg((F.max("ts") + F.expr("INTERVAL 30 MINUTES")).alias("fires"), F.max("mode").alias("mode"), F.count("*").alias("calls"))
+    return last.select("event_type", "fires", "mode", "calls")
 
 
 @query()

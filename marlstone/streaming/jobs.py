@@ -67,12 +67,23 @@ def first_seen(events: DataFrame, key: str, ts: str, late: str) -> DataFrame:
 
 
 def latest_unanswered(events: DataFrame, store, checkpoint: str, path: str, keep: int = 500):
-    """Starts the job that appends error events to ``path``; ``store(frame, batch_id)`` gets the ``keep`` latest after each batch."""
+    """Starts the job that appends error events to ``path``; ``store(frame, batch_id)`` gets the ``keep`` latest after each batch.
+
+    The latest of each batch are kept apart, so a batch reads its own rows and ``keep`` others.
+    """
     spark = events.sparkSession
+    latest = f"{path.rstrip('/')}-latest"
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")  # a batch that runs again replaces its rows
-        store(spark.read.parquet(path).orderBy(F.desc("ts"), F.desc("event_id")).limit(keep), batch_id)
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+        if batch_id:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{latest}/batch={batch_id - 1}"))
+        newest(rows).write.mode("overwrite").parquet(f"{latest}/batch={batch_id}")
+        store(newest(spark.read.schema(batch.schema).parquet(f"{latest}/batch={batch_id}")), batch_id)
 
     errors = events.where("event_type = 'error'").select("event_id", "ts", F.substring("props", 1, 300).alias("said"))
     return errors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

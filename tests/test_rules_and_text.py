@@ -193,6 +193,22 @@ def test_dedup_two_key_reads_whole_texts(spark, tmp_path):
 
 
 
+def test_gap_sessions_against_loop(spark):
+    import random
+
+    draw = random.Random(8)
+    rows = [(i, draw.choice("aab"), draw.randrange(0, 6 * H.RANGE)) for i in range(300)] + [(300, "c", None), (301, None, 5), (302, "d", 7), (303, "d", 7)]
+    gap = 3 * 3600 * 1_000_000
+    got = {r.i: (r.k, r.session) for r in H.gap_sessions(spark.createDataFrame(rows, "i long, k string, us long"), "k", "us", gap).collect()}
+    want, last = {}, {}
+    for i, k, us in sorted((r for r in rows if r[1] and r[2] is not None), key=lambda r: (r[1], r[2])):
+        at, n = last.get(k, (us, 0))
+        n += us - at >= gap
+        last[k] = (us, n)
+        want[i] = (k, n)
+    assert got == want
+
+
 def test_upsert_and_replace(spark):
     base, new = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i long, v string"), spark.createDataFrame([(2, "x"), (4, "y")], "i long, v string")
     assert sorted(map(tuple, D.upsert(base, new, "i").collect())) == [(1, "a"), (2, "x"), (3, None), (4, "y")]
