@@ -36,7 +36,7 @@ _EDGE = "src long, dst long, sim float, old boolean"
 
 def _rounded(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of 8-bit bytes as unit vectors of single precision."""
-    x = np.stack([np.frombuffer(v.as_py(), np.int8) for v in vectors]).astype(np.float32)
+    x = np.frombuffer(b"".join(vectors.to_pylist()), np.int8).reshape(len(vectors), -1).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -94,10 +94,13 @@ def nodes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column(5):
-                x = np.array(v.as_py(), np.float64)
-                out.append(np.rint(x / np.abs(x).max() * 127).astype(np.int8).tobytes())
+            dims, out = b.column(4).to_numpy(), [b""] * b.num_rows
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = _units(b.column(5).take(pa.array(at)))
+                q = np.rint(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8).tobytes()
+                for i, start in zip(at.tolist(), range(0, len(q), dim)):
+                    out[i] = q[start : start + dim]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "q"])
 
     return found.mapInArrow(rounded, T.StructType([*found.schema.fields, T.StructField("q", T.BinaryType())]))

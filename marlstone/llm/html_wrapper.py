@@ -37,7 +37,7 @@ ASIDE_WORDS = frozenset(
 MAIN = ("article", "main")
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 WHOLE = frozenset(("html", "body", "main"))
-#: Elements of running text: a class hides them only if one of its names is one of the words above as a whole.
+#: Elements of running text: a class hides them only if all parts of one of its names are words above, as in cookie-notice.
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption a b i em strong span small sub sup u code q".split())
 #: Share of a container's text that a part of it must hold to be the main container instead.
 MOST = 0.7
@@ -100,7 +100,7 @@ def is_aside(key: str) -> bool:
     name, *words = key.split(".")
     if name == "article" and not MAIN_WORDS.isdisjoint(words):
         return False
-    return name in ASIDE or (name not in WHOLE and not ASIDE_WORDS.isdisjoint(words))
+    return name in ASIDE or (name not in WHOLE and any(ASIDE_WORDS.issuperset(parts) for w in words if (parts := _WORD.findall(w))))
 
 
 _LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}

@@ -166,7 +166,7 @@ def test_op3_wrapper_matches_its_pages(pages):
 def test_op3_by_slots(spark):
     """A host without article, main or telling names is read by its slots, and what all its pages have at one place goes."""
     ship(spark)
-    page = "<body><div class=x><ul><li>Home<li>About</ul></div><div class=y><div><h1>T{0}</h1><p>Read our terms of use.</p><p class=search-tips>{1}</p><p class=notice>n{0}</p><p>{2}</div></div><div class=z><p>All rights kept</div>"
+    page = "<body><div class=x><ul><li>Home<li>About</ul></div><div class=y><div><h1>T{0}</h1><p>Read our terms of use.</p><p class=search-tips>{1}</p><p class=notice>n{0}</p><p class=cookie-notice>k{0}</p><p>{2}</div></div><div class=z><p>All rights kept</div>"
     rng = np.random.default_rng(31)
     story = lambda: " ".join(f"w{x}" for x in rng.integers(0, 999, 60))
     rows = [(i, f"http://slots/{i}", page.format(i, story(), story())) for i in range(9)] + [(50 + i, f"http://few/{i}", page.format(i, "same tips", story())) for i in range(3)]
