@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import materialize
 
 CAPACITY = 4096
@@ -21,8 +22,8 @@ END_ID = 1
 WORDS_KEPT = 800_000
 #: Signs that the tokenizer never joins with letters before them.
 SIGNS = ".,;:!?#$%&*)]}\"|"
-#: Salts by which rows of one length are ranked apart from each other.
-SALTS = 256
+#: Salts by which rows of one length are ranked apart from each other, at least, and rows for which there is one more.
+SALTS, ROWS_OF_SALT = 256, 2_000_000
 
 _tokenizers: dict = {}
 
@@ -215,11 +216,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length that a third of all rows share is ranked by many tasks. Lengths must be from 1 to
     ``capacity``. Equal rows are ranked in any order; their places are as good.
     """
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    pieces = materialize(pieces, "pieces")
+    salts = max(SALTS, pieces.count() // ROWS_OF_SALT)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = materialize(pieces.groupBy("salt", "length").count(), "length-counts")
     key, first, offset = slots(plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("salt", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # SALTS rows of a length at most
+    base = counts.select("salt", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # a row for each salt and length
     rank = F.row_number().over(Window.partitionBy("salt", "length").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = pieces.withColumn("rank", rank).join(base, ["salt", "length"]).withColumn("rank", F.col("rank") - 1 + F.col("base"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
