@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, embed_dedup, html_wrapper, langid, packing, pii, quality, simhash, warc
+from . import chat_format, decontam, embed_dedup, html_wrapper, langid, packing, periodic, pii, quality, simhash, warc
 from ..session import spread, table
-from .common import materialize, scratch_path
+from .common import id_hash, materialize, scratch_path
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,30 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; the texts of about a tenth of the documents, picked by their id, end in repeats of a period. Rows without an id stay as they are."""
+    drawn, hash_of = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), id_hash("doc_id")
+
+    def tail(words):
+        g, n = F.floor(hash_of / 10), F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p)))
+        return F.when(n > 0, F.array_join(at, " ")).otherwise("")
+
+    text = F.when(F.col("doc_id").isNotNull() & (hash_of % 10 == 0), F.get(F.transform(F.array(drawn), tail), F.lit(0))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    above = lambda x, b: x["length"] * b["period"] > b["length"] * x["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda b, x: F.when(above(x, b), x).otherwise(b))  # runs are by start, then period
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.floor(1000 * F.col("b.length") / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting,
@@ -79,9 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_language_id,
         op10_pii,
+        op13_periodic_runs,
     )
 }
 
+#: crc32 of an id written as text.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
 _ESCAPED = r"regexp_replace({c}, '([<\[])(\\*/?(?:s|INST|ROLE|image|audio|document)[>\]])', '\1\\\2', 'g')"
 
 #: DuckDB SQL of the operators that SQL can express.
@@ -98,4 +126,19 @@ WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, octet_l
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY payload_digest),
 r AS (SELECT p.*, CASE WHEN payload_bytes >= 100 AND (first_id < page_id OR page_id IS NULL) THEN first_id END AS refers_to FROM p JOIN f USING (payload_digest))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    # runs are islands of pairs of equal words, ``period`` apart; one within a run of a shorter period has no smallest period of its own
+    "op13_periodic_runs": f"""
+WITH d AS (SELECT doc_id, h // 10 AS g, h % 10 = 0 AS drawn, ws, len(ws)::BIGINT AS n FROM (SELECT doc_id, {_CRC32} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+e AS (SELECT *, CASE WHEN drawn AND n > 0 THEN g % n END AS a, CASE WHEN drawn AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM d),
+w AS (SELECT doc_id, n, CASE WHEN p IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS ws FROM e),
+u AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM w),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM islands x WHERE NOT EXISTS (SELECT 1 FROM islands y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period, (1000 * len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
