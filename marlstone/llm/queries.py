@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, embed_dedup, html_wrapper, langid, packing, periodic, pii, quality, simhash, warc
+from . import chat_format, decontam, embed_dedup, html_wrapper, langid, packing, periodic, pii, quality, simhash, tier_packing, warc
 from ..session import spread, table
 from .common import id_hash, materialize, scratch_path
 
@@ -67,6 +67,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """``doc_id, text``; the texts of about a tenth of the documents, picked by their id, end in repeats of a period. Rows without an id stay as they are."""
     drawn, hash_of = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), id_hash("doc_id")
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_language_id,
         op10_pii,
+        op12_tier_packing,
         op13_periodic_runs,
     )
 }
