@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, embed_dedup, html_wrapper, langid, packing, periodic, pii, quality, simhash, tier_packing, warc
+from . import chat_format, decontam, embed_dedup, html_wrapper, langid, lexical, packing, periodic, pii, quality, simhash, tier_packing, warc
 from ..session import spread, table
 from .common import id_hash, materialize, scratch_path
 
@@ -67,6 +67,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -107,11 +111,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_language_id,
         op10_pii,
+        op11_ranked_search,
         op12_tier_packing,
         op13_periodic_runs,
     )
 }
 
+#: Terms of a text; only A-Z lower-cased.
+_TERMS = r"translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 #: crc32 of an id written as text.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
@@ -131,6 +138,15 @@ WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, octet_l
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p GROUP BY payload_digest),
 r AS (SELECT p.*, CASE WHEN payload_bytes >= 100 AND (first_id < page_id OR page_id IS NULL) THEN first_id END AS refers_to FROM p JOIN f USING (payload_digest))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    "op11_ranked_search": rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({_TERMS}) AS toks FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS k, doc_id, toks, len(toks)::BIGINT AS n FROM t WHERE len(toks) > 0),
+z AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM d),
+tf AS (SELECT k, doc_id, n, word, count(*)::BIGINT AS tf FROM (SELECT k, doc_id, n, unnest(toks) AS word FROM d) GROUP BY ALL),
+wt AS (SELECT word, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, z GROUP BY word, nd),
+q AS (SELECT item_id, word, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all({_TERMS})) AS word FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, k, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))))::BIGINT AS score FROM q JOIN wt USING (word) JOIN tf USING (word), z GROUP BY item_id, k, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
     # runs are islands of pairs of equal words, ``period`` apart; one within a run of a shorter period has no smallest period of its own
     "op13_periodic_runs": f"""
 WITH d AS (SELECT doc_id, h // 10 AS g, h % 10 = 0 AS drawn, ws, len(ws)::BIGINT AS n FROM (SELECT doc_id, {_CRC32} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
