@@ -197,8 +197,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     out = docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     for part in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        found = _search(docs, [(r["item_id"], r["text"]) for r in some.collect()], id_col, text_col)
-        out = found if part == 0 else out.unionByName(found)
+        if asked := [(r["item_id"], r["text"]) for r in some.collect()]:
+            out = out.unionByName(_search(docs, asked, id_col, text_col))
     return out
 
 
