@@ -7,6 +7,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,15 @@ END_ID = 1
 WORDS_KEPT = 800_000
 #: Signs that the tokenizer never joins with letters before them.
 SIGNS = ".,;:!?#$%&*)]}\"|"
+#: New pieces that are encoded as one text, and signs that may stand between them.
+TOGETHER, MARKS = 64, "✈☃♞☀"
 #: Salts by which rows of one length are ranked apart from each other, at least, and rows for which there is one more.
 SALTS, ROWS_OF_SALT = 256, 2_000_000
 
 _tokenizers: dict = {}
 
+Sequences = tuple[tuple[tuple[int, int], ...], int]  # ((length, copies), ...), how many like this
+
 
 class WordIds:
     """Ids of texts by a tokenizer whose tokens never cross ASCII white space, which it drops.
@@ -35,7 +40,8 @@ class WordIds:
     text, and kept as little-endian 32-bit ids. Of a piece of ASCII letters with signs behind
     them, letters and signs are encoded by themselves; letters are lower-cased either way. The
     tokenizer looks for its added tokens before it lower-cases, so a text that holds one in any
-    case is left as it is.
+    case is left as it is. New pieces are encoded TOGETHER at a time, with a sign between them
+    that has an id of its own; those that hold that sign themselves, one by one.
     """
 
     def __init__(self, path: str):
@@ -43,37 +49,46 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids
+        self.mark = next((c for c in MARKS if len(ids(c)) == 1 and ids(f"a {c} b") == ids("a") + ids(c) + ids("b")), None)
+        self.mark_id = self.mark and ids(self.mark)[0]
 
     def lowered(self, text: str) -> str:
         low = text.lower() if text.isascii() else text
         return text if any(a in low for a in self.added) else low
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+        alone = [w for w in words if self.mark is None or self.mark in w]
+        for i in range(0, len(alone), 10_000):
+            for w, e in zip(alone[i : i + 10_000], self.tokenizer.encode_batch_fast(alone[i : i + 10_000], add_special_tokens=False)):
                 self.known[w] = array("I", e.ids).tobytes()
+        rest = [w for w in words if w not in self.known] if alone else words
+        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        for i in range(0, len(groups), 100):
+            some = groups[i : i + 100]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([f" {self.mark} ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                data, at = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+                for w, a, b in zip(group, [0, *(x + 4 for x in at)], [*at, len(data)], strict=True):
+                    self.known[w] = data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        get = known.get
-        ids = [list(map(get, words)) for words in split]
-        new = {w for words, found in zip(split, ids) if None in found for w, x in zip(words, found) if x is None}
-        parts, whole = [], []
-        for w in new:
+        parts, whole = [], set()
+        for w in set(chain.from_iterable(split)).difference(known):
             letters = w.rstrip(SIGNS)
             if letters != w and letters.isascii() and letters.isalpha():
                 parts.append((w, letters, w[len(letters) :]))
             else:
-                whole.append(w)
-        self.learn(whole)
-        self.learn(list({x for p in parts for x in p[1:] if x not in known}))
+                whole.add(w)
+        whole.update(x for p in parts for x in p[1:] if x not in known)
+        self.learn(list(whole))
         for w, letters, signs in parts:
             known[w] = known[letters] + known[signs]
-        return [b"".join(map(get, words)) if None in found else b"".join(found) for words, found in zip(split, ids)]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def word_ids(path: str) -> WordIds:
@@ -114,18 +129,9 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Sequences for so many pieces of each length: (((length, copies), ...), how many sequences like this).
-
-    From the longest length on, sums of one, two and three lengths that fill the gap exactly
-    are looked up among the lengths still available and consumed as often as all of them
-    last; what then remains is packed best-fit, longest first. Driver memory is bounded by
-    ``capacity`` lengths.
-    """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    made: list[tuple[tuple[tuple[int, int], ...], int]] = []
+def exact_fills(left: np.ndarray, capacity: int, parts: int) -> list[Sequences]:
+    """Sequences without a gap, taken from the pieces ``left`` of each length: from the longest on, each filled by up to ``parts`` others."""
+    made: list[Sequences] = []
 
     def take(*lengths: int) -> bool:
         need: dict[int, int] = defaultdict(int)
@@ -140,16 +146,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
 
     if left[capacity]:
         take(capacity)
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, 0, -1) if parts else ():
         gap = capacity - length
         if left[length] and left[gap]:
             take(length, gap)
-        while left[length]:
+        while parts > 1 and left[length]:
             low = np.flatnonzero(left[: gap // 2 + 1])
             low = low[left[gap - low] > 0]
             if not any(take(length, int(gap - a), int(a)) for a in low.tolist()):
                 break
-        while left[length]:
+        while parts > 2 and left[length]:
             used = False
             for a in np.flatnonzero(left[:gap])[::-1].tolist():
                 rest = gap - a
@@ -162,8 +168,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
                     break
             if not used:
                 break
-    # best fit: open sequences by the room left in them
-    room: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = defaultdict(list)
+    return made
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[Sequences]:
+    """Sequences for all pieces ``left`` of each length, the longest first, each put where the least room remains."""
+    room: dict[int, list[Sequences]] = defaultdict(list)
     rooms: list[int] = []
 
     def put(pattern: tuple, times: int, space: int) -> None:
@@ -171,7 +181,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
             insort(rooms, space)
         room[space].append((pattern, times))
 
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:
             at = bisect_left(rooms, length)
@@ -188,11 +198,35 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[t
             n -= full * copies
             if pattern and times > full:
                 put(pattern, times - full, space)
-    made += [x for some in room.values() for x in some]
-    return made
+    return [x for some in room.values() for x in some]
 
 
-def slots(made: list[tuple[tuple[tuple[int, int], ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Sequences]:
+    """Sequences for so many pieces of each length: (((length, copies), ...), how many sequences like this).
+
+    From the longest length on, sums of one, two and three lengths that fill the gap exactly
+    are looked up among the lengths still available and consumed as often as all of them
+    last; what then remains is packed best-fit, longest first. Where short pieces are few, sums of
+    many of them leave long gaps to the rest, so the same is done with sums of two, of one and of no
+    lengths, and the plan of fewest sequences counts: none is worse than best fit alone. Driver
+    memory is bounded by ``capacity`` lengths.
+    """
+    best: list[Sequences] | None = None
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    for parts in (3, 2, 1, 0):
+        left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            left[length] = n
+        made = exact_fills(left, capacity, parts)
+        made += best_fit(left, capacity)
+        if best is None or sum(t for _, t in made) < sum(t for _, t in best):
+            best = made
+        if sum(t for _, t in best) == least:
+            break
+    return best
+
+
+def slots(made: list[Sequences]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the piece with rank r among its length goes: sorted ``length << 40 | first rank``, first sequence, offset."""
     used: dict[int, int] = defaultdict(int)
     rows, sequence = [], 0

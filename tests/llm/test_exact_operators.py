@@ -190,7 +190,7 @@ def test_op6_odd_rows(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "A", "bc", "Zed", " ", "\n", "\x0b", "!", "'S", "9", "é", "É", "ab.", '"']), max_size=9))
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "A", "bc", "Zed", " ", "\n", "\x0b", "!", "'S", "9", "é", "É", "ab.", '"', "✈", "✈.", "a✈"]), max_size=9))
 def test_op6_ids_of_added_tokens(parts):
     text, plain = "".join(parts), encoder()
     assert packing.word_ids(queries.vocabulary()).encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -217,6 +217,28 @@ def test_op6_plan(lengths):
     assert sum(t for _, t in made) <= max(1, 1.5 * sum(lengths) / 50 + 1)
 
 
+def plain_best_fit(lengths, capacity):
+    """Best fit, piece by piece, longest first."""
+    from bisect import bisect_left, insort
+
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect_left(rooms, x)
+        n += at == len(rooms)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        insort(rooms, room - x)
+    return n
+
+
+@pytest.mark.parametrize("low,high,n", [(1, 4096, 20_000), (300, 4095, 300), (300, 4095, 3_000), (900, 1700, 20_000), (1400, 2800, 10_000), (2, 5, 4_000), (1365, 1366, 5_000), (2049, 4096, 500)])
+@pytest.mark.parametrize("seed", range(3))
+def test_op6_never_worse_than_best_fit(low, high, n, seed):
+    lengths = np.random.default_rng(seed).integers(low, high + 1, n)
+    made = packing.plan(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))))
+    assert sum(t * k for pattern, t in made for _, k in pattern) == n
+    assert sum(t for _, t in made) <= plain_best_fit(lengths.tolist(), 4096)
+
+
 def test_op8_records(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
     first = {}
