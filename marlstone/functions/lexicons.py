@@ -77,6 +77,10 @@ HALLUCINATION = [
     "chunks indexados:", "modelo de embeddings:", "base vectorial:", "estado rag:", "ollama disponible:", "sesiones activas:", "trigger_tokens", "trigger_words", "skill_id",
     "prioridad 5", "prioridad 4", "prioridad 3", "categoria: atencion", "categoria: operacion", "categoria: documental",
 ]
+# Words of an answer that support nothing.
+EVIDENCE_STOPS = (
+    "para como cuando donde dónde que qué cual cuál con sin por sobre este esta estos estas desde hasta entre solo the and with from this that there where what pero porque cuanto cuánto tengo"
+).split()
 TRACKING_WORDS = ["rastreo", "seguimiento", "tracking", "rastrear", "consultar seguimiento", "consultar rastreo", "codigo de seguimiento", "codigo de rastreo"]
 GREETING = (
     r"^(hola\b|holi\b|holis\b|buenas?\b|buenas?\s+(dias?|tardes?|noches?)|hey\b|hi\b|hello\b|saludos|que\s+tal|como\s+estas|buen\s+dia|привет|здравствуй|добрый\s+(день|вечер|утро)"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lex
-from .text import contains_any, fold_accents, lines, norm_match, tracking_code, words_array
+from .text import contains_any, lines, norm_local, norm_match, tracking_code, words_array
 
 
 def word_set(text: Column) -> Column:
@@ -213,9 +213,27 @@ def escalation_reason(confidence: Column, response: Column, error: Column, asked
     return F.when(asked, "user_request").when(error, "error").when(confidence < 0.3, "low_confidence").when(unsure, "uncertain_response").otherwise("")
 
 
+def evidence_quotes(answer: Column) -> Column:
+    """What stands in quotation marks on the first line of an answer that begins with "Evidencia:"; blank quotes go."""
+    said = F.get(F.filter(lines(answer), lambda x: F.startswith(F.lower(F.trim(x)), F.lit("evidencia:"))), F.lit(0))
+    quotes = F.transform(F.regexp_extract_all(said, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x))
+    return F.coalesce(F.filter(quotes, lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def quotes_stand(quotes: Column, context: Column) -> Column:
+    """Whether there are quotes and all of them stand in the context as they are."""
+    return (F.size(quotes) > 0) & F.forall(quotes, lambda x: F.contains(F.coalesce(context, F.lit("")), x))
+
+
 def grounded(answer: Column, context: Column, least: int = 2) -> Column:
-    """At least ``least`` distinct words of 4 letters in the context, and every number too."""
-    ctx = fold_accents(context)
-    words = F.filter(F.array_distinct(F.split(norm_match(answer), " ")), lambda w: F.length(w) >= 4)
-    hits = F.size(F.filter(words, lambda w: F.contains(ctx, w)))
-    return (hits >= least) & F.forall(F.regexp_extract_all(answer, F.lit("[0-9]+"), F.lit(0)), lambda n: F.contains(context, n))
+    """Whether a context supports an answer: it holds all the answer's quotes, or ``least`` distinct words and every number of it.
+
+    Words have four letters or more and are no stop words; they are looked for in the normalised context, in longer words
+    too, numbers (with a decimal sign) in the context as it is.
+    """
+    found = F.array_distinct(F.regexp_extract_all(F.lower(answer), F.lit("[a-záéíóúñü0-9]+"), F.lit(0)))
+    words = F.filter(found, lambda w: (F.length(w) >= 4) & ~w.isin(*lex.EVIDENCE_STOPS))
+    told = F.get(F.transform(F.array(norm_local(context)), lambda c: F.size(F.filter(words, lambda w: F.contains(c, w)))), F.lit(0))
+    numbers = F.forall(F.regexp_extract_all(answer, F.lit(r"(?U)\b\d+[.,]?\d*\b"), F.lit(0)), lambda n: F.contains(context, n))
+    both = (F.length(answer) > 0) & (F.length(context) > 0)
+    return F.coalesce(both & (quotes_stand(evidence_quotes(answer), context) | ((told >= least) & numbers)), F.lit(False))

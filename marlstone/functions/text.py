@@ -55,6 +55,11 @@ def norm_local(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9áéíóúñü \t\n\r]", " "), r"[ \t\n\r]+", " "))
 
 
+def line_shape(line: Column) -> Column:
+    """A line in lower case, trimmed, with # for each number and single blanks."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(line)), r"\d+", "#"), r"\s+", " ")
+
+
 def fold_accents(text: Column) -> Column:
     return F.translate(F.lower(text), lex.ACCENTS, lex.PLAIN)
 

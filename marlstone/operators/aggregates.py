@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import line_shape
+
 
 def nearest_rank(values: Column, p: float) -> Column:
     """The value at index round((n-1)p), half to even, of an array; 0 for an empty one."""
@@ -19,3 +21,24 @@ def status_group(code: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part * 100.0 / whole, 2))
+
+
+def repeated_edges(pages: DataFrame, doc: str, lines: str, share: float = 0.45, edge: int = 4, chars: int = 4) -> DataFrame:
+    """``doc, shapes``: shapes of lines that stand among the first or last ``edge`` lines of two pages or more, and of a ``share`` of all pages, of a document.
+
+    Shapes of fewer than ``chars`` characters don't count. A page has 2 ``edge`` of them at most, so a document
+    has at most 2 ``edge`` / ``share``.
+    """
+    ends = F.concat(F.slice(lines, 1, edge), F.slice(F.reverse(lines), 1, edge))
+    shapes = F.array_distinct(F.filter(F.transform(ends, line_shape), lambda x: F.length(x) >= chars))
+    total = pages.groupBy(doc).agg(F.count("*").alias("_pages"))
+    found = pages.select(doc, F.explode(shapes).alias("_shape")).groupBy(doc, "_shape").agg(F.count("*").alias("_n"))
+    often = found.where("_n >= 2").join(total, doc).where(F.col("_n") / F.col("_pages") >= share)
+    return often.groupBy(doc).agg(F.collect_set("_shape").alias("shapes"))
+
+
+def without_headers(pages: DataFrame, doc: str, lines: str, share: float = 0.45) -> DataFrame:
+    """``pages`` without the lines, anywhere in them, that have the shape of a header or footer which the pages of a document repeat."""
+    found = pages.join(repeated_edges(pages, doc, lines, share), doc, "left")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("shapes", F.array().cast("array<string>")), line_shape(x)))
+    return found.withColumn(lines, kept).drop("shapes")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
-from ..functions.text import bm25_tokens, cosine, token_count
+from ..functions.text import bm25_tokens, cosine, norm_local, norm_text, token_count
+from ..scratch import materialize
+from .vectors import knn
 
 
 #: Words of queries up to which they are broadcast to drop other words before postings are shuffled; beyond, a join does it.
@@ -25,10 +27,11 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, vector_col: str
 def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", id_col: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """``query_id, doc_id, score`` of each document with a word of a query. queries: ``query_id, query``.
 
-    Words that more than half of the documents hold get epsilon times the mean idf. Document
-    frequencies of all words are partial counts; postings are made of words that a query has alone.
+    Words that more than half of the documents hold get epsilon times the mean idf. Texts are cut
+    into words once: document frequencies of all words are partial counts of what is kept of
+    them, and so are numbers and lengths of documents; postings are made of words that a query has alone.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), bm25_tokens(F.col(text_col)).alias("toks"))
+    toks = materialize(docs.select(F.col(id_col).alias("doc_id"), bm25_tokens(F.col(text_col)).alias("toks")), "tokens")
     sizes = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avg_len"))
     df = toks.select(F.explode(F.array_distinct("toks")).alias("w")).groupBy("w").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -48,35 +51,45 @@ def ranked(df: DataFrame, group: str, order: list[Column], n: int, name: str = "
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(name) <= n)
 
 
-def rrf(semantic: DataFrame, lexical: DataFrame, id_col: str, k: int = 60, w_semantic: float = 0.6, w_lexical: float = 0.4) -> DataFrame:
-    """``id_col, score``: reciprocal rank fusion of two lists with ``rank`` from 1."""
-    a, b = semantic.select(id_col, F.col("rank").alias("ra")), lexical.select(id_col, F.col("rank").alias("rb"))
+def rrf(semantic: DataFrame, lexical: DataFrame, keys: str | list[str], k: int = 60, w_semantic: float = 0.6, w_lexical: float = 0.4) -> DataFrame:
+    """``keys, score``: reciprocal rank fusion of two lists, of one query or of several, with ``rank`` from 1; other columns stay, null where a list lacks a row."""
+    keys = [keys] if isinstance(keys, str) else keys
+    a, b = semantic.withColumnRenamed("rank", "_ra"), lexical.withColumnRenamed("rank", "_rb")
     term = lambda w, r: F.coalesce(F.lit(w) / (k + F.col(r)), F.lit(0.0))
-    return a.join(b, id_col, "full_outer").select(id_col, (term(w_semantic, "ra") + term(w_lexical, "rb")).alias("score"))
+    return a.join(b, keys, "full_outer").withColumn("score", term(w_semantic, "_ra") + term(w_lexical, "_rb")).drop("_ra", "_rb")
 
 
-def local_search(docs: DataFrame, queries: DataFrame, n: int, least: int = 9) -> DataFrame:
-    """``item_id, doc_id, score, snippet``: the ``n`` documents of each query with most of its long words, in them or in longer words, and its whole phrase.
+def hybrid_search(vectors: DataFrame, docs: DataFrame, queries: DataFrame, n: int, missing: float = 0.5) -> DataFrame:
+    """``query_id, rank, doc_id, score, distance, text``: the ``n`` documents nearest by vector and the 2 ``n`` best by BM25 of each query, fused by rank.
 
-    docs: ``doc_id, text``; queries: ``item_id, phrase``. Words score 2 each, the phrase 4. Words meet
-    by equi-joins: the distinct long words of all documents, cut into their parts, with those of
-    queries. Texts are read again only for documents with all words of a query, which alone
-    can hold its phrase, and for the few that are returned.
+    vectors: ``doc_id, embedding``; docs: ``doc_id, text``; queries: ``query_id, query, vector``. A document that
+    BM25 alone finds has the distance ``missing``; one that has no text in docs goes. Of documents whose normalised texts begin with the
+    same 300 characters the best of a query stays, and those without any go.
     """
-    wanted = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]{4,}"), F.lit(0))), lambda w: F.length(w) >= least)
-    q = queries.withColumn("words", wanted)
-    runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0)))).alias("run"))
-    sizes = F.sequence(F.lit(least), F.length("run"))
-    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substr("run", i, k)))))
-    cut = runs.select("run").distinct().select("run", F.explode(parts).alias("w"))
-    found = cut.join(q.select("item_id", F.explode("words").alias("w")), "w").select("run", "item_id", "w")
-    hits = runs.join(found, "run").select("item_id", "doc_id", "w").distinct().groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    hits = hits.join(q.select("item_id", F.size("words").alias("n_words")), "item_id")
-    whole = hits.where("hits = n_words").join(q.select("item_id", "phrase"), "item_id").join(docs, "doc_id").where(F.contains("text", "phrase")).select("item_id", "doc_id", F.lit(4).alias("whole"))
-    scored = hits.join(whole, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (2 * F.col("hits") + F.coalesce("whole", F.lit(0))).cast("long").alias("score"))
-    top = ranked(scored, "item_id", [F.desc("score"), F.col("doc_id")], n).join(q.select("item_id", "phrase"), "item_id").join(docs, "doc_id")
-    at = F.greatest(F.instr(F.col("text"), F.col("phrase")) - 20, F.lit(1))
-    return top.select("item_id", "doc_id", "score", F.substr("text", at, F.lit(80)).alias("snippet"))
+    near = knn(vectors, queries.select("query_id", "vector"), n, id_col="doc_id").select("query_id", "doc_id", "rank", (1 - F.col("sim")).alias("near"))
+    found = ranked(bm25(docs, queries.select("query_id", "query")), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 2 * n).select("query_id", "doc_id", "rank")
+    fused = rrf(near, found, ["query_id", "doc_id"]).withColumn("score", F.round("score", 9))
+    top = ranked(fused, "query_id", [F.desc("score"), F.col("doc_id")], n).select("query_id", "doc_id", "score", F.round(F.coalesce("near", F.lit(missing)), 6).alias("distance"))
+    hits = top.join(docs.select("doc_id", norm_text(F.col("text")).alias("text")), "doc_id").where("text <> ''")
+    hits = hits.withColumn("_head", F.sha1(F.lower(F.substring("text", 1, 300))))
+    order = F.struct(-F.col("score"), F.col("doc_id"))
+    kept = hits.groupBy("query_id", "_head").agg(F.min_by(F.struct("doc_id", "score", "distance", "text"), order).alias("r")).select("query_id", "r.*")
+    return ranked(kept, "query_id", [F.desc("score"), F.col("doc_id")], n)
+
+
+def lexical_rerank(rows: DataFrame, group: str, order: str, query: str, text: str, least: int = 3) -> DataFrame:
+    """``rows`` with ``hits`` and ``rank``: each group's rows by words of the query that their text contains, equal ones in the order they had.
+
+    Of the normalised query words of ``least`` letters or more count, as often as it has them, and 3 for
+    the whole of it; without such a word nothing does.
+    """
+    q, t = norm_local(F.col(query)), norm_local(F.col(text))
+    words = F.filter(F.split("_q", " "), lambda w: F.length(w) >= least)
+    rows = rows.withColumn("_q", q).withColumn("_t", F.coalesce(t, F.lit(""))).withColumn("_w", F.coalesce(words, F.array().cast("array<string>")))
+    hits = F.size(F.filter("_w", lambda w: F.contains("_t", w))) + F.when(F.contains("_t", "_q"), 3).otherwise(0)
+    rows = rows.withColumn("hits", F.when(F.size("_w") > 0, hits).otherwise(0).cast("long"))
+    w = Window.partitionBy(group).orderBy(F.desc("hits"), order)
+    return rows.withColumn("rank", F.row_number().over(w)).drop("_q", "_t", "_w")
 
 
 def preference(kind: Column, preferred: list[str]) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import containment
 from ..operators import retrieval as R
+from ..operators import vectors as V
+from ..scratch import scratch_path
 from ..session import spread, table
+from ..sources.vector_store import VectorStore
 from .registry import query
 from .text_queries import NORM_SQL
 
@@ -107,24 +111,83 @@ def context_prefix(spark, sf_dir):
     return R.context_prefix(d, "source", "doc_id", "text", 1400).groupBy("source").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_tokens"))
 
 
-@query("""WITH q AS (SELECT item_id, text AS phrase, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')), lambda w: length(w) >= 9) AS words FROM benchmark),
-s AS (SELECT item_id, doc_id, 2 * len(list_filter(words, lambda w: contains(lower(d.text), w))) AS hits, CASE WHEN contains(d.text, phrase) THEN 4 ELSE 0 END AS whole, substring(d.text, greatest(instr(d.text, phrase) - 20, 1), 80) AS snippet FROM q, documents d)
-SELECT item_id, doc_id, (hits + whole)::BIGINT AS score, snippet FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits + whole DESC, doc_id) AS rn FROM s WHERE hits > 0) WHERE rn <= 2""")
+_NORM_LOCAL = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9áéíóúñü \t\n\r]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH p AS (SELECT item_id, {_NORM_LOCAL.format(c="text")} AS phrase FROM benchmark), a AS (SELECT *, list_filter(string_split(phrase, ' '), lambda w: length(w) >= 4) AS long FROM p WHERE phrase <> ''),
+q AS (SELECT item_id, phrase, CASE WHEN len(long) > 0 THEN long ELSE string_split(phrase, ' ') END AS words FROM a), d AS (SELECT doc_id, text, {_NORM_LOCAL.format(c="text")} AS norm FROM documents),
+s AS (SELECT item_id, doc_id, 2 * len(list_filter(words, lambda w: contains(d.norm, w))) + CASE WHEN contains(d.norm, phrase) THEN 4 ELSE 0 END AS score FROM q, d),
+t AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 2),
+f AS (SELECT t.*, text, instr(norm, list_filter(words, lambda w: contains(norm, w))[1]) - 1 AS pos FROM t JOIN q USING (item_id) JOIN d USING (doc_id)),
+c AS (SELECT *, trim(substring(text, greatest(pos - 220, 0) + 1, pos + 650 - greatest(pos - 220, 0)), {_BLANKS}) AS piece FROM f)
+SELECT item_id, doc_id, score::BIGINT AS score, CASE WHEN piece = '' THEN trim(substring(text, 1, 700), {_BLANKS}) ELSE piece END AS snippet FROM c""")
 def local_search(spark, sf_dir):
-    """Two documents for each item by the long words and the whole phrase they contain."""
+    """Two documents for each item by the words and the whole phrase they contain, with a snippet."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return R.local_search(d, q, 2)
+    return containment.local_search(d, q, 2)
 
 
-@query(f"{_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10) SELECT query_id, doc_id, (len(list_filter(list_distinct(regexp_extract_all(lower(b.text), '[a-z]{{3,}}')), lambda w: contains(lower(d.text), w))) + CASE WHEN contains(lower(d.text), lower(b.text)) THEN 3 ELSE 0 END)::BIGINT AS hits FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id")
+@query(f"""{_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS old FROM s QUALIFY old <= 10),
+x AS (SELECT query_id, doc_id, old, {_NORM_LOCAL.format(c="b.text")} AS q, {_NORM_LOCAL.format(c="d.text")} AS t FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
+y AS (SELECT *, list_filter(string_split(q, ' '), lambda w: length(w) >= 3) AS words FROM x),
+h AS (SELECT query_id, doc_id, old, CASE WHEN len(words) = 0 THEN 0 ELSE len(list_filter(words, lambda w: contains(t, w))) + CASE WHEN contains(t, q) THEN 3 ELSE 0 END END::BIGINT AS hits FROM y)
+SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, old)::INTEGER AS rank FROM h""")
 def lexical_rerank(spark, sf_dir):
-    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("q"))
-    rows = top.join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id").join(b, "query_id")
-    words = F.array_distinct(F.regexp_extract_all("q", F.lit("[a-z]{3,}"), F.lit(0)))
-    hits = F.size(F.filter(words, lambda w: F.contains("t", w))) + F.when(F.contains("t", "q"), 3).otherwise(0)
-    return rows.select("query_id", "doc_id", hits.cast("long").alias("hits"))
+    """The ten best documents of each item, ranked anew by the words of the item they contain."""
+    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10, "old").select("query_id", "doc_id", "old")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    rows = top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id")
+    return R.lexical_rerank(rows, "query_id", "old", "q", "text").select("query_id", "doc_id", "hits", "rank")
+
+
+def _item_vectors(spark, sf_dir):
+    """Items as queries, with their text and, as no model is here, the vector of the row that has their id."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(e, "query_id")
+
+
+_KNN = """SELECT b.item_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, e.vec_id) <= {k}"""
+
+
+@query(_KNN.format(k=10))
+def knn_join(spark, sf_dir):
+    """The ten nearest vectors of every item."""
+    near = V.knn(table(spark, sf_dir, "embeddings"), _item_vectors(spark, sf_dir), 10)
+    return near.select("query_id", "vec_id", "sim")
+
+
+def _store(spark, sf_dir):
+    return VectorStore.create(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), scratch_path(spark, "vectors"))
+
+
+@query(_KNN.format(k=10))
+def store_search_all(spark, sf_dir):
+    """The ten nearest of every item in a stored table, all lists probed."""
+    store = _store(spark, sf_dir)
+    return store.search(_item_vectors(spark, sf_dir), 10, len(store.centroids)).select("query_id", "vec_id", "sim")
+
+
+@query()
+def store_search(spark, sf_dir):
+    """The ten nearest of every item in the nearest lists of a stored table, as many as its sample asks for; tests hold its recall against the exact ones."""
+    return _store(spark, sf_dir).search(_item_vectors(spark, sf_dir), 10)
+
+
+@query(f"""{_BM25}, v AS (SELECT query_id, vec_id AS doc_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS ra FROM ({_KNN.format(k=24)})),
+l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rb FROM s WHERE query_id IN (SELECT vec_id FROM embeddings) QUALIFY rb <= 48),
+u AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.doc_id, l.doc_id) AS doc_id, round(coalesce(0.6 / (60 + ra), 0) + coalesce(0.4 / (60 + rb), 0), 9) AS score, round(coalesce(1 - sim, 0.5), 6) AS distance FROM v FULL JOIN l ON v.query_id = l.query_id AND v.doc_id = l.doc_id),
+best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 24),
+n AS (SELECT doc_id, {NORM_SQL} AS norm FROM documents), h AS (SELECT * FROM best JOIN n USING (doc_id) WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY query_id, sha1(lower(substring(norm, 1, 300))) ORDER BY score DESC, doc_id) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score, distance, sha1(norm) AS text_sha1 FROM h""")
+def hybrid_search(spark, sf_dir):
+    """Vector neighbours and BM25 hits of every item, fused by rank, one of each text."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = R.hybrid_search(e, d, _item_vectors(spark, sf_dir), 24)
+    return found.select("query_id", "rank", "doc_id", "score", "distance", F.sha1("text").alias("text_sha1"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, label, sim FROM ({_VEC})), a AS (SELECT vec_id, label, sim, 0 AS stage FROM v WHERE label = 3 ORDER BY sim DESC, vec_id LIMIT 8), b AS (SELECT vec_id, label, sim, 1 AS stage FROM v ORDER BY sim DESC, vec_id LIMIT 16)

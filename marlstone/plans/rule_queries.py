@@ -132,12 +132,24 @@ def flt_tracking(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", R.is_tracking(text).alias("flow"))
 
 
-@query("""SELECT doc_id, len(q) > 0 AND len(list_filter(q, lambda x: NOT contains(text, x))) = 0 AS supported FROM (
-  SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN [substring(text, 3, 10), substring(text, 20, 15)] ELSE ['zz§', substring(text, 1, 5)] END AS q FROM documents)""")
+_QUOTES = """coalesce(list_filter(list_transform(regexp_extract_all(list_filter(string_split(replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: starts_with(lower(trim(l)), 'evidencia:'))[1],
+  '"([^"]+)"', 1), lambda x: trim(x)), lambda x: x <> ''), [])"""
+
+
+@query(f"""SELECT doc_id, len(q)::BIGINT AS n_quotes, len(q) > 0 AND len(list_filter(q, lambda x: NOT contains(text, x))) = 0 AS supported FROM (SELECT doc_id, text, {_QUOTES.format(c="answer")} AS q FROM (
+  SELECT doc_id, text, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '  EVIDENCIA: "' || substring(text, 3, 10) || '" y " ' || substring(text, 20, 15) || ' "' WHEN 1 THEN 'Evidencia: "zz§", "' || substring(text, 1, 5) || '"' WHEN 2 THEN 'evidencia: " "' ELSE 'Nota: "' || substring(text, 1, 5) || '"' END AS answer FROM documents))""")
 def evidence_all(spark, sf_dir):
-    """Whether every quote of an answer stands in its context."""
-    quotes = F.when(F.col("doc_id") % 2 == 0, F.array(F.substring("text", 3, 10), F.substring("text", 20, 15))).otherwise(F.array(F.lit("zz§"), F.substring("text", 1, 5)))
-    return _docs(spark, sf_dir).withColumn("q", quotes).select("doc_id", ((F.size("q") > 0) & F.forall("q", lambda x: F.contains(F.col("text"), x))).alias("supported"))
+    """Whether every quote on the line of evidence of an answer stands in its context."""
+    said = F.col("text")
+    cut = lambda a, n: F.substring(said, a, n)
+    line = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('  EVIDENCIA: "'), cut(3, 10), F.lit('" y " '), cut(20, 15), F.lit(' "')))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit('Evidencia: "zz§", "'), cut(1, 5), F.lit('"')))
+        .when(F.col("doc_id") % 4 == 2, F.lit('evidencia: " "'))
+        .otherwise(F.concat(F.lit('Nota: "'), cut(1, 5), F.lit('"')))
+    )
+    quotes = R.evidence_quotes(F.concat(said, F.lit("\n"), line))
+    return spread(_docs(spark, sf_dir)).withColumn("q", quotes).select("doc_id", F.size("q").cast("long").alias("n_quotes"), R.quotes_stand(F.col("q"), said).alias("supported"))
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, question, answer || ' Bs. ' || conv_id || ',5 y ' || turn || '7.25 kg, tel ' || (conv_id * 7919 + 10000) || ', 1999' AS answer FROM ({_ANSWERED})),
@@ -153,11 +165,20 @@ def ungrounded_numbers(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size(missing).cast("long").alias("n_missing"), R.has_invented_data(F.col("answer"), F.col("question"), _KNOWN).alias("invented"))
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, question, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(translate(lower(answer), '{lex.ACCENTS}', '{lex.PLAIN}'), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')), ' ')), lambda x: length(x) >= 4) AS w,
-  regexp_extract_all(answer, '[0-9]+') AS n FROM ({_ANSWERED}))
-SELECT conv_id, turn, len(list_filter(w, lambda x: contains(translate(lower(question), '{lex.ACCENTS}', '{lex.PLAIN}'), x))) >= 2 AND len(list_filter(n, lambda x: NOT contains(question, x))) = 0 AS ok FROM w""")
+_SAID = "answer || CASE WHEN conv_id % 3 = 0 THEN chr(10) || 'Evidencia: \"' || substring(question, 2, 9) || '\"' WHEN conv_id % 3 = 1 THEN ' 3,5 ' || turn ELSE '' END"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, question, {_SAID} AS answer FROM ({_ANSWERED})),
+w AS (SELECT *, {_QUOTES.format(c="answer")} AS q, list_filter(list_distinct(regexp_extract_all(lower(answer), '[a-záéíóúñü0-9]+')), lambda x: length(x) >= 4 AND NOT list_contains({sql_list(lex.EVIDENCE_STOPS)}, x)) AS words,
+  trim(regexp_replace(regexp_replace(lower(question), '[^a-z0-9áéíóúñü \t\n\r]', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS ctx, regexp_extract_all(regexp_replace(answer, '[À-ÖØ-öø-ÿ]', 'x', 'g'), '\\b\\d+[.,]?\\d*\\b') AS n FROM p)
+SELECT conv_id, turn, coalesce(length(answer) > 0 AND length(question) > 0 AND ((len(q) > 0 AND len(list_filter(q, lambda x: NOT contains(question, x))) = 0)
+  OR (len(list_filter(words, lambda x: contains(ctx, x))) >= 2 AND len(list_filter(n, lambda x: NOT contains(question, x))) = 0)), false) AS ok FROM w""")
 def grounded_answer(spark, sf_dir):
-    return _answered(spark, sf_dir).select("conv_id", "turn", R.grounded(F.col("answer"), F.col("question")).alias("ok"))
+    """Answers, some with a line of evidence or numbers put in, against their question as context."""
+    c = F.col("conv_id") % 3
+    more = F.when(c == 0, F.concat(F.lit('\nEvidencia: "'), F.substring("question", 2, 9), F.lit('"'))).when(c == 1, F.concat(F.lit(" 3,5 "), F.col("turn").cast("string"))).otherwise("")
+    rows = _answered(spark, sf_dir).withColumn("answer", F.concat("answer", more))
+    return rows.select("conv_id", "turn", R.grounded(F.col("answer"), F.col("question")).alias("ok"))
 
 
 _BROKEN_SQL = f"""CASE WHEN length(trim(t)) < 20 THEN false WHEN list_contains(['.', '!', '?', '…'], l) THEN len(items) >= 2 AND length(trim(regexp_extract(items[-1], '^[^:]*:(.*)$', 1))) < 8

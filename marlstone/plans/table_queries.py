@@ -311,6 +311,22 @@ def repeated_lines(spark, sf_dir):
     return lines.groupBy("source", "line").agg(F.count("*").alias("n_docs")).join(total, "source").where("n_docs >= 2 AND n_docs >= 0.04 * total").select("source", "line", "n_docs")
 
 
+_LINES = "list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_SHAPE = "regexp_replace(regexp_replace(lower(trim(x)), '\\d+', '#', 'g'), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host, {_LINES} AS l FROM pages), z AS (SELECT host, count(*) AS total FROM p GROUP BY host),
+s AS (SELECT DISTINCT page_id, host, unnest(list_filter(list_transform(list_concat(l[1:4], list_reverse(l)[1:4]), lambda x: {_SHAPE}), lambda x: length(x) >= 4)) AS shape FROM p),
+r AS (SELECT host, list(shape) AS shapes FROM (SELECT host, shape FROM s JOIN z USING (host) GROUP BY host, shape, total HAVING count(*) >= 2 AND count(*) / total >= 0.45) GROUP BY host),
+k AS (SELECT page_id, host, len(l) AS n, list_filter(l, lambda x: shapes IS NULL OR NOT list_contains(shapes, {_SHAPE})) AS kept FROM p LEFT JOIN r USING (host))
+SELECT page_id, host, (n - len(kept))::BIGINT AS n_gone, sha1(array_to_string(kept, chr(10))) AS kept_sha1 FROM k""")
+def page_headers(spark, sf_dir):
+    """Pages of a host without the headers and footers that its pages repeat."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", F.regexp_extract("url", "//([^/]*)", 1).alias("host"), lines.alias("lines")).withColumn("n", F.size("lines"))
+    return A.without_headers(p, "host", "lines").select("page_id", "host", (F.col("n") - F.size("lines")).cast("long").alias("n_gone"), F.sha1(F.array_join("lines", "\n")).alias("kept_sha1"))
+
+
 # Windows
 
 
