@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..session import table
 from ..sources.files import cache_read
+from ..streaming import keyed as K
 from ..streaming import state as S
 from .registry import query
 
@@ -33,6 +34,37 @@ def debounce(spark, sf_dir):
     return last.select("event_type", "fires", "mode", "calls")
 
 
+_TURNS = ["donde queda", "sucursales", "ya", "una pregunta larga sobre otra cosa que no es un lugar"]
+
+
+def location_turns(events):
+    """Events as turns of sessions that ask for places, name a scope, are short or long."""
+    from ..functions import lexicons as lex
+    from ..functions import rules as R
+    from ..functions import text as T
+
+    said = F.get(T.words_array(_TURNS), (F.col("event_id") % 4).cast("int"))
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), said.alias("text"))
+    return rows.withColumn("kind", K.turn_kind(R.location_scope(F.col("text")), T.contains_any(F.lower("text"), lex.LOCATION), F.col("text")))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, ts, ['asks', 'scope', 'short', 'other'][event_id % 4 + 1] AS kind FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 DAY THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+p AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'short' THEN kind END IGNORE NULLS) OVER (PARTITION BY user_id, sid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'asks', false) AS pending FROM s)
+SELECT user_id, event_id, CASE WHEN kind = 'scope' THEN 'answer' WHEN pending AND kind IN ('asks', 'short') THEN 'ask_again' WHEN pending THEN 'drop' WHEN kind = 'asks' THEN 'ask' ELSE 'none' END AS action FROM p""")
+def location_dialog(spark, sf_dir):
+    """Questions for a scope that are asked, asked again, answered, dropped, or expire after a day."""
+    return K.dialog(location_turns(_events(spark, sf_dir)), "user_id", "us", "event_id", "kind", 86_400_000_000).select("user_id", "event_id", "action")
+
+
+@query()
+def cache_lru(spark, sf_dir):
+    """What a cache of 20 users a shard answers, entries expiring after two days; a recurrence, held against a plain loop by tests."""
+    e = _events(spark, sf_dir).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return K.cached(e, "user_id", "us", "event_id", 20, 2 * 86_400_000_000)
+
+
 @query()
 def rate_limit(spark, sf_dir):
     """Three accepted events a user in 24 hours; a recurrence, held against a plain loop by tests."""
