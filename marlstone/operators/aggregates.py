@@ -42,3 +42,25 @@ def without_headers(pages: DataFrame, doc: str, lines: str, share: float = 0.45)
     found = pages.join(repeated_edges(pages, doc, lines, share), doc, "left")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("shapes", F.array().cast("array<string>")), line_shape(x)))
     return found.withColumn(lines, kept).drop("shapes")
+
+
+def session_sketches(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """``day, sketch``: a mergeable sketch of the distinct keys of each day; partial sketches meet, never the keys."""
+    return events.where(F.col(key).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(key, F.lit(12)).alias("sketch"))
+
+
+def sessions_between(sketches: DataFrame, first: str, last: str) -> DataFrame:
+    """``live``: about how many distinct keys the days from ``first`` to ``last`` have, 1.6 % off as a rule; events are not read again."""
+    days = sketches.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return days.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("live"))
+
+
+def live_sessions(events: DataFrame, key: str, ts: str, days: int) -> DataFrame:
+    """``day, live``: the exact number of distinct keys seen on each day or in the ``days`` - 1 before it; days without an event have no row.
+
+    A key counts on the days up to ``days`` behind each of its own, so each of its days is sent to so many.
+    """
+    own = events.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.to_date(ts).alias("day")).distinct()
+    there = own.select("day").distinct()
+    ahead = own.select("_key", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_n"), "day").select("_key", F.date_add("day", F.col("_n")).alias("day")).distinct()
+    return ahead.join(there, "day").groupBy("day").agg(F.count("*").alias("live"))

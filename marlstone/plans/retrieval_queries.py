@@ -12,8 +12,9 @@ from ..operators import vectors as V
 from ..scratch import scratch_path
 from ..session import spread, table
 from ..sources.vector_store import VectorStore
-from .registry import query
-from .text_queries import NORM_SQL
+from .registry import ORACLE_SQL, query
+from .rule_queries import invented_sql
+from .text_queries import NORM_SQL, clean_sql
 
 
 def _query_vector(spark, sf_dir, vec_id=0) -> list[float]:
@@ -258,14 +259,45 @@ def rerank_stub(spark, sf_dir):
     return R.ranked(scored, "query_id", [F.desc("score"), F.col("doc_id")], 7)
 
 
-@query()
+def _questions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.lit("es").alias("lang"))
+
+
+def _over(name: str, **tables: str) -> str:
+    """The SQL of a query over other tables than its own."""
+    return f"(WITH {', '.join(f'{t} AS ({sql})' for t, sql in tables.items())} SELECT * FROM ({ORACLE_SQL[name]}))"
+
+
+_ASKED = "SELECT id AS doc_id, question AS text FROM asked"
+_MADE = "SELECT key AS doc_id, answer AS text FROM made"
+
+
+@query(f"""WITH asked AS (SELECT conv_id || ':' || turn AS id, text AS question, sha256(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')) || '|es')[1:32] AS key FROM conversations WHERE role = 'user'),
+r AS (SELECT id, key, question, CASE WHEN injection THEN 'refused' WHEN greeting THEN 'greeting' WHEN outside THEN 'out_of_domain' END AS kind FROM asked JOIN {_over("flt_injection", documents=_ASKED)} i ON i.doc_id = id
+  LEFT JOIN {_over("flt_greeting", documents=_ASKED)} g ON g.doc_id = id JOIN {_over("flt_out_of_domain", documents=_ASKED)} o ON o.doc_id = id),
+b AS (SELECT key, min(question) AS query FROM r WHERE kind IS NULL GROUP BY key), c AS {_over("build_context", benchmark="SELECT key AS item_id, query AS text FROM b")},
+m AS (SELECT key, context, substring(string_split(context || chr(10) || chr(10) || query, '.')[1], 1, 200) AS said FROM b LEFT JOIN c ON query_id = key), made AS (SELECT key, context, {clean_sql("said")} AS answer FROM m),
+k AS (SELECT key, answer, CASE WHEN context IS NULL THEN 'no_context' WHEN coalesce(length(trim(answer)), 0) = 0 THEN 'failed' WHEN hallucinated THEN 'made_up' WHEN coalesce(len({invented_sql("answer", "context")}) >= 5, false) THEN 'invented' WHEN broken THEN 'broken_off' ELSE 'answered' END AS kind
+  FROM made LEFT JOIN {_over("flt_hallucination", conversations="SELECT key AS conv_id, 0 AS turn, 'assistant' AS role, answer AS text FROM made")} h ON conv_id = key LEFT JOIN {_over("flt_incomplete", documents=_MADE)} f ON f.doc_id = key)
+SELECT id, kind, kind AS answer FROM r WHERE kind IS NOT NULL UNION ALL SELECT id, k.kind, CASE WHEN k.kind = 'answered' THEN k.answer ELSE 'no answer' END FROM r JOIN k USING (key) WHERE r.kind IS NULL""")
 def answer_plan(spark, sf_dir):
-    """Turns answered by rules where they decide, by the model interface (a stub) where they don't."""
-    from ..functions import rules
-    from .providers import answer
-
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    kind = F.when(rules.is_injection(F.col("text")), "refused").when(rules.is_smalltalk(F.col("text")), "greeting")
-    c = c.withColumn("kind", kind)
-    asked = c.where("kind IS NULL").withColumn("answer", answer(F.col("text")))
-    return c.where("kind IS NOT NULL").withColumn("answer", F.col("kind")).unionByName(asked).select("conv_id", "turn", "answer")
+    """Questions of users answered by rules, by documents and the model interface (a stub, which the SQL knows)."""
+    from .answers import answer_questions
+    from .providers import MODELS
+
+    model = MODELS["answer"]
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    empty = spark.createDataFrame([], "key string, answer string")
+    return answer_questions(_questions(spark, sf_dir), d, empty, lambda texts: [model(t) for t in texts])[0]
+
+
+@query("SELECT conv_id, turn, text, CASE WHEN trim(text) = '' THEN text WHEN length(text) % 3 = 0 THEN replace(text, 'e', '3') WHEN length(text) % 3 = 1 THEN '<' || text || '>' ELSE text END AS translated, CASE WHEN trim(text) = '' OR text IS NULL THEN NULL WHEN length(text) % 3 = 0 THEN 'loud' WHEN length(text) % 3 = 1 THEN 'marked' ELSE 'original' END AS provider FROM conversations")
+def translate_turns(spark, sf_dir):
+    """Texts through two providers (stubs) that fail for some of them; each distinct text asked once."""
+    from .answers import translated
+
+    loud = lambda texts: [t.replace("e", "3") if len(t) % 3 == 0 else None for t in texts]
+    marked = lambda texts: [f"<{t}>" if len(t) % 3 == 1 else None for t in texts]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return translated(rows, "text", [("loud", loud), ("marked", marked)])

@@ -152,10 +152,16 @@ def evidence_all(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).withColumn("q", quotes).select("doc_id", F.size("q").cast("long").alias("n_quotes"), R.quotes_stand(F.col("q"), said).alias("supported"))
 
 
+def invented_sql(answer: str, context: str, known=()) -> str:
+    """The concrete data of an answer that its context lacks, as a list."""
+    tight = "regexp_replace(lower(x), '\\s+', '', 'g')"
+    return f"""CASE WHEN length(trim({context})) >= 50 THEN list_filter(regexp_extract_all(regexp_replace({answer}, '[À-ÖØ-öø-ÿ]', 'x', 'g'), '(?i){"|".join(lex.CONCRETE_DATA)}'), lambda x:
+  NOT regexp_matches({tight}, '^(1[89][0-9]{{2}}|20[0-9]{{2}}|[0-9]{{1,3}}[-–][0-9]{{1,3}})$') AND NOT {_any(known, tight) if known else "false"}
+  AND NOT contains({_bare(context)}, {_bare("x")})) ELSE [] END"""
+
+
 @query(f"""WITH p AS (SELECT conv_id, turn, question, answer || ' Bs. ' || conv_id || ',5 y ' || turn || '7.25 kg, tel ' || (conv_id * 7919 + 10000) || ', 1999' AS answer FROM ({_ANSWERED})),
-f AS (SELECT *, CASE WHEN length(trim(question)) >= 50 THEN list_filter(regexp_extract_all(regexp_replace(answer, '[À-ÖØ-öø-ÿ]', 'x', 'g'), '(?i){"|".join(lex.CONCRETE_DATA)}'), lambda x:
-  NOT regexp_matches(regexp_replace(lower(x), '\\s+', '', 'g'), '^(1[89][0-9]{{2}}|20[0-9]{{2}}|[0-9]{{1,3}}[-–][0-9]{{1,3}})$') AND NOT {_any(_KNOWN, "regexp_replace(lower(x), '" + chr(92) + "s+', '', 'g')")}
-  AND NOT contains({_bare("question")}, {_bare("x")})) ELSE [] END AS missing FROM p)
+f AS (SELECT *, {invented_sql("answer", "question", _KNOWN)} AS missing FROM p)
 SELECT conv_id, turn, len(missing)::BIGINT AS n_missing, coalesce(len(missing) >= 5, false) AS invented FROM f""")
 def ungrounded_numbers(spark, sf_dir):
     """Concrete data of each answer, some of them put in, that its question lacks."""

@@ -327,6 +327,13 @@ def page_headers(spark, sf_dir):
     return A.without_headers(p, "host", "lines").select("page_id", "host", (F.col("n") - F.size("lines")).cast("long").alias("n_gone"), F.sha1(F.array_join("lines", "\n")).alias("kept_sha1"))
 
 
+@query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), n AS (SELECT DISTINCT day FROM d)
+SELECT strftime(n.day, '%Y-%m-%d') AS day, count(DISTINCT user_id)::BIGINT AS live FROM n JOIN d ON d.day BETWEEN n.day - 2 AND n.day GROUP BY n.day""")
+def live_sessions(spark, sf_dir):
+    """Users seen on each day or the two before."""
+    return A.live_sessions(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", 3).select(F.col("day").cast("string").alias("day"), "live")
+
+
 # Windows
 
 

@@ -103,9 +103,20 @@ def clean_bullets(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.clean_bullets(built).alias("cleaned"))
 
 
-@query()
+def clean_sql(column: str) -> str:
+    """DuckDB's cleaner of model answers."""
+    out = column
+    for pattern, new in (
+        (r"(?s)<think>.*?</think>", "''"), (r"\*\*([^*]+)\*\*", r"'\1'"), (r"(?m)^#{1,6} +", "''"), (r"\[([^\]]+)\]\([^)]*\)", r"'\1'"), ("`+", "''"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    lines = _LINES.replace("text", out)
+    return f"trim(array_to_string(list_transform({lines}, lambda x: regexp_replace(x, '^([ \\t]*)[●•▪▸►][ \\t]*', '\\1- ')), chr(10)))"
+
+
+@query(f"SELECT doc_id, {clean_sql('t')} AS cleaned FROM (SELECT doc_id, '<think>no</think>## **' || substring(text, 1, 40) || '** [a](b)' || repeat(chr(10), 4) || text AS t FROM documents)")
 def clean_llm(spark, sf_dir):
-    """Look-behind of the oracle's engine is missing; tests hold it against Python."""
+    """Model answers without hidden thoughts and marks."""
     built = F.concat(F.lit("<think>no</think>## **"), F.substring("text", 1, 40), F.lit("** [a](b)\n\n\n\n"), F.col("text"))
     return spread(_docs(spark, sf_dir)).select("doc_id", T.clean_answer(built).alias("cleaned"))
 
