@@ -10,6 +10,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from .common import Latest, materialize
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object video audio canvas head".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select option button head".split())
 BLOCK = frozenset(
     "address article aside blockquote body br-block caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -43,7 +44,7 @@ TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcap
 MOST = 0.7
 #: Different pages of a host from which on a text that all of them have, where the wrapper aligns it, is template text.
 TEMPLATE_PAGES = 5
-#: Pairs of tokens that are compared with each other where two streams differ; longer stretches are cut at tokens that each has once.
+#: Pairs of tokens that are compared in a table where two streams differ; longer stretches are cut at tokens that each has once, or in halves.
 PAIRS = 200_000
 #: Structures of a host that one group aligns, one after the other.
 TOGETHER = 32
@@ -232,7 +233,8 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of a common subsequence of two streams, in order: the longest, except between anchors.
 
     Where what differs is long, tokens that each side has once are anchors, as many as come in the
-    same order; a long stretch without any is not aligned. Memory stays bounded by PAIRS.
+    same order; a long stretch without any is cut where two halves of one side have the longest
+    subsequences with two parts of the other, until it is short. Memory is linear.
     """
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
@@ -257,9 +259,41 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
                 work.append((i, x, j, y))
                 i, j = x + 1, y + 1
             out += anchors
+        elif n - i > 1:
+            half = (i + n) // 2
+            cut = j + _cut(a[i:half], a[half:n], b[j:m])
+            work += [(i, half, j, cut), (half, n, cut, m)]
+        elif a[i] in b[j:m]:
+            out.append((i, b.index(a[i], j, m)))
     return sorted(out)
 
 
+def _cut(head: list[int], tail: list[int], b: list[int]) -> int:
+    """Where b is cut so that head with its first part and tail with the rest have the longest common subsequences."""
+    first, last = _lengths(head, b), _lengths(tail[::-1], b[::-1])
+    return int((first + last[::-1]).argmax())
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of a and each head of b: a bit for each place of b, all places at once."""
+    wanted, places = set(a), {}
+    for j, x in enumerate(b):
+        if x in wanted:
+            places.setdefault(x, []).append(j)
+    bits = {}
+    for x, at in places.items():
+        own = np.zeros(len(b), np.uint8)
+        own[at] = 1
+        bits[x] = int.from_bytes(np.packbits(own, bitorder="little").tobytes(), "little")
+    every = row = (1 << len(b)) - 1
+    for x in a:
+        if x in bits:
+            hit = row & bits[x]
+            row = ((row + hit) | (row - hit)) & every
+    grown = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)] == 0
+    return np.concatenate([[0], np.cumsum(grown)])
+
+
 def _once(keys: list[int], i: int, n: int) -> dict[int, int]:
     """Keys that stand once from i to n, and where; in order."""
     seen: dict[int, int] = {}
