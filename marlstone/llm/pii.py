@@ -23,6 +23,8 @@ SAMPLE = 4000
 #: Tokens of a row of the sample up to which it is trained on.
 SAMPLE_TOKENS = 500
 SLOTS = 4096
+#: Share of the tokens whose own features training hides, so that their labels must come through their edges.
+HIDDEN = 0.3
 #: Steps of gradient ascent on the pseudo-likelihood, their size, and the weight of the squared parameters.
 STEPS, RATE, RIDGE = 120, 0.5, 2e-4
 #: Messages count as settled when none changes by more than this.
@@ -172,7 +174,7 @@ class Field:
             back = np.roll(np.arange(len(src)), len(flat))
             message = np.zeros((len(src), unary.shape[1]))
             at, calm = 0, 200 + len(unary)
-            while True:
+            while True:  # damped ever more, steps shrink as 1 / rounds; their number is bounded in case they circle all the same
                 out = belief[src] - message[back]
                 new = (out[:, :, None] + table).max(1)
                 new -= new.max(1, keepdims=True)
@@ -235,6 +237,15 @@ def taught(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+_HIDDEN_SLOT = zlib.crc32(b"hidden") % SLOTS
+
+
+def hide(rows: np.ndarray, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Slots with those of a HIDDEN share of the tokens, drawn by text and place, replaced by one that says nothing."""
+    draw = np.array([zlib.crc32(f"{a} {text[a:b]}".encode("utf-8", "replace")) % 1000 for a, b in spans])
+    return np.where((draw < 1000 * HIDDEN)[:, None], _HIDDEN_SLOT, rows)
+
+
 def train(slots_of: np.ndarray, y: np.ndarray, edges: list[np.ndarray]) -> Field:
     """The field that maximises the pseudo-likelihood: of each token's label given its features and its neighbours' labels.
 
@@ -269,7 +280,8 @@ def train(slots_of: np.ndarray, y: np.ndarray, edges: list[np.ndarray]) -> Field
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """A field trained with base matches as labels, on a bounded sample of rows with a digit or an @.
 
-    Tasks find tokens, features, labels and edges; the driver gets those of the sample, at most
+    The features of a share of the tokens are hidden: what they are can be told from the tokens
+    they are linked with alone, which is what teaches the edges to carry labels. Tasks find tokens, features, labels and edges; the driver gets those of the sample, at most
     2 * sample rows of at most SAMPLE_TOKENS tokens, and climbs the pseudo-likelihood.
     """
     ship(docs.sparkSession)
@@ -284,12 +296,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 text = t.as_py()
                 spans = tokens(text)
                 if 0 < len(spans) <= SAMPLE_TOKENS:
-                    rows = np.array([slots(text, spans, i) for i in range(len(spans))], np.int32)
+                    rows = hide(np.array([slots(text, spans, i) for i in range(len(spans))], np.int32), text, spans).astype(np.int32)
                     out.append((rows.tobytes(), taught(text, spans).astype(np.int8).tobytes(), *(np.array(e, np.int32).tobytes() for e in links(text, spans))))
             cols = [pa.array(c, pa.binary()) for c in zip(*out)] if out else [pa.array([], pa.binary())] * 5
             yield pa.RecordBatch.from_arrays(cols, ["slots", "y", *EDGES])
 
-    rows = able.where(u < min(1.0, sample / max(1, n))).select(text_col).limit(2 * sample).mapInArrow(describe, "slots binary, y binary, chain binary, repeat binary, similar binary").collect()
+    rows = able.where(u < min(1.0, sample / max(1, n))).select(text_col).orderBy(F.xxhash64(text_col), text_col).limit(2 * sample).mapInArrow(describe, "slots binary, y binary, chain binary, repeat binary, similar binary").collect()
     rows.sort(key=lambda r: tuple(map(bytes, r)))  # the same field whatever order tasks end in
     y = [np.frombuffer(r["y"], np.int8) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(x) for x in y])]).astype(np.int64)
