@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -14,8 +14,8 @@ from .common import materialize
 
 #: Payloads of fewer bytes are written in full each time.
 LEAST_BYTES = 100
-#: Records of one archive file at most, and bytes that they may have if all are as long as the longest; a reader's task holds one file, compressed.
-FILE_RECORDS, FILE_BYTES = 1000, 1 << 30
+#: Bytes of one archive file, about, and of a record's headers; a reader's task holds one file, compressed.
+FILE_BYTES, HEAD_BYTES = 1 << 28, 500
 #: Bytes that a reader inflates at a time.
 STEP = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -41,38 +41,43 @@ def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return heads.join(first.select("payload_digest", "first_id"), "payload_digest", "left").select("page_id", "payload_digest", "payload_bytes", F.when(later, F.col("first_id")).alias("refers_to"))
 
 
-def _urn(page) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
+def _urn(page: Column, digest: Column) -> Column:
+    """The id of a record: its page's, and the payload's, as rows that share an id may differ in that."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.substring(digest, 1, 32), F.lit(">"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, heads: DataFrame | None = None) -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, heads: DataFrame | None = None, files: int | None = None) -> DataFrame:
     """``record``: a WARC/1.1 record for each row, without the two line ends that close it.
 
     A revisit has no payload; its headers are made anew and name the response. What a row is
     depends on its id and payload together, so rows that share an id and differ in payload each
-    keep theirs, as responses or as revisits of a response that holds it. Null ids and addresses
-    are written as empty ones, null payloads as empty; an empty table gives no records; other
-    columns are not read. ``heads`` are those of ``pages``, if they are at hand.
+    keep theirs, as responses or as revisits of a response that holds it. Records have ids of page and payload: only rows that repeat
+    both share one. Null ids and addresses are written as empty ones, null payloads as empty; an
+    empty table gives no records; other columns are not read. ``heads`` are those of ``pages``, if they are at
+    hand; ``files`` is how many partitions, and so files, the records are dealt into, by id and payload.
     """
     heads = heads_of(pages, id_col, html_col) if heads is None else heads
-    decided = resolve(heads, least).where("refers_to IS NOT NULL").groupBy(F.col("page_id").alias("_id"), "payload_digest").agg(F.min("refers_to").alias("refers_to"))
+    mark = lambda page: F.xxhash64(page, "payload_digest")
+    decided = resolve(heads, least).where("refers_to IS NOT NULL").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), mark("page_id").alias("key")).agg(F.min("refers_to").alias("refers_to"))
     html = F.coalesce(html_col, F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    rows = rows.join(decided, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("payload_digest")), "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("payload_digest")).withColumn("key", mark("page_id"))
+    if files:
+        rows = rows.repartition(files, "key")  # the join then finds them dealt by its key
+    same = (rows["key"] == decided["key"]) & rows["page_id"].eqNullSafe(decided["_id"]) & (rows["payload_digest"] == decided["_digest"])
+    rows = rows.join(decided, same, "left").withColumnRenamed("payload_digest", "digest")
     crlf, seen = "\r\n", F.col("refers_to").isNotNull()
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")
     body = F.when(seen, F.lit("")).otherwise(F.col("html"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "),
         F.when(seen, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{crlf}WARC-Record-ID: "),
-        _urn(page),
+        _urn(F.col("page_id"), F.col("digest")),
         F.lit(f"{crlf}WARC-Date: {DATE}{crlf}WARC-Target-URI: "),
         uri,
         F.lit(f"{crlf}WARC-Payload-Digest: sha256:"),
         F.col("digest"),
-        F.when(seen, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: "), _urn(F.col("refers_to")))).otherwise(F.lit("")),
+        F.when(seen, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: "), _urn(F.col("refers_to"), F.col("digest")))).otherwise(F.lit("")),
         F.lit(f"{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "),
         F.octet_length(body).cast("string"),
         F.lit(crlf + crlf),
@@ -81,12 +86,12 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> None:
-    """Archives of ``pages`` as gzipped WARC files under ``path``, by Spark's own writer."""
+    """Archives of ``pages`` as gzipped WARC files under ``path``, by Spark's own writer: as many as their bytes need, whatever the longest page."""
     heads = materialize(heads_of(pages, id_col, html_col), "warc-heads")
-    longest = heads.agg(F.max("payload_bytes")).first()[0] or 0
-    each = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 1)))
-    out = records(pages, id_col, url_col, html_col, least, heads)
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    held = heads.agg(F.sum(F.col("payload_bytes") + HEAD_BYTES)).first()[0] or 0
+    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-held // FILE_BYTES))
+    out = records(pages, id_col, url_col, html_col, least, heads, files)
+    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -146,7 +151,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
         def page(urn: str | None) -> int | None:
-            number = urn.removeprefix("<urn:page:").removesuffix(">") if urn else ""
+            number = urn.removeprefix("<urn:page:").split(":")[0] if urn else ""
             return int(number) if number else None
 
         for b in batches:

@@ -277,6 +277,27 @@ def test_op8_no_payload_is_lost(spark, tmp_path):
     assert {r.html for r in got if r.html} == {r[2] for r in rows}
 
 
+def test_op8_files_and_record_ids(spark, tmp_path, monkeypatch):
+    """Files are cut by all bytes, not by the longest page; ids of records tell pages and payloads apart, and revisits name their response's."""
+    import gzip
+    import pathlib
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    rows = [(i, "u", "p%d" % i * 300) for i in range(2000)] + [(1, "u", "other" * 100), (9000, "u", "p7" * 300), (9001, "u", "x" * 3_000_000)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    files = [p for p in pathlib.Path(tmp_path / "w").glob("part-*")]
+    held = sum(len(h) + warc.HEAD_BYTES for _, _, h in rows)
+    assert len(files) <= -(-held // 100_000) < 100
+    ids, named = [], []
+    for p in files:
+        for head, _ in warc.parse(p.read_bytes()):
+            ids.append(head["warc-record-id"])
+            named += [head["warc-refers-to"]] if "warc-refers-to" in head else []
+    assert len(ids) == len(set(ids)) == len(rows) and len(named) == 1 and set(named) <= set(ids)
+    sizes = sorted(len(gzip.decompress(p.read_bytes())) for p in files)
+    assert sizes[-1] < 3_400_000 and sizes[-2] < 300_000
+
+
 def test_op8_parse_in_steps(monkeypatch):
     import gzip
 
