@@ -13,8 +13,8 @@ MASKS = ("111011", "1101011")
 SEVEN = "1011101"
 #: Tokens of an overlap, and how many of them must be equal at their places.
 WINDOW, SAME = 13, 11
-#: Rows of the small side of a join up to which it is broadcast: 24 bytes each.
-BROADCAST_ROWS = 400_000
+#: Bytes of the small side of a join up to which it is broadcast.
+BROADCAST_BYTES = 10_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -48,9 +48,10 @@ def _seeded(rows: DataFrame, keys: list[str], place: str, masks: list[str], allo
     return each.select(*keys, place, seed.alias("seed")).where("seed IS NOT NULL")
 
 
-def _known_small(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if its rows, which are counted, are few enough; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _known_small(df: DataFrame, tokens: str | None = None) -> DataFrame:
+    """``df``, broadcast if it is small enough: 24 bytes a row, which are counted, and 8 for each of its ``tokens``; else joins shuffle it."""
+    size = F.lit(24) if tokens is None else F.size(tokens) * 8 + 24
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +83,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     hits = materialize(found.select("doc_key", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct(), "hits")
     held = hits.select("doc_key").distinct()
     near = texts.join(_known_small(held), "doc_key", "left_semi").select("doc_key", "doc_id", token_hashes(F.col("text")).alias("tokens"))
-    pairs = near.dropDuplicates(["doc_key"]).join(hits, "doc_key").join(_known_small(tests), "item_id")
+    pairs = near.dropDuplicates(["doc_key"]).join(hits, "doc_key").join(_known_small(tests, "item"), "item_id")
     size = F.size("item")
     same = F.transform("item", lambda x, j: F.when((F.col("start") + j >= 0) & (F.get("tokens", F.greatest(F.col("start") + j, F.lit(0))) == x), 1).otherwise(0))
     wide = F.least(size, F.lit(WINDOW))
