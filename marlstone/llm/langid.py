@@ -64,7 +64,7 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Texts, and texts with each slot, over all rows; tasks sum up, the driver gets SLOTS numbers a task."""
+    """Texts, and texts with each slot, over all rows; tasks sum up, and their sums are added up by slot, so the driver gets SLOTS numbers in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(SLOTS, np.int64)
@@ -72,10 +72,13 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
             for t in b.column(0):
                 if s := t.as_py():
                     n, df = n + 1, df + (counts(s) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()])], ["n", "df"])
+        own = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(df[own], n))], ["slot", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "n long, df binary").collect()
-    return sum(r["n"] for r in parts), sum((np.frombuffer(r["df"], np.int64) for r in parts), np.zeros(SLOTS, np.int64))
+    df = np.zeros(SLOTS + 1, np.int64)
+    for r in docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        df[r["slot"]] = r["n"]
+    return int(df[-1]), df[:-1]
 
 
 def cluster(x: np.ndarray, k: int = CENTROIDS) -> np.ndarray:
@@ -114,7 +117,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, each / size))]) if sizes else F.lit(None)
     centres, names, least = np.zeros((0, SLOTS), np.float32), [], []
     if sizes:
-        sample = known.where(u < share[F.col("lang")]).limit(2 * each * len(sizes))
+        sample = known.where(u < share[F.col("lang")]).orderBy(F.xxhash64("doc_id", "text"), "lang", "text").limit(2 * each * len(sizes))
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

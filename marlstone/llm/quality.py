@@ -82,7 +82,7 @@ class Model:
 def fit(labelled: DataFrame) -> Model | None:
     """A model from all rows of ``x, label``; None if a class has no row.
 
-    Tasks sum counts, vectors and outer products; the driver gets a few hundred numbers a task.
+    Tasks sum counts, vectors and outer products, and their sums are added up by place, so the driver gets a few hundred numbers in all.
     """
     d = len(STATISTICS)
 
@@ -95,10 +95,13 @@ def fit(labelled: DataFrame) -> Model | None:
                 n[k] += len(part)
                 first[k] += part.sum(0)
                 second[k] += part.T @ part
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, first.ravel(), second.ravel()])], pa.list_(pa.float64()))], ["s"])
+        every = np.concatenate([n, first.ravel(), second.ravel()])
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(every))), pa.array(every)], ["i", "s"])
 
-    parts = labelled.select("x", "label").mapInArrow(sums, "s array<double>").collect()
-    total = np.sum([r["s"] for r in parts], axis=0) if parts else np.zeros(2)
+    total = np.zeros(2 + 2 * d + 2 * d * d)
+    for r in labelled.select("x", "label").mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        total[r["i"]] = r["s"]
     if not total[:2].all():
         return None
     n, first, second = total[:2], total[2 : 2 + 2 * d].reshape(2, d), total[2 + 2 * d :].reshape(2, d, d)

@@ -454,10 +454,62 @@ def test_op9_hot_id_is_bounded(spark, monkeypatch):
     sizes = []
     plain = langid.cluster
     monkeypatch.setattr(langid, "cluster", lambda x, *a: (sizes.append(len(x)), plain(x, *a))[1])
-    rows = [(7, f"the house number {i} of the town", "en") for i in range(2000)] + [(None, f"das haus nummer {i} der stadt", "de") for i in range(2000)]
+    learned = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(learned, f"the house number {i} of the town", "en") for i in range(2000)] + [(None, f"das haus nummer {i} der stadt", "de") for i in range(2000)]
     got = langid.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert {r.lang_pred for r in got.select("lang_pred").distinct().collect()} == {"en", "de"} or len(sizes) < 2
-    assert all(n <= 80 for n in sizes)
+    assert {r.lang_pred for r in got.select("lang_pred").distinct().collect()} == {"en", "de"}
+    assert len(sizes) == 2 and all(0 < n <= 80 for n in sizes)
+
+
+def plain_cluster(x, k, rounds):
+    """Spherical k-means again, by loops over rows."""
+    centres = [x[0]]
+    while len(centres) < min(k, len(x)):
+        centres.append(min(x, key=lambda r: max(float(np.dot(r, c)) for c in centres)))
+    for _ in range(rounds):
+        near = [max(range(len(centres)), key=lambda c: float(np.dot(r, centres[c]))) for r in x]
+        for c in range(len(centres)):
+            own = [r for r, n in zip(x, near) if n == c]
+            total = np.sum(own, axis=0) if own else centres[c]
+            centres[c] = total / np.linalg.norm(total)
+    return np.array(centres)
+
+
+def test_op9_against_plain(spark, monkeypatch):
+    """Frequencies, weights, clusters, cosines, shares and rejection of the operator against loops over n-grams and texts."""
+    rng = np.random.default_rng(4)
+    words = {"en": "the house of that town with many old streets".split(), "de": "das haus der stadt mit vielen alten strassen".split(), "fr": "la maison de cette ville avec beaucoup de rues".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 9)), lang) for i, lang in enumerate(["en", "de", "fr"] * 30)]
+    rows += [(200, "12 3", "en"), (201, None, "de"), (202, "qqq xxx zzz", None), (203, "das house la", None)]
+    learned = [r for r in rows if r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    df = sum((plain_counts(t) > 0).astype(int) for _, t, _ in learned)
+    idf = np.log((1 + len(learned)) / (1 + df)) + 1
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    of = {}
+    plain = langid.cluster
+
+    def kept(x, *rest):
+        out = plain(x, *rest)
+        assert np.allclose(out, plain_cluster(x.astype(np.float64), langid.CENTROIDS, langid.ROUNDS), atol=2e-3)
+        of[len(of)] = (out, float(np.quantile((x @ out.T).max(1), langid.REJECT)), x)
+        return out
+
+    monkeypatch.setattr(langid, "cluster", kept)
+    got = {r.doc_id: r for r in langid.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for n, lang in enumerate(("de", "en", "fr")):  # the sample is all rows of a language
+        want = sorted(tuple(np.round(unit(plain_counts(t) * idf), 2)) for _, t, x in learned if x == lang and any(c.isalpha() for c in t))
+        assert len(want) in (len(of[n][2]), len(of[n][2]) - 1)
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        v = unit(plain_counts(text) * idf)
+        cos = [max((float(np.dot(v, c)), c_i) for c_i, c in enumerate(of[n][0])) for n in range(3)]
+        best = max(range(3), key=lambda n: cos[n][0])
+        share = 1 / sum(np.exp(langid.SHARPNESS * (c[0] - cos[best][0])) for c in cos)
+        assert got[i].lang_pred == ("de", "en", "fr")[best] and abs(got[i].score - share) < 1e-3 and abs(got[i].cosine - cos[best][0]) < 1e-3
+        if abs(cos[best][0] - of[best][1]) > 1e-3:
+            assert got[i].rejected == (cos[best][0] < of[best][1])
 
 
 def test_op9_odd_rows(spark):
