@@ -22,6 +22,8 @@ GROWTH = 4
 TABLES, MOST_TABLES, ROUNDS = 6, 48, 2
 #: Rows of a leaf of the first graph, on average and at most; rows of a block of exact comparisons.
 LEAF, MOST_IN_LEAF, BLOCK = 64, 512, 1024
+#: Nodes compared with their whole label in one pass over it.
+QUERY_BLOCK = 8192
 #: Refinement ends when fewer entries than this share of all change.
 SETTLED = 0.002
 #: Recall of the audit at which no more tables are added.
@@ -246,6 +248,7 @@ def saturated(graph: DataFrame, threshold: float, k: int) -> DataFrame:
 def exact_links(points: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     """``node, links, of_full, low``: links of the nodes of ``own`` (``node, full``) with all nodes of their label, in blocks.
 
+    All nodes of a label are sent once for each QUERY_BLOCK of those asked for, which a task takes BLOCK at a time.
     A row for each node and pair of blocks in which it has links: their number, weighted by copies,
     that of those with nodes whose ``full`` is set, and the smallest node that they reach. A node
     outside ``own`` gets its links with nodes of it. A task holds two blocks and returns sums,
@@ -253,8 +256,8 @@ def exact_links(points: DataFrame, own: DataFrame, threshold: float) -> DataFram
     """
     every = points.select(F.xxhash64("label", "dim").alias("grp"), "node", "copies", "v").join(own.withColumn("chosen", F.lit(True)), "node", "left")
     every = every.withColumn("full", F.coalesce("full", F.lit(False))).withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = every.groupBy("grp").agg(blocks(F.count("*")).alias("of_all"), blocks(F.count_if("chosen")).alias("of_own")).where("of_own > 0")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    sizes = every.groupBy("grp").agg(blocks(F.count("*"), BLOCK).alias("of_all"), blocks(F.count_if("chosen"), QUERY_BLOCK).alias("of_own")).where("of_own > 0")
     every = every.join(sizes, "grp")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -262,28 +265,32 @@ def exact_links(points: DataFrame, own: DataFrame, threshold: float) -> DataFram
     left = every.where("chosen").select("grp", place("of_own").alias("lo"), others("of_all").alias("hi"), F.lit(True).alias("left"), *row)
     right = every.select("grp", others("of_own").alias("lo"), place("of_all").alias("hi"), F.lit(False).alias("left"), *row)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(x: np.ndarray, s: np.ndarray, t: np.ndarray, own: np.ndarray, others: np.ndarray, copies: np.ndarray, full: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
         most = np.iinfo(np.int64).max
+        near = (x[own] @ x[others].T >= threshold) & (s[:, None] != t)
+        low_s, low_t = s, t
+        while True:
+            new_s = np.minimum(low_s, np.where(near, low_t, most).min(1))
+            new_t = np.minimum(low_t, np.where(near, new_s[:, None], most).min(0))
+            if (new_s == low_s).all() and (new_t == low_t).all():
+                break
+            low_s, low_t = new_s, new_t
+        found = np.concatenate([near @ copies[others], np.where(chosen[others], 0, copies[own] @ near)])
+        of_full = np.concatenate([near @ np.where(full[others], copies[others], 0), np.zeros(len(t), np.int64)])
+        some = np.concatenate([near.any(1), near.any(0)])
+        cols = (np.concatenate([s, t])[some], found[some].astype(np.int64), of_full[some].astype(np.int64), np.concatenate([low_s, low_t])[some])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "links", "of_full", "low"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["grp", "lo", "hi"]):
-            own, ids, copies, full, chosen = (g.column(c).to_numpy() for c in ("left", "node", "copies", "full", "chosen"))
-            own, full, chosen = own.astype(bool), full.astype(bool), chosen.astype(bool)
-            if not own.any() or own.all():
-                continue
-            x = _units(g.column("v"))
-            s, t = ids[own], ids[~own]
-            near = (x[own] @ x[~own].T >= threshold) & (s[:, None] != t)
-            low_s, low_t = s, t
-            while True:
-                new_s = np.minimum(low_s, np.where(near, low_t, most).min(1))
-                new_t = np.minimum(low_t, np.where(near, new_s[:, None], most).min(0))
-                if (new_s == low_s).all() and (new_t == low_t).all():
-                    break
-                low_s, low_t = new_s, new_t
-            links = np.concatenate([near @ copies[~own], np.where(chosen[~own], 0, copies[own] @ near)])
-            of_full = np.concatenate([near @ np.where(full[~own], copies[~own], 0), np.zeros(len(t), np.int64)])
-            some = np.concatenate([near.any(1), near.any(0)])
-            cols = (np.concatenate([s, t])[some], links[some].astype(np.int64), of_full[some].astype(np.int64), np.concatenate([low_s, low_t])[some])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "links", "of_full", "low"])
+            asked, ids, copies, full, chosen = (g.column(c).to_numpy() for c in ("left", "node", "copies", "full", "chosen"))
+            asked, full, chosen = asked.astype(bool), full.astype(bool), chosen.astype(bool)
+            own, others = np.flatnonzero(asked), np.flatnonzero(~asked)
+            if len(own) and len(others):
+                x = _units(g.column("v"))
+                for i in range(0, len(own), BLOCK):
+                    part = own[i : i + BLOCK]
+                    yield links(x, ids[part], ids[others], part, others, copies, full, chosen)
 
     rows = left.union(right).repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
     return rows.mapInArrow(count, "node long, links long, of_full long, low long")

@@ -398,6 +398,7 @@ def test_op7_links_between_dense_groups(spark):
 def test_op7_full_nodes_against_all(spark, monkeypatch, block):
     ship(spark)
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "QUERY_BLOCK", 2 * block + 1)
     rng = np.random.default_rng(13)
     x = np.repeat(rng.standard_normal((6, 16)), 10, 0) + 0.17 * rng.standard_normal((60, 16))
     points = embed_dedup.nodes(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
