@@ -81,6 +81,20 @@ HALLUCINATION = [
 EVIDENCE_STOPS = (
     "para como cuando donde dónde que qué cual cuál con sin por sobre este esta estos estas desde hasta entre solo the and with from this that there where what pero porque cuanto cuánto tengo"
 ).split()
+# Words that tell the topic of a question out of scope, in the order they are looked for.
+REDIRECT_TOPICS = {
+    "country": ["bolivia", "pais", "sudamerica", "america"],
+    "government": ["gobierno", "estado", "ministerio", "decreto"],
+    "weather": ["clima", "tiempo", "temperatura", "lluvia"],
+    "sports": ["futbol", "partido", "deporte", "equipo"],
+}
+# What is said where nothing is known, and to questions about the network.
+EMPTY_GREETINGS = ["hola", "buenas", "hello", "hi"]
+EMPTY_ANSWERS = {
+    "es": ("Hola. Este chatbot todavía no tiene información cargada.", "No tengo información cargada todavía."),
+    "en": ("Hello. This chatbot has no information loaded yet.", "I have no information loaded yet."),
+}
+REFUSALS = {"es": "No puedo proporcionar esa información.", "en": "I cannot provide that information."}
 TRACKING_WORDS = ["rastreo", "seguimiento", "tracking", "rastrear", "consultar seguimiento", "consultar rastreo", "codigo de seguimiento", "codigo de rastreo"]
 GREETING = (
     r"^(hola\b|holi\b|holis\b|buenas?\b|buenas?\s+(dias?|tardes?|noches?)|hey\b|hi\b|hello\b|saludos|que\s+tal|como\s+estas|buen\s+dia|привет|здравствуй|добрый\s+(день|вечер|утро)"

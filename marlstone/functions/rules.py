@@ -24,26 +24,57 @@ def is_injection(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(f"(?iusU)(?:{any_pattern(lex.INJECTION, lex.INJECTION_UNLESS)})")
 
 
-def is_out_of_domain(text: Column) -> Column:
-    """Network questions are; texts with a domain word are not; then off-topic patterns are, and alien words without a word of postal intent.
+def stems(pattern: str) -> list[str]:
+    """Literal texts one of which every match of a pattern contains: the best that a part of it which must be there tells. Empty if none is."""
+    from re import _constants as c
+    from re import _parser
+
+    def best(parts) -> list[str]:
+        options, run = [], ""
+        for op, arg in [*parts, (None, None)]:
+            if op is c.LITERAL:
+                run += chr(arg)
+                continue
+            options += [[run]] if run else []
+            run = ""
+            if op is c.BRANCH:
+                each = [best(x) for x in arg[1]]
+                options += [sorted({w for x in each for w in x})] if all(each) else []
+            elif op is c.SUBPATTERN:
+                options.append(best(arg[-1]))
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
+                options.append(best(arg[2]))
+        return max(options, key=lambda x: min(map(len, x), default=0), default=[])
+
+    return best(_parser.parse(pattern))
+
+
+def found_by_stems(text: Column, patterns, unless=None) -> Column:
+    """Whether one of several patterns is found; each is looked for only in texts that contain a text which it needs."""
+    out = F.lit(False)
+    for p, exceptions in [*((p, None) for p in patterns), *(unless or {}).items()]:
+        here = text.rlike(f"(?U)(?:{p}{f'(?!{"|".join(exceptions)})' if exceptions else ''})")
+        out = out | ((contains_any(text, needed) & here) if (needed := stems(p)) else here)
+    return out
+
+
+def has_word(text: Column, words) -> Column:
+    """Whether one of some words stands in a lower-case text between signs that are no letter, digit or low line."""
+    return text.rlike(f"(?<![0-9a-zà-ÿ_])(?:{'|'.join(words)})(?![0-9a-zà-ÿ_])")
 
-    The words that decide are picked once.
-    """
+
+def is_out_of_domain(text: Column) -> Column:
+    """Network questions are; texts with a domain word are not; then off-topic patterns are, and alien words without a word of postal intent."""
     t = F.lower(F.trim(text))
     network = contains_any(t, ("ip", "dns", "scan", "puerto")) & t.rlike(f"(?U)(?:{any_pattern(lex.NETWORK)})")
-    known = F.array_intersect(word_set(text), words_array([*lex.DOMAIN, *lex.ALIEN, *lex.POSTAL_INTENT]))
-    topic = t.rlike(f"(?U)(?:{any_pattern(lex.OFF_TOPIC, lex.OFF_TOPIC_UNLESS)})")
-
-    def decide(found: Column) -> Column:
-        return (
-            F.when(F.length(t) == 0, False)
-            .when(network, True)
-            .when(F.arrays_overlap(found, words_array(lex.DOMAIN)), False)
-            .when(topic, True)
-            .otherwise(F.arrays_overlap(found, words_array(lex.ALIEN)) & ~F.arrays_overlap(found, words_array(lex.POSTAL_INTENT)))
-        )
-
-    return F.coalesce(F.element_at(F.transform(F.array(known), decide), 1), F.lit(False))
+    out = (
+        F.when(F.length(t) == 0, False)
+        .when(network, True)
+        .when(has_word(t, lex.DOMAIN), False)
+        .when(found_by_stems(t, lex.OFF_TOPIC, lex.OFF_TOPIC_UNLESS), True)
+        .otherwise(has_word(t, lex.ALIEN) & ~has_word(t, lex.POSTAL_INTENT))
+    )
+    return F.coalesce(out, F.lit(False))
 
 
 def is_hallucination(answer: Column) -> Column:

@@ -64,3 +64,8 @@ def live_sessions(events: DataFrame, key: str, ts: str, days: int) -> DataFrame:
     there = own.select("day").distinct()
     ahead = own.select("_key", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_n"), "day").select("_key", F.date_add("day", F.col("_n")).alias("day")).distinct()
     return ahead.join(there, "day").groupBy("day").agg(F.count("*").alias("live"))
+
+
+def with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a table of one row."""
+    return rows.join(F.broadcast(figures.limit(1)))

@@ -55,6 +55,21 @@ def translated(rows: DataFrame, text_col: str, providers: list[Provider], out_co
     return found.select(*rows.columns, F.coalesce("said", F.col(text_col)).alias(out_col), "provider")
 
 
+def completed(rows: DataFrame, answer_col: str, provider: Callable[[list[str]], list[str | None]], fallback: str = " ¿Necesitas más detalles?") -> DataFrame:
+    """``rows`` with answers that break off continued by a model, asked once for each of them; ``fallback`` ends those it can't, unless they end in a question.
+
+    A list, of two lines or more that name something, goes on in a new line; a word is followed by a blank.
+    """
+    a = F.col(answer_col)
+    named = F.filter(F.split(F.regexp_replace(a, "\r\n?", "\n"), "\n"), lambda x: F.trim(x).rlike(r"(?U)^[-*•]?\s*\w[^:]{1,40}:"))
+    broken = rows.where(F.coalesce(rules.is_incomplete(a), F.lit(False))).select(a.alias("text")).distinct()
+    said = materialize(ask(broken, provider), "completions").select(F.col("text").alias(answer_col), clean_answer(F.col("said")).alias("_more"), F.lit(True).alias("_broken"))
+    gap = F.when(F.size(named) >= 2, "\n").when(F.substring(a, -1, 1).rlike(r"^\p{L}$"), " ").otherwise("")
+    ended = F.when(F.endswith(F.rtrim(a), F.lit("?")), a).otherwise(F.concat(a, F.lit(fallback)))
+    whole = F.when(F.col("_broken").isNull(), a).when(F.length(F.coalesce("_more", F.lit(""))) > 0, F.concat(a, gap, F.col("_more"))).otherwise(ended)
+    return rows.join(said, answer_col, "left").withColumn("_whole", whole).select(*[F.col("_whole").alias(c) if c == answer_col else c for c in rows.columns])
+
+
 def cache_key(question: Column, lang: Column) -> Column:
     """One for all ways to write a question that normalising makes the same."""
     return F.substring(F.sha2(F.concat_ws("|", norm_question(question), F.lower(F.trim(lang))), 256), 1, 32)

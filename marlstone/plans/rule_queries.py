@@ -250,12 +250,6 @@ def validate_trigger(spark, sf_dir):
     return rows.select("p_partkey", ((F.size(F.filter("w", lambda x: x != "")) >= 3) & (F.size(F.filter(F.array_distinct("w"), lambda x: F.length(x) >= 4)) >= 2)).alias("valid"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), 'tion') THEN 'topic a' WHEN contains(lower(text), 'ung') THEN 'topic b' WHEN contains(lower(text), 'ción') THEN 'topic c' ELSE 'other' END AS answer FROM documents")
-def redirect_text(spark, sf_dir):
-    low = F.lower("text")
-    return _docs(spark, sf_dir).select("doc_id", F.when(F.contains(low, F.lit("tion")), "topic a").when(F.contains(low, F.lit("ung")), "topic b").when(F.contains(low, F.lit("ción")), "topic c").otherwise("other").alias("answer"))
-
-
 @query(f"SELECT conv_id, turn, CASE WHEN {_any(lex.DOMAIN)} THEN text ELSE text || ' correos' END AS enriched FROM conversations WHERE role = 'user'")
 def enrich_query(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import dedup as D
 from ..operators import history as H
+from ..operators import labels as L
 from ..session import spread, table
 from .registry import query, sql_list
 
@@ -179,24 +180,20 @@ def nearest_neighbor(spark, sf_dir):
 
 
 _LABELLED = "lower(trim(CASE p_partkey % 4 WHEN 0 THEN left((SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25), 5) WHEN 1 THEN 'envio a ' || (SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25) WHEN 2 THEN 'la paz y otros states ' || p_name ELSE p_name END))"
-#: Labels of a catalogue that are taken up into an expression; they are counted first.
-MOST_LABELS = 1000
-
-
 @query(f"""WITH p AS (SELECT p_partkey, {_LABELLED} AS t FROM part), l AS (SELECT n_nationkey, lower(n_name) AS label FROM nation),
 c AS (SELECT p_partkey, n_nationkey, CASE WHEN contains(label, t) OR contains(t, label) THEN 0 WHEN len(list_filter(string_split(label, ' '), lambda w: contains(t, w))) > 0 THEN 1 END AS tier FROM p, l),
 b AS (SELECT p_partkey, arg_min(n_nationkey, tier * 100 + n_nationkey) AS best FROM c WHERE tier IS NOT NULL GROUP BY p_partkey)
 SELECT p_partkey, coalesce(best::VARCHAR, CASE WHEN contains(t, 'la paz') THEN 'la_paz' END) AS label FROM p LEFT JOIN b USING (p_partkey)""")
 def fuzzy_label(spark, sf_dir):
     """The label that a text means: containment either way, then any word, then known names."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
-    if n.count() > MOST_LABELS:
-        raise ValueError(f"a catalogue has at most {MOST_LABELS} labels")
-    labels = [(str(r["n_nationkey"]), r["n_name"]) for r in n.collect()]
-    names = F.create_map(*[F.lit(x) for k, v in labels for x in (int(k), v)])
-    name, kind = F.try_element_at(names, (F.col("p_partkey") % 25).cast("int")), F.col("p_partkey") % 4
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 25).cast("int").alias("n_nationkey")).join(n, "n_nationkey", "left")
+    kind, name = F.col("p_partkey") % 4, F.col("n_name")
     text = F.when(kind == 0, F.left(name, F.lit(5))).when(kind == 1, F.concat(F.lit("envio a "), name)).when(kind == 2, F.concat(F.lit("la paz y otros states "), "p_name")).otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", R.best_label(text, labels, {"la paz": "la_paz"}).alias("label"))
+    p = p.select("p_partkey", text.alias("text"))
+    found = L.label_of(p, "p_partkey", "text", n.select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("name")))
+    known = F.when(F.contains(F.lower("text"), F.lit("la paz")), "la_paz")
+    return p.join(found, "p_partkey", "left").select("p_partkey", F.coalesce(F.col("place").cast("string"), known).alias("label"))
 
 
 # Aggregates

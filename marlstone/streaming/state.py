@@ -10,30 +10,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rate_limit(events: DataFrame, key: str, seconds: str, order: str, limit: int, window: float) -> DataFrame:
-    """``events`` with ``accepted``: fewer than ``limit`` accepted events of the key in the ``window`` seconds before.
+def rate_limit(events: DataFrame, key: str, seconds: str, order: str, limit: int | str, window: float) -> DataFrame:
+    """``events`` with ``accepted``: fewer than ``limit`` accepted events of the key in the ``window`` seconds before; with ``left``, how many more there may be, if ``limit`` is a column.
+
+    Events whose limit is null are accepted and not recorded.
 
     Rejected events are not recorded, so this is a recurrence and no RANGE count. Rows stream
     through a task in order of key and time; it holds the times of one key's accepted events
     in the window, at most ``limit``. A key's rows meet in one task, as the recurrence needs.
     """
-    cols = [key, seconds, order]
+    by_row = isinstance(limit, str)
+    cols = [key, seconds, order, *([limit] if by_row else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, accepted = object(), []
         for b in batches:
-            out = np.zeros(b.num_rows, bool)
-            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            out, left = np.zeros(b.num_rows, bool), []
+            for i, (k, t, most) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist() if by_row else [limit] * b.num_rows)):
                 if k != at:
                     at, accepted = k, []
+                if most is None:
+                    out[i] = True
+                    left.append(None)
+                    continue
                 accepted = [x for x in accepted if t - x < window]
-                if len(accepted) < limit:
+                if len(accepted) < most:
                     accepted.append(t)
                     out[i] = True
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*cols, "accepted"])
+                left.append(max(0, most - len(accepted)))
+            more = [pa.array(left, pa.int32())] if by_row else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), *more], [*cols, "accepted", *(["left"] if by_row else [])])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*cols).schema)
-    return events.select(*cols).repartition(key).sortWithinPartitions(key, seconds, order).mapInArrow(run, f"{schema}, accepted boolean")
+    return events.select(*cols).repartition(key).sortWithinPartitions(key, seconds, order).mapInArrow(run, f"{schema}, accepted boolean{', left int' if by_row else ''}")
 
 
 def range_count_bound(events: DataFrame, key: str, seconds: str, window: int) -> DataFrame:
