@@ -106,6 +106,16 @@ def combined_score(sim: Column, kind: Column, chars: Column, preferred: list[str
     return sim + 0.08 * F.coalesce(F.try_element_at(priorities, kind), F.lit(1)) + bonus - F.when(chars > 1.2 * size, 0.3).otherwise(0.0)
 
 
+def best_sources(hits: DataFrame, preferred: list[str], n: int, floor: float, size: int) -> DataFrame:
+    """``hits`` (``query_id, doc_id, distance, kind, text``) with ``score`` and ``rank``: the ``n`` best of each query, those of preferred kinds first.
+
+    Hits less similar than ``floor`` go. The score is the similarity, raised by kind, lowered for texts longer than 1.2 ``size``.
+    """
+    sim = 1 - F.col("distance")
+    kept = hits.where(sim >= floor).withColumn("score", F.round(combined_score(sim, F.col("kind"), F.length("text"), preferred, size), 6))
+    return ranked(kept.drop("rank"), "query_id", [preference(F.col("kind"), preferred), F.desc("score"), F.col("doc_id")], n)
+
+
 def context_prefix(blocks: DataFrame, group: str, order: str, text: str, most: int) -> DataFrame:
     """``group, order, text, n``: blocks of each group, in order, while their tokens ``n`` add up to ``most``.
 

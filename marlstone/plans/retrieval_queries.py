@@ -12,7 +12,7 @@ from ..operators import vectors as V
 from ..scratch import scratch_path
 from ..session import spread, table
 from ..sources.vector_store import VectorStore
-from .registry import ORACLE_SQL, query
+from .registry import ORACLE_SQL, query, sql_list
 from .rule_queries import invented_sql
 from .text_queries import NORM_SQL, clean_sql
 
@@ -191,6 +191,22 @@ def hybrid_search(spark, sf_dir):
     return found.select("query_id", "rank", "doc_id", "score", "distance", F.sha1("text").alias("text_sha1"))
 
 
+_KINDS = ["knowledge_base", "pdf", "history", "branch", "json_data", "x"]
+
+
+@query(f"""WITH h AS ({ORACLE_SQL['hybrid_search']}), k AS (SELECT h.* EXCLUDE (rank), {sql_list(_KINDS)}[doc_id % 6 + 1] AS kind, length(norm) AS chars FROM h JOIN (SELECT doc_id, {NORM_SQL} AS norm FROM documents) USING (doc_id)),
+c AS (SELECT *, round((1 - distance) + 0.08 * CASE kind WHEN 'knowledge_base' THEN 7 WHEN 'pdf' THEN 6 WHEN 'history' THEN 5 WHEN 'branch' THEN 5 WHEN 'json_data' THEN 3 ELSE 1 END
+  + CASE kind WHEN 'pdf' THEN 0.22 WHEN 'history' THEN 0.16 ELSE 0.0 END - CASE WHEN chars > 1.2 * 2000 THEN 0.3 ELSE 0.0 END, 6) AS final, CASE kind WHEN 'pdf' THEN 0 WHEN 'history' THEN 1 ELSE 99 END AS pref FROM k WHERE 1 - distance >= 0.05)
+SELECT query_id, doc_id, kind, final AS score, row_number() OVER (PARTITION BY query_id ORDER BY pref, final DESC, doc_id)::INTEGER AS rank FROM c QUALIFY rank <= 7""")
+def search_items(spark, sf_dir):
+    """The search core for every item: hybrid hits, a floor, priority and preference of sources, a penalty for long texts, preferred sources first."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hits = R.hybrid_search(e, d, _item_vectors(spark, sf_dir), 24)
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("doc_id") % 6).cast("int"))
+    return R.best_sources(hits.withColumn("kind", kind), ["pdf", "history"], 7, 0.05, 2000).select("query_id", "doc_id", "kind", "score", "rank")
+
+
 @query(f"""WITH v AS (SELECT vec_id, label, sim FROM ({_VEC})), a AS (SELECT vec_id, label, sim, 0 AS stage FROM v WHERE label = 3 ORDER BY sim DESC, vec_id LIMIT 8), b AS (SELECT vec_id, label, sim, 1 AS stage FROM v ORDER BY sim DESC, vec_id LIMIT 16)
 SELECT vec_id, label, sim, min(stage)::INTEGER AS stage FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id, label, sim""")
 def union_dedup(spark, sf_dir):
@@ -247,7 +263,13 @@ def embed_stub(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""{_BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS old FROM s QUALIFY old <= 10),
+x AS (SELECT query_id, doc_id, {_WORDS.format(c="b.text")} AS q, {_WORDS.format(c="d.text")} AS w FROM r JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
+y AS (SELECT query_id, doc_id, len(list_intersect(q, w)) / greatest(1, len(q)) AS score FROM x)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM y QUALIFY rank <= 7""")
 def rerank_stub(spark, sf_dir):
     """The reranker interface with its deterministic stub, on the ten best of each benchmark item."""
     from .providers import rerank
