@@ -36,24 +36,27 @@ def carried(df: DataFrame, key: str, order: str, value: Column) -> DataFrame:
     return df.withColumn("carried", F.last(value, ignorenulls=True).over(w))
 
 
-#: Microseconds of the ranges of time that ``gap_sessions`` looks at by themselves.
-RANGE = 86_400_000_000
+#: Microseconds of the ranges of time that ``gap_sessions`` looks at by themselves, and rows of a key from which on a range is cut.
+RANGE, RANGE_ROWS = 86_400_000_000, 1_000_000
 
 
 def gap_sessions(rows: DataFrame, key: str, us: str, gap: int) -> DataFrame:
     """``rows`` with ``session``: a number within ``key`` that goes up where a row comes ``gap`` microseconds or more after the one before it.
 
     Gaps are found within each day of each key, then between days by the days' first and last
-    times, so a key that holds most rows is dealt by day. Rows without a time or key are left out.
+    times, so a key that holds most rows is dealt by day; a day with more than RANGE_ROWS of a key is cut into as many more
+    ranges. Rows without a time or key are left out.
     """
     r = rows.where(F.col(key).isNotNull() & F.col(us).isNotNull()).withColumn("_day", F.floor(F.col(us) / RANGE))
-    day = Window.partitionBy(key, "_day").orderBy(us)
-    r = r.withColumn("_new", (F.coalesce(F.col(us) - F.lag(us).over(day), F.lit(0)) >= gap).cast("int"))
-    r = r.withColumn("_run", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
-    days = r.groupBy(key, "_day").agg(F.min(us).alias("_low"), F.max(us).alias("_high"), F.max("_run").alias("_runs"))
-    w = Window.partitionBy(key).orderBy("_day")
+    full = r.groupBy(key, "_day").agg(F.count("*").alias("_n")).where(F.col("_n") > RANGE_ROWS).select(key, "_day", F.ceil(F.col("_n") / RANGE_ROWS).alias("_cuts"))
+    r = r.join(full, [key, "_day"], "left").withColumn("_part", F.floor((F.col(us) - F.col("_day") * RANGE) * F.coalesce("_cuts", F.lit(1)) / RANGE)).drop("_cuts")
+    part = Window.partitionBy(key, "_day", "_part").orderBy(us)
+    r = r.withColumn("_new", (F.coalesce(F.col(us) - F.lag(us).over(part), F.lit(0)) >= gap).cast("int"))
+    r = r.withColumn("_run", F.sum("_new").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = r.groupBy(key, "_day", "_part").agg(F.min(us).alias("_low"), F.max(us).alias("_high"), F.max("_run").alias("_runs"))
+    w = Window.partitionBy(key).orderBy("_day", "_part")
     apart = F.coalesce((F.col("_low") - F.lag("_high").over(w) >= gap).cast("int"), F.lit(0))
-    days = days.withColumn("_apart", apart)
+    ranges = ranges.withColumn("_apart", apart)
     before = F.sum(F.col("_apart") + F.col("_runs")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_runs")
-    days = days.select(key, "_day", before.alias("_base"))
-    return r.join(days, [key, "_day"]).withColumn("session", F.col("_base") + F.col("_run")).drop("_day", "_new", "_run", "_base")
+    ranges = ranges.select(key, "_day", "_part", before.alias("_base"))
+    return r.join(ranges, [key, "_day", "_part"]).withColumn("session", F.col("_base") + F.col("_run")).drop("_day", "_part", "_new", "_run", "_base")

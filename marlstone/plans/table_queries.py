@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import dedup as D
 from ..operators import history as H
 from ..operators import labels as L
+from ..operators import places as P
 from ..session import spread, table
 from .registry import query, sql_list
 
@@ -158,25 +159,10 @@ SELECT c_custkey, round(min(km), 3) AS km FROM d GROUP BY c_custkey"""
 
 @query(ORACLE_NEAREST)
 def nearest_neighbor(spark, sf_dir):
-    """Kilometres to the nearest branch: branches by cell of a grid, searched in rings until no nearer one can be outside.
-
-    Distances are computed only for branches in the cells around a point (equi-joins); points whose
-    nearest could be farther than the ring get the next, wider grid.
-    """
-    s = table(spark, sf_dir, "supplier").select(((F.col("s_suppkey") * 7919 % 900) / 100.0 - 22).alias("slat"), ((F.col("s_suppkey") * 104729 % 1100) / 100.0 - 69).alias("slng"))
+    """Kilometres from each customer to the nearest branch."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), ((F.col("s_suppkey") * 7919 % 900) / 100.0 - 22).alias("lat"), ((F.col("s_suppkey") * 104729 % 1100) / 100.0 - 69).alias("lng"))
     c = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 31 % 900) / 100.0 - 22).alias("lat"), ((F.col("c_custkey") * 17 % 1100) / 100.0 - 69).alias("lng"))
-    out, left = None, c
-    for size in (0.5, 2.0, 8.0, 400.0):
-        cell = lambda lat, lng, size=size: (F.floor(F.col(lat) / size).alias("x"), F.floor(F.col(lng) / size).alias("y"))
-        sites = s.select("slat", "slng", *cell("slat", "slng"))
-        around = left.select("*", *cell("lat", "lng")).withColumn("x", F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1))).withColumn("y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
-        km = T.haversine_km(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-        best = around.join(sites, ["x", "y"], "left").groupBy("c_custkey", "lat", "lng").agg(F.min(km).alias("km"))
-        sure = F.col("km") <= size * 111.0 * F.cos(F.radians(F.abs("lat") + size))  # nothing outside the ring is nearer
-        done = best.where(sure if size < 400 else F.lit(True)).select("c_custkey", F.round("km", 3).alias("km"))
-        out = done if out is None else out.unionByName(done)
-        left = best.where(~F.coalesce(sure, F.lit(False))).select("c_custkey", "lat", "lng")
-    return out
+    return P.nearest_site(c, "c_custkey", s).select("c_custkey", F.round("km", 3).alias("km"))
 
 
 _LABELLED = "lower(trim(CASE p_partkey % 4 WHEN 0 THEN left((SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25), 5) WHEN 1 THEN 'envio a ' || (SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25) WHEN 2 THEN 'la paz y otros states ' || p_name ELSE p_name END))"

@@ -91,3 +91,28 @@ def test_json_files(spark, name, payload, told):
 def test_redirection(spark, question, lang, answer):
     df = spark.createDataFrame([(question, lang)], "q string, l string")
     assert df.select(R.redirection(F.col("q"), F.col("l"), {"country": "everywhere", "weather": "no weather"}, "post only")).first()[0] == answer
+
+
+@pytest.mark.parametrize("held", [200, 1 << 25])
+def test_nearest_site(spark, monkeypatch, held):
+    import math
+
+    import numpy as np
+    from marlstone.operators import places
+
+    monkeypatch.setattr(places, "SITE_BYTES", held)
+    monkeypatch.setattr(places, "CELLS", 50)
+    rng = np.random.default_rng(8)
+    sites = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 40), rng.uniform(-180, 180, 40)))] + [(99, 10.0, 179.9), (98, 10.0, 179.9), (97, None, 1.0), (None, 1.0, 1.0)]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 100), rng.uniform(-180, 180, 100)))] + [(200, 10.0, -179.9), (201, None, 3.0), (202, *sites[5][1:])]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 6371.0 * 2 * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {p: min((round(km(a, b, *s[1:]), 6), s[0]) for s in sites if s[0] is not None and s[1] is not None) for p, a, b in points if a is not None}
+    df, sf = spark.createDataFrame(points, "k long, lat double, lng double"), spark.createDataFrame(sites, "site long, lat double, lng double")
+    got = {r.k: (round(r.km, 6), r.site) for r in places.nearest_site(df, "k", sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-5 and got[k][1] == want[k][1] for k in want)
+    assert got[200][1] == 98
+    assert places.nearest_site(df, "k", sf.limit(0)).count() == places.nearest_site(df.limit(0), "k", sf).count() == 0

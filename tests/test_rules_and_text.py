@@ -193,9 +193,11 @@ def test_dedup_two_key_reads_whole_texts(spark, tmp_path):
 
 
 
-def test_gap_sessions_against_loop(spark):
+@pytest.mark.parametrize("most", [1, 7, 1_000_000])
+def test_gap_sessions_against_loop(spark, monkeypatch, most):
     import random
 
+    monkeypatch.setattr(H, "RANGE_ROWS", most)
     draw = random.Random(8)
     rows = [(i, draw.choice("aab"), draw.randrange(0, 6 * H.RANGE)) for i in range(300)] + [(300, "c", None), (301, None, 5), (302, "d", 7), (303, "d", 7)]
     gap = 3 * 3600 * 1_000_000
