@@ -37,8 +37,8 @@ class WordIds:
     """Ids of texts by a tokenizer whose tokens never cross ASCII white space, which it drops.
 
     Each white-space-delimited piece is then encoded by itself, with the same ids as in its
-    text, and kept as little-endian 32-bit ids. Of a piece of ASCII letters with signs behind
-    them, letters and signs are encoded by themselves; letters are lower-cased either way. The
+    text, and kept as little-endian 32-bit ids. Of a piece of letters with signs behind
+    them, letters and signs are encoded by themselves; A-Z are lower-cased either way. The
     tokenizer looks for its added tokens before it lower-cases, so a text that holds one in any
     case is left as it is. New pieces are encoded TOGETHER at a time, with a sign between them
     that has an id of its own; those that hold that sign themselves, one by one.
@@ -54,7 +54,7 @@ class WordIds:
         self.mark_id = self.mark and ids(self.mark)[0]
 
     def lowered(self, text: str) -> str:
-        low = text.lower() if text.isascii() else text
+        low = text.lower() if text.isascii() else text.encode().lower().decode()
         return text if any(a in low for a in self.added) else low
 
     def learn(self, words: list[str]) -> None:
@@ -80,7 +80,7 @@ class WordIds:
         parts, whole = [], set()
         for w in set(chain.from_iterable(split)).difference(known):
             letters = w.rstrip(SIGNS)
-            if letters != w and letters.isascii() and letters.isalpha():
+            if letters != w and letters.isalpha():
                 parts.append((w, letters, w[len(letters) :]))
             else:
                 whole.add(w)

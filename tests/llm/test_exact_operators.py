@@ -190,7 +190,7 @@ def test_op6_odd_rows(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "A", "bc", "Zed", " ", "\n", "\x0b", "!", "'S", "9", "é", "É", "ab.", '"', "✈", "✈.", "a✈"]), max_size=9))
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|", "|>", "A", "bc", "Zed", " ", "\n", "\x0b", "!", "'S", "9", "é", "É", "ab.", '"', "✈", "✈.", "a✈", "Éa.", "I\u0307", "\u0307", "ǅ!", "İ", "ß.", "Σς,", "K", "ª?", "ñ…"]), max_size=9))
 def test_op6_ids_of_added_tokens(parts):
     text, plain = "".join(parts), encoder()
     assert packing.word_ids(queries.vocabulary()).encode([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
