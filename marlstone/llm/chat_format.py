@@ -112,7 +112,10 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_turns(segments: DataFrame) -> DataFrame:
-    """``segments`` with ``turns``: array of (role, text) read back from ``formatted``, placeholders as they stand, and ``loss_texts``, what the loss mask covers, unescaped."""
+    """``segments`` with ``turns``: array of (role, text) read back from ``formatted``, placeholders as they stand, and ``loss_texts``, what the loss mask covers, unescaped.
+
+    Null roles and texts were written as empty ones and are read so; repeated turns are turns each; no segments, no rows.
+    """
     marked = F.split("formatted", TURN_END, -1)
     marked = F.slice(marked, 1, F.size(marked) - 1)
     parts = F.transform(marked, lambda m: F.split(F.substr(m, F.lit(len(TURN) + 1)), r"\[/ROLE\]", 2))
@@ -122,7 +125,10 @@ def read_turns(segments: DataFrame) -> DataFrame:
 
 
 def conversations_of(segments: DataFrame) -> DataFrame:
-    """``conv_id``, ``formatted``, ``n_turns``, ``expanded_tokens``: the segments of a conversation joined in order."""
+    """``conv_id``, ``formatted``, ``n_turns``, ``expanded_tokens``: the segments of a conversation joined in order.
+
+    Conversations without an id are one; a conversation's text is held by one task; no segments, no rows.
+    """
     one = F.sort_array(F.collect_list(F.struct("segment", "formatted")))
     out = segments.groupBy("conv_id").agg(one.alias("s"), F.sum("n_turns").alias("n_turns"), F.sum("expanded_tokens").alias("expanded_tokens"))
     return out.select("conv_id", F.array_join(F.transform("s", lambda x: x["formatted"]), "").alias("formatted"), "n_turns", "expanded_tokens")
@@ -132,7 +138,8 @@ def digests(segments: DataFrame) -> DataFrame:
     """Digests of each conversation, from what ``read_turns`` reads back.
 
     A conversation of one segment is digested where it was read; only texts of longer ones are
-    moved, to be joined in order. Conversations without an id are one.
+    moved, to be joined in order. Conversations without an id are one; turns without a number are one segment, and
+    so one row; repeated turns count each; no segments, no rows.
     """
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     many = segments.groupBy(F.col("conv_id").alias("_many")).count().where("count > 1").select("_many", F.lit(True).alias("long"))

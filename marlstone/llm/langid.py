@@ -104,7 +104,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     nearest centroid is under that seen in all but REJECT of the language's sample: they are
     still given their nearest language. Texts
     that are null or have no letter are ``und`` with score 0, as is everything if there is
-    nothing to learn from. Repeated rows get a row each; other columns are not read.
+    nothing to learn from. Repeated rows get a row each, an empty table none; other columns are not read.
     """
     ship(docs.sparkSession)
     held_out = id_hash(id_col) % 4 == 2

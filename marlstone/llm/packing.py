@@ -248,7 +248,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The driver gets a count for each length (``capacity`` rows at most) and plans; each row
     finds its place by its rank among rows of its length, which is counted by salt, so a
     length that a third of all rows share is ranked by many tasks. Lengths must be from 1 to
-    ``capacity``. Equal rows are ranked in any order; their places are as good.
+    ``capacity``. Equal rows are ranked in any order; their places are as good. Rows
+    without an id are packed like others; no pieces, no rows.
     """
     pieces = materialize(pieces, "pieces")
     salts = max(SALTS, pieces.count() // ROWS_OF_SALT)

@@ -55,7 +55,7 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``x``, the statistics, of every row."""
+    """``doc_id`` and ``x``, the statistics, of every row, repeated ones too; null and empty texts have those of no characters, an empty table no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

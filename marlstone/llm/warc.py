@@ -86,7 +86,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> None:
-    """Archives of ``pages`` as gzipped WARC files under ``path``, by Spark's own writer: as many as their bytes need, whatever the longest page."""
+    """Archives of ``pages`` as gzipped WARC files under ``path``, by Spark's own writer: as many as their bytes need, whatever the longest page.
+
+    Null ids, addresses and payloads are written as empty ones, repeated rows each; an empty table makes an archive without records.
+    """
     heads = materialize(heads_of(pages, id_col, html_col), "warc-heads")
     held = heads.agg(F.sum(F.col("payload_bytes") + HEAD_BYTES)).first()[0] or 0
     files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-held // FILE_BYTES))
