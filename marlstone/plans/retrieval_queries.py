@@ -255,12 +255,20 @@ def segment_blocks(spark, sf_dir):
     return C.segments(d)
 
 
-@query()
+#: crc32 of a word's UTF-8.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substring(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
+h AS (SELECT w, {_CRC32} AS h FROM (SELECT DISTINCT w FROM n)), v AS (SELECT doc_id, h % 64 AS pos, sum(CASE WHEN (h // 1024) % 2 = 1 THEN n ELSE -n END)::DOUBLE AS x FROM n JOIN h USING (w) GROUP BY ALL)
+SELECT doc_id, pos::INTEGER AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 9) AS value FROM v WHERE x <> 0""")
 def embed_stub(spark, sf_dir):
-    """The provider interface with its deterministic stub: hashed words, unit length."""
+    """The provider interface with its deterministic stub, hashed words of unit length: the places of each vector that are not zero."""
     from .providers import embed
 
-    return table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embed(F.col("text")).alias("embedding"))
+    return d.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value <> 0").withColumn("value", F.round("value", 9))
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> ''))"
