@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.history import gap_sessions
+from ..session import ship
 
 
 def debounced(events: DataFrame, key: str, ts: str, mode: Column, event_id: str, quiet: str, late: str) -> DataFrame:
@@ -100,6 +101,7 @@ def cached(requests: DataFrame, key: str, us: str, order: str, capacity: int, tt
     Requests of a shard are a recurrence, in order of time through one task, which holds the cache alone; keys are dealt over
     ``shards`` by hash, as the nodes of a cache are. Requests without a key or time are left out.
     """
+    ship(requests.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +123,7 @@ def cached_stream(requests: DataFrame, key: str, ts: str, order: str, capacity:
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    ship(requests.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
 
     def step(k, frames, state: GroupState):
