@@ -20,7 +20,7 @@ from .common import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task keeps; at that many it starts anew, so memory stays bounded.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 #: Signs that the tokenizer never joins with letters before them.
 SIGNS = ".,;:!?#$%&*)]}\"|"
 #: New pieces that are encoded as one text, and signs that may stand between them.
