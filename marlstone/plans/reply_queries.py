@@ -101,9 +101,13 @@ def completed_answers(spark, sf_dir):
     return completed(d, "answer", _more)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id, CASE WHEN event_type = 'click' THEN 3 WHEN event_type IN ('purchase', 'view') THEN 6 END AS most, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS rn, 0 AS status, 0::BIGINT AS free, []::BIGINT[] AS held FROM events
+  UNION ALL SELECT user_id, event_id, rn, CASE WHEN most IS NULL OR len(h) < most THEN 200 ELSE 429 END, greatest(most - len(h) - CASE WHEN len(h) < most THEN 1 ELSE 0 END, CASE WHEN most IS NOT NULL THEN 0 END), CASE WHEN most IS NULL THEN held WHEN len(h) < most THEN list_append(h, us) ELSE h END
+  FROM (SELECT e.*, held, list_filter(held, lambda x: e.us - x < 86400000000) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, status::INTEGER AS status, free::INTEGER AS "left" FROM r WHERE rn > 0""")
 def limited_paths(spark, sf_dir):
-    """Requests a client may make in a day, by what it asks for, with what it has left; a recurrence, held against a plain loop by tests."""
+    """Requests a client may make in a day, by what it asks for, with what it has left; a recurrence."""
     kind = F.col("event_type")
     path = F.when(kind.isin("click", "purchase"), "/api/chat").when(kind == "view", "/api/pages").otherwise("/static")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), R.request_limit(path, F.when(kind == "click", "POST").otherwise("GET"), 3, 6).alias("most"))

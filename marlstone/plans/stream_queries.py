@@ -58,16 +58,25 @@ def location_dialog(spark, sf_dir):
     return K.dialog(location_turns(_events(spark, sf_dir)), "user_id", "us", "event_id", "kind", 86_400_000_000).select("user_id", "event_id", "action")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, user_id % 16 AS shard, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT DISTINCT shard, 0::BIGINT AS rn, 0::BIGINT AS user_id, 0::BIGINT AS event_id, '' AS outcome, NULL::BIGINT AS evicted, []::STRUCT(k BIGINT, s BIGINT)[] AS held FROM e
+  UNION ALL SELECT shard, rn, user_id, event_id, outcome, CASE WHEN len(now) > 5 THEN now[1].k END, CASE WHEN len(now) > 5 THEN now[2:] ELSE now END FROM (
+    SELECT *, list_append(list_filter(held, lambda x: x.k <> user_id), {'k': user_id, 's': CASE WHEN outcome = 'hit' THEN stored ELSE us END}) AS now FROM (
+      SELECT *, CASE WHEN stored IS NULL THEN 'miss' WHEN us - stored < 172800000000 THEN 'hit' ELSE 'expired' END AS outcome FROM (
+        SELECT e.*, held, list_filter(held, lambda x: x.k = e.user_id)[1].s AS stored FROM r JOIN e ON e.shard = r.shard AND e.rn = r.rn + 1))))
+SELECT user_id, event_id, outcome, evicted FROM r WHERE rn > 0""")
 def cache_lru(spark, sf_dir):
-    """What a cache of 20 users a shard answers, entries expiring after two days; a recurrence, held against a plain loop by tests."""
+    """What a cache of five users a shard answers, entries expiring after two days, a recurrence."""
     e = _events(spark, sf_dir).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return K.cached(e, "user_id", "us", "event_id", 20, 2 * 86_400_000_000)
+    return K.cached(e, "user_id", "us", "event_id", 5, 2 * 86_400_000_000, F.col("user_id") % 16)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS us, 0::BIGINT AS event_id, 0::BIGINT AS rn, false AS accepted, []::BIGINT[] AS held FROM events
+  UNION ALL SELECT user_id, us, event_id, rn, len(h) < 3, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END FROM (SELECT e.*, list_filter(held, lambda x: e.us - x < 86400000000) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, us, event_id, accepted FROM r WHERE rn > 0""")
 def rate_limit(spark, sf_dir):
-    """Three accepted events a user in 24 hours; a recurrence, held against a plain loop by tests."""
+    """Three accepted events a user in 24 hours, a recurrence."""
     e = _events(spark, sf_dir).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
     return S.rate_limit(e, "user_id", "us", "event_id", 3, 86_400_000_000)
 
@@ -108,9 +117,13 @@ def first_missing(spark, sf_dir):
     return S.fill_slots(_events(spark, sf_dir), "user_id", "event_id", "event_type", "value", _SLOTS)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value::VARCHAR AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS rn, [NULL, NULL, NULL, NULL]::VARCHAR[] AS f, NULL::VARCHAR[] AS g FROM events
+  UNION ALL SELECT user_id, event_id, rn, CASE WHEN len(list_filter(g, lambda x: x IS NULL)) = 0 THEN [NULL, NULL, NULL, NULL]::VARCHAR[] ELSE g END, g FROM (
+    SELECT e.*, [CASE WHEN event_type = 'signup' THEN v ELSE f[1] END, CASE WHEN event_type = 'view' THEN v ELSE f[2] END, CASE WHEN event_type = 'click' THEN v ELSE f[3] END, CASE WHEN event_type = 'purchase' THEN v ELSE f[4] END] AS g FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, CASE WHEN g[1] IS NULL THEN 'signup' WHEN g[2] IS NULL THEN 'view' WHEN g[3] IS NULL THEN 'click' WHEN g[4] IS NULL THEN 'purchase' END AS missing, g[1] || '|' || g[2] || '|' || g[3] || '|' || g[4] AS form FROM r WHERE rn > 0""")
 def slot_fsm(spark, sf_dir):
-    """Forms that are emitted and cleared when complete; held against a plain loop by tests."""
+    """Forms that are emitted and cleared when complete, a state machine."""
     return S.slot_machine(_events(spark, sf_dir), "user_id", "event_id", "event_type", "value", _SLOTS)
 
 

@@ -91,11 +91,12 @@ class Lru:
         return outcome, gone
 
 
-def cache_shard(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+def cache_shard(key: Column, shards: int | Column) -> Column:
+    """The shard of a key: by its hash, for a number of shards, or as a column says."""
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int") if isinstance(shards, int) else shards.cast("int")
 
 
-def cached(requests: DataFrame, key: str, us: str, order: str, capacity: int, ttl: int, shards: int = 16) -> DataFrame:
+def cached(requests: DataFrame, key: str, us: str, order: str, capacity: int, ttl: int, shards: int | Column = 16) -> DataFrame:
     """``key, order, outcome, evicted`` of requests that read a cache and fill it on a miss; each of ``shards`` holds ``capacity`` keys.
 
     Requests of a shard are a recurrence, in order of time through one task, which holds the cache alone; keys are dealt over
@@ -118,7 +119,7 @@ def cached(requests: DataFrame, key: str, us: str, order: str, capacity: int, tt
     return rows.repartition("_shard").sortWithinPartitions("_shard", us, order).mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, outcome string, evicted {kinds[key]}")
 
 
-def cached_stream(requests: DataFrame, key: str, ts: str, order: str, capacity: int, ttl: int, late: str, shards: int = 16) -> DataFrame:
+def cached_stream(requests: DataFrame, key: str, ts: str, order: str, capacity: int, ttl: int, late: str, shards: int | Column = 16) -> DataFrame:
     """The same for a stream: state is the keys of a shard in order of use and when they were stored; a timer drops a shard all of whose entries have expired."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
