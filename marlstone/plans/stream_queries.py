@@ -83,7 +83,9 @@ def rate_limit(spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)::BIGINT AS seen FROM (SELECT *, date_trunc('second', ts) AS t FROM events)")
 def rate_bound(spark, sf_dir):
-    e = _events(spark, sf_dir).select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    """Events of the user in the day before, at times to the nearest second (of two the even one)."""
+    nearest = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    e = _events(spark, sf_dir).select("event_id", "user_id", nearest.alias("s"))
     return S.range_count_bound(e, "user_id", "s", 86400).select("event_id", "seen")
 
 
