@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions.text import bm25_tokens, cosine, norm_local, norm_text, token_count
 from ..scratch import materialize
+from .best_matches import best_matches
 from .vectors import knn
 
 
@@ -67,10 +68,11 @@ def hybrid_search(vectors: DataFrame, docs: DataFrame, queries: DataFrame, n: in
     same 300 characters the best of a query stays, and those without any go.
     """
     near = knn(vectors, queries.select("query_id", "vector"), n, id_col="doc_id").select("query_id", "doc_id", "rank", (1 - F.col("sim")).alias("near"))
-    found = ranked(bm25(docs, queries.select("query_id", "query")), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 2 * n).select("query_id", "doc_id", "rank")
+    found = best_matches(docs, queries.select("query_id", "query"), 2 * n).select("query_id", "doc_id", "rank")
     fused = rrf(near, found, ["query_id", "doc_id"]).withColumn("score", F.round("score", 9))
     top = ranked(fused, "query_id", [F.desc("score"), F.col("doc_id")], n).select("query_id", "doc_id", "score", F.round(F.coalesce("near", F.lit(missing)), 6).alias("distance"))
-    hits = top.join(docs.select("doc_id", norm_text(F.col("text")).alias("text")), "doc_id").where("text <> ''")
+    top = materialize(top, "fused")  # small, as Spark then knows: texts stay where they are; hits are written, so no other text is normalised
+    hits = materialize(top.join(docs.select("doc_id", "text"), "doc_id"), "hits").withColumn("text", norm_text(F.col("text"))).where("text <> ''")
     hits = hits.withColumn("_head", F.sha1(F.lower(F.substring("text", 1, 300))))
     order = F.struct(-F.col("score"), F.col("doc_id"))
     kept = hits.groupBy("query_id", "_head").agg(F.min_by(F.struct("doc_id", "score", "distance", "text"), order).alias("r")).select("query_id", "r.*")
@@ -134,8 +136,8 @@ def context_prefix(blocks: DataFrame, group: str, order: str, text: str, most: i
 
 
 def build_context(blocks: DataFrame, group: str, order: str, label: str, text: str, most: int = 2800) -> DataFrame:
-    """``group, context``: labelled blocks in order, clipped at the last space before ``most`` characters."""
-    block = F.struct(F.col(order), F.concat(F.lit("[Source: "), F.col(label), F.lit("]\n"), F.col(text)).alias("b"))
+    """``group, context``: labelled blocks in order, clipped at the last space before ``most`` characters, so no block is sent on with many more."""
+    block = F.struct(F.col(order), F.substring(F.concat(F.lit("[Source: "), F.col(label), F.lit("]\n"), F.col(text)), 1, most + 1).alias("b"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(block)), lambda x: x["b"]), "\n\n")
     out = blocks.groupBy(group).agg(whole.alias("c"))
     return out.select(group, F.when(F.length("c") <= most, F.col("c")).otherwise(F.regexp_extract(F.substring("c", 1, most), "(?s)^(.*) ", 1)).alias("context"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import clean_answer, norm_question
-from ..operators.retrieval import bm25, build_context, ranked
+from ..operators.best_matches import best_matches
+from ..operators.retrieval import build_context
 from ..scratch import materialize
 from ..session import ship
 
@@ -96,7 +97,7 @@ def answer_questions(asked: DataFrame, docs: DataFrame, cache: DataFrame, provid
     hit = open_.join(known, "key").select("id", F.lit("cached").alias("kind"), "answer")
     missed = open_.join(known, "key", "left_anti")
     queries = missed.groupBy("key").agg(F.min("question").alias("query")).withColumnRenamed("key", "query_id")
-    top = ranked(bm25(docs.select("doc_id", "text"), queries), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], best)
+    top = best_matches(docs.select("doc_id", "text"), queries, best)
     blocks = top.join(docs.select("doc_id", "source", "text"), "doc_id")
     context = build_context(blocks, "query_id", "rank", "source", "text", most).withColumnRenamed("query_id", "key")
     prompts = materialize(queries.withColumnRenamed("query_id", "key").join(context, "key", "left").withColumn("text", F.concat("context", F.lit("\n\n"), "query")), "prompts")
