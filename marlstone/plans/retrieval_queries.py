@@ -9,6 +9,7 @@ from ..operators import chunking as C
 from ..operators import containment
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..operators.best_matches import best_matches
 from ..scratch import scratch_path
 from ..session import spread, table
 from ..sources.vector_store import VectorStore
@@ -68,16 +69,16 @@ m AS (SELECT avg(idf) AS mean_idf FROM df), a AS (SELECT item_id AS query_id, un
 s AS (SELECT query_id, doc_id, sum(CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) AS score FROM tf JOIN df USING (w) JOIN a USING (w), m, z GROUP BY query_id, doc_id)"""
 
 
-def _bm25(spark, sf_dir):
+def _best(spark, sf_dir, n, name="rank"):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.bm25(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), queries)
+    return best_matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), queries, n, name)
 
 
 @query(f"{_BM25} SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def bm25_topn(spark, sf_dir):
     from pyspark.sql import Window
 
-    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10)
+    top = _best(spark, sf_dir, 10)
     return top.select("query_id", "doc_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 5).alias("score"))
 
 
@@ -94,8 +95,7 @@ def rrf_fusion(spark, sf_dir):
 @query(f"""{_BM25}, c AS (SELECT query_id, string_agg('[Source: ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id)
 SELECT query_id, CASE WHEN length(c) <= 2800 THEN c ELSE regexp_extract(substring(c, 1, 2800), '(?s)^(.*) ', 1) END AS context FROM c""")
 def build_context(spark, sf_dir):
-    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 3)
-    blocks = top.join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    blocks = _best(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return R.build_context(blocks, "query_id", "rank", "source", "text")
 
 
@@ -137,7 +137,7 @@ h AS (SELECT query_id, doc_id, old, CASE WHEN len(words) = 0 THEN 0 ELSE len(lis
 SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, old)::INTEGER AS rank FROM h""")
 def lexical_rerank(spark, sf_dir):
     """The ten best documents of each item, ranked anew by the words of the item they contain."""
-    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10, "old").select("query_id", "doc_id", "old")
+    top = _best(spark, sf_dir, 10, "old").select("query_id", "doc_id", "old")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id")
     return R.lexical_rerank(rows, "query_id", "old", "q", "text").select("query_id", "doc_id", "hits", "rank")
@@ -282,7 +282,7 @@ def rerank_stub(spark, sf_dir):
     """The reranker interface with its deterministic stub, on the ten best of each benchmark item."""
     from .providers import rerank
 
-    top = R.ranked(_bm25(spark, sf_dir), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 10).select("query_id", "doc_id")
+    top = _best(spark, sf_dir, 10).select("query_id", "doc_id")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(b, "query_id")
     scored = rows.select("query_id", "doc_id", rerank(F.col("q"), F.col("text")).alias("score"))
