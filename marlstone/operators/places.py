@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .held import parts
 
-#: Sites that tasks hold together, bytes of them; cosines that are computed at once; kilometres of the globe's radius.
-SITE_BYTES, CELLS, RADIUS = 1 << 25, 1 << 21, 6371.0
+#: Sites that tasks hold together, bytes of them; sites of a block, at most; cosines that are computed at once; kilometres of the globe's radius.
+SITE_BYTES, BLOCK, CELLS, RADIUS = 1 << 25, 128, 1 << 21, 6371.0
 
 
 def unit(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
@@ -27,36 +27,82 @@ def haversine(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.nda
     return 2 * RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
 
 
+class Sites:
+    """Places in blocks of neighbours, each within a ball: a point is compared with blocks that can hold its nearest place alone."""
+
+    def __init__(self, ids: np.ndarray, lat: np.ndarray, lng: np.ndarray):
+        x, whole, self.blocks = unit(lat, lng), [np.arange(len(ids))], []
+        most = max(BLOCK, int(np.sqrt(len(ids))))
+        while whole:
+            own = whole.pop()
+            if len(own) > most:
+                wide = x[own][:, np.argmax(np.ptp(x[own], axis=0))]
+                own = own[np.argpartition(wide, len(own) // 2)]
+                whole += [own[: len(own) // 2], own[len(own) // 2 :]]
+            else:
+                own = own[np.argsort(ids[own])]
+                self.blocks.append((ids[own], lat[own], lng[own], x[own]))
+        self.centres = np.stack([b[3].mean(0) for b in self.blocks])
+        self.radii = np.array([np.sqrt(((b[3] - c) ** 2).sum(1).max()) for b, c in zip(self.blocks, self.centres)])
+        self.compared = 0
+
+    def nearest(self, lat: np.ndarray, lng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest site of each point and its kilometres; of equally near ones the smallest."""
+        best, km = np.zeros(len(lat), np.int64), np.full(len(lat), np.inf)
+        step = max(1, CELLS // max(len(self.blocks), max(len(b[0]) for b in self.blocks)))
+        for i in range(0, len(lat), step):
+            self._nearest(lat[i : i + step], lng[i : i + step], best[i : i + step], km[i : i + step])
+        return best, km
+
+    def _nearest(self, lat: np.ndarray, lng: np.ndarray, best: np.ndarray, km: np.ndarray) -> None:
+        p, top = unit(lat, lng), np.full(len(lat), -2.0)
+
+        def offer(j: int, rows: np.ndarray) -> None:
+            ids, lat2, lng2, x = self.blocks[j]
+            self.compared += len(rows) * len(ids)
+            cos = p[rows] @ x.T
+            top[rows] = np.maximum(top[rows], cos.max(1))
+            r, c = np.nonzero(cos >= top[rows][:, None] - 1e-9)
+            far = haversine(lat[rows[r]], lng[rows[r]], lat2[c], lng2[c])
+            order = np.lexsort((c, far, r))
+            first = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
+            to, far, site = rows[r[first]], far[first], ids[c[first]]
+            better = (far < km[to]) | (far == km[to]) & (site < best[to])
+            best[to[better]], km[to[better]] = site[better], far[better]
+
+        away = np.sqrt(np.maximum(1 + (self.centres**2).sum(1) - 2 * p @ self.centres.T, 0))
+        own = away.argmin(1)
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            offer(own[order[a]], order[a:b])
+        reach = np.sqrt(2 - 2 * top + 4e-9) + 1e-7
+        can = away - self.radii <= reach[:, None]
+        can[np.arange(len(p)), own] = False
+        for j in np.flatnonzero(can.any(0)):
+            offer(j, np.flatnonzero(can[:, j]))
+
+
 def nearest_site(points: DataFrame, key: str, sites: DataFrame) -> DataFrame:
     """``key, site, km``: the site (``site, lat, lng``) nearest to each point (``key, lat, lng``), of equally near ones the smallest.
 
-    Points are read once and not moved: tasks hold SITE_BYTES of sites at a time, find those nearest by the cosine of the
-    angle between them, in blocks, and measure the few that are about as near. Of several parts of sites the
+    Points are read once and not moved: tasks hold SITE_BYTES of sites at a time, one of each place, in blocks of neighbours,
+    and measure the few of the blocks in reach that are about as near. Of several parts of sites the
     nearest counts. Points and sites without a place are left out; without sites there is no row. Keys are unique.
     """
     ship(points.sparkSession)
     kind = points.schema[key].dataType.simpleString()
-    there = "lat IS NOT NULL AND lng IS NOT NULL"
-    asked = points.where(there).select(key, F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
-    known = sites.where(f"{there} AND site IS NOT NULL").select(F.col("site").cast("long").alias("site"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).distinct()
+    there = "lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng)"
+    place = [F.col(c).cast("double").alias(c) for c in ("lat", "lng")]
+    asked = points.select(key, *place).where(there)
+    known = sites.where("site IS NOT NULL").select(F.col("site").cast("long").alias("site"), *place).where(there).groupBy("lat", "lng").agg(F.min("site").alias("site"))
 
     def search(held: list[Row]) -> DataFrame:
-        own = np.array(sorted((r["site"], r["lat"], r["lng"]) for r in held))
-        ids = np.array(sorted(r["site"] for r in held), np.int64)
-        s = unit(own[:, 1], own[:, 2])
+        near = Sites(np.array([r["site"] for r in held], np.int64), np.array([r["lat"] for r in held]), np.array([r["lng"] for r in held]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, CELLS // len(s))
             for b in batches:
-                lat, lng = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-                best, km = np.zeros(len(lat), np.int64), np.zeros(len(lat))
-                for i in range(0, len(lat), step):
-                    cos = unit(lat[i : i + step], lng[i : i + step]) @ s.T
-                    rows, cols = np.nonzero(cos >= cos.max(1, keepdims=True) - 1e-9)
-                    far = haversine(lat[i + rows], lng[i + rows], own[cols, 1], own[cols, 2])
-                    order = np.lexsort((cols, far, rows))
-                    first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
-                    best[i + rows[first]], km[i + rows[first]] = ids[cols[first]], far[first]
+                best, km = near.nearest(*(b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), pa.array(km)], [key, "site", "km"])
 
         return asked.mapInArrow(run, f"{key} {kind}, site long, km double")
