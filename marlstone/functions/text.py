@@ -173,21 +173,24 @@ def json_to_text(payload: Column, most: int = 20) -> Column:
     on a line of its own; of texts those of more than 10 characters. Other values go.
     """
     as_text = lambda x: F.from_json(x, "map<string,string>")
-    kinds = F.transform_values(F.from_json(payload, "map<string,variant>"), lambda k, v: F.schema_of_variant(v))
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  # binds a value that is costly and used again
 
-    def line(e: Column) -> Column:
-        kind = F.coalesce(F.try_element_at(kinds, e["key"]), F.lit(""))
-        items = F.array_join(F.slice(F.from_json(e["value"], "array<string>"), 1, most), ", ")
-        inner = F.array_join(F.transform(F.map_entries(as_text(e["value"])), lambda s: F.concat(F.lit("  "), s["key"], F.lit(": "), F.coalesce(s["value"], F.lit("null")))), "\n")
+    def line(key: Column, value: Column, kind: Column) -> Column:
+        items = F.array_join(F.slice(F.from_json(value, "array<string>"), 1, most), ", ")
+        inner = F.array_join(F.transform(F.map_entries(as_text(value)), lambda s: F.concat(F.lit("  "), s["key"], F.lit(": "), F.coalesce(s["value"], F.lit("null")))), "\n")
         return (
-            F.when(F.startswith(e["key"], F.lit("_")), F.lit(None).cast("string"))
-            .when(F.startswith(kind, F.lit("ARRAY")), F.concat(e["key"], F.lit(": "), items))
-            .when(F.startswith(kind, F.lit("OBJECT")), F.concat_ws("\n", F.concat(e["key"], F.lit(":")), F.nullif(inner, F.lit(""))))
-            .when((kind == "STRING") & (F.length(e["value"]) > 10), F.concat(e["key"], F.lit(": "), e["value"]))
+            F.when(F.startswith(key, F.lit("_")), F.lit(None).cast("string"))
+            .when(F.startswith(kind, F.lit("ARRAY")), F.concat(key, F.lit(": "), items))
+            .when(F.startswith(kind, F.lit("OBJECT")), once(inner, lambda x: F.concat_ws("\n", F.concat(key, F.lit(":")), F.nullif(x, F.lit("")))))
+            .when((kind == "STRING") & (F.length(value) > 10), F.concat(key, F.lit(": "), value))
         )
 
-    told = F.array_join(F.filter(F.transform(F.map_entries(as_text(payload)), line), lambda x: x.isNotNull()), "\n")
-    return F.coalesce(F.nullif(told, F.lit("")), F.when(as_text(payload).isNotNull(), payload))
+    def told(both: Column) -> Column:
+        kind = lambda e: F.coalesce(F.schema_of_variant(F.try_element_at(both["kinds"], e["key"])), F.lit(""))
+        lines = F.transform(F.map_entries(both["texts"]), lambda e: once(kind(e), lambda k: line(e["key"], e["value"], k)))
+        return once(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), lambda t: F.coalesce(F.nullif(t, F.lit("")), F.when(both["texts"].isNotNull(), payload)))
+
+    return once(F.struct(as_text(payload).alias("texts"), F.from_json(payload, "map<string,variant>").alias("kinds")), told)
 
 
 def lenient_bool(text: Column) -> Column:
