@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +42,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@contextmanager
+def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs that run meanwhile send long rows to Python at most so many at a time, which bounds the batches that executors and workers hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most if int(before) <= 0 else min(most, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -1,7 +1,9 @@
 """The best documents by BM25 against all scores of all documents."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from marlstone.operators import best_matches as B
 from marlstone.operators import retrieval
@@ -36,3 +38,46 @@ def test_context_sends_on_no_long_text(spark):
     out = retrieval.build_context(rows, "g", "r", "s", "t", 50)
     assert {r.g: r.context for r in out.collect()} == {1: ("[Source: s]\n" + "a b " * 20)[:50].rsplit(" ", 1)[0], 2: "[Source: s]\n" + "x " * 9}
     assert "substring(concat" in out._jdf.queryExecution().optimizedPlan().toString().split("collect_list")[1]
+
+
+def test_many_queries_in_blocks(spark):
+    """Queries of frequent words, whose scores lie close together: 12,000 of them over 3,000 documents in one task, by blocks and not one by one."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) ** 0.7 for i in range(400)]
+    d = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=120))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=30))) for i in range(12_000)], "query_id long, query string")
+
+    def seconds(asked):
+        began = time.time()
+        return B.best_matches(d, asked, 3), time.time() - began
+
+    few = q.where("query_id < 40")
+    got, least = seconds(few)
+    assert found(got) == found(retrieval.ranked(retrieval.bm25(d, few), "query_id", [F.round("score", 6).desc(), F.col("doc_id")], 3))
+    got, most = seconds(q)
+    assert got.count() == 36_000 and found(got.where("query_id < 40")) == found(B.best_matches(d, few, 3))
+    assert most - least < 8
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_shard_by_all_paths(n):
+    """Copies, weights of zero and below, words asked twice: scores in double precision decide, whichever path a document takes."""
+    rng = np.random.default_rng(n)
+    for least_weight, copies in ((0.1, 500), (-1.0, 0), (0.1, 0)):
+        there = rng.random((700, 30)) < np.linspace(0.9, 0.02, 30)
+        there[100 : 100 + copies] = there[3]
+        adds = np.where(there, rng.uniform(least_weight, 5, (700, 30)), 0)
+        adds[100 : 100 + copies] = adds[3]
+        adds[there & (rng.random((700, 30)) < 0.02) & (least_weight < 0)] = 0
+        at, w = np.nonzero(there)
+        asked = [np.sort(rng.choice(30, k, replace=False)) for k in rng.integers(1, 12, 300)]
+        times = [rng.integers(1, 3, len(x)).astype(np.int32) for x in asked]
+        best = B.Best(300, n)
+        shard = B.Shard(700, at * 30 + w, adds[at, w], 30)
+        shard.search(np.concatenate(asked).astype(np.int32), np.concatenate(times), np.cumsum([0, *map(len, asked)]), best, np.arange(700) * 2, np.zeros(700, bool))
+        for q, (x, t) in enumerate(zip(asked, times)):
+            score = adds[:, x] @ t
+            held = np.flatnonzero(there[:, x].any(axis=1))
+            want = held[np.lexsort((held, -B.rounded(score[held])))][:n]
+            assert (best.doc[q][best.score[q] > -np.inf] == want * 2).all() and np.allclose(best.score[q][best.score[q] > -np.inf], score[want])
