@@ -98,11 +98,13 @@ def answer_questions(asked: DataFrame, docs: DataFrame, cache: DataFrame, provid
     missed = open_.join(known, "key", "left_anti")
     queries = missed.groupBy("key").agg(F.min("question").alias("query")).withColumnRenamed("key", "query_id")
     top = best_matches(docs.select("doc_id", "text"), queries, best)
-    blocks = top.join(docs.select("doc_id", "source", "text"), "doc_id")
+    blocks = top.join(docs.select("doc_id", "source", F.substring("text", 1, most + 1).alias("text")), "doc_id")  # no context holds more of a text
     context = build_context(blocks, "query_id", "rank", "source", "text", most).withColumnRenamed("query_id", "key")
-    prompts = materialize(queries.withColumnRenamed("query_id", "key").join(context, "key", "left").withColumn("text", F.concat("context", F.lit("\n\n"), "query")), "prompts")
-    said = materialize(ask(prompts.where("text IS NOT NULL").select("text").distinct(), provider), "answers")
-    made = prompts.join(said, "text", "left").withColumn("answer", clean_answer(F.col("said")))
+    text = F.concat("context", F.lit("\n\n"), "query")
+    prompts = materialize(queries.withColumnRenamed("query_id", "key").join(context, "key", "left").withColumn("digest", F.sha2(text, 256)), "prompts")
+    said = ask(prompts.where("digest IS NOT NULL").select(text.alias("text")).distinct(), provider)
+    said = materialize(said.select(F.sha2("text", 256).alias("digest"), "said"), "answers")
+    made = prompts.join(said, "digest", "left").withColumn("answer", clean_answer(F.col("said")))
     a, c = F.col("answer"), F.col("context")
     guard = (
         F.when(c.isNull(), "no_context")

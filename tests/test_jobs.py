@@ -184,3 +184,19 @@ def test_live_sessions(spark, sf):
 def test_answer_plan_kinds(spark, sf):
     kinds = {r.kind for r in QUERIES["answer_plan"](spark, sf).select("kind").distinct().collect()}
     assert "answered" in kinds
+
+
+def test_answers_write_no_text_twice(spark, monkeypatch):
+    """Prompts and answers are matched by a digest; of a long text only what a context can hold is moved."""
+    from marlstone.plans import answers
+
+    written, put = {}, answers.materialize
+    monkeypatch.setattr(answers, "materialize", lambda df, name: put(written.setdefault(name, df), name))
+    docs = spark.createDataFrame([(1, "s", "harbour " + "tide " * 5000), (2, "s", "mill wheel"), (3, "s", "oak leaf"), (4, "s", "elm bark")], "doc_id long, source string, text string")
+    asked = spark.createDataFrame([("a", "when does the harbour open for the tide", "en")], "id string, question string, lang string")
+    empty = spark.createDataFrame([], "key string, answer string")
+    answers.answer_questions(asked, docs, empty, lambda texts: [t[:60] for t in texts], most=50)
+    assert written["answers"].columns == ["digest", "said"] and "text" not in written["prompts"].columns
+    context = ("[Source: s]\nharbour " + "tide " * 5000)[:50].rsplit(" ", 1)[0]
+    assert [r.said for r in written["answers"].collect()] == [(context + "\n\nwhen does the harbour open for the tide")[:60]]
+    assert "substring(text" in written["prompts"]._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]
